@@ -18,22 +18,34 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .words import Words, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local long"
-#: Words kept in a task's cache before it starts anew.
-CACHE_WORDS = 400_000
+#: Words kept in a Python worker's cache (some 200 bytes each) before it starts anew.
+CACHE_WORDS = 1_200_000
+
+
+class Numbered(dict):
+    """Gives each new key the next number."""
+
+    def __missing__(self, key: int) -> int:
+        at = self[key] = len(self)
+        return at
 
 
 class WordEncoder:
-    """Ids of texts through a cache of ids of words between ASCII white space.  Exact for tokenizers that drop white
-    space and never join across it, as the one named in the contract."""
+    """Ids of texts through a cache of ids of words between ASCII white space, by 64-bit hash of the word.  Exact for
+    tokenizers that drop white space and never join across it, as the one named in the contract.  That one also lowers A-Z and parts letters from
+    marks, so both are done before hashing, unless the texts could spell a special token."""
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,69 +55,71 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        outer = self
-
-        class Known(dict):
-            def __missing__(self, word):
-                at = self[word] = len(self)
-                outer.new.append(word)
-                return at
-
-        self.known, self.new = Known(), []
+        self.known = Numbered()
         self.first, self.size, self.flat, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
-    def _learn(self) -> None:
-        at = len(self.known) - len(self.new)
-        ids = [x.ids for x in self.tok.encode_batch([w.decode() for w in self.new], add_special_tokens=False)]
+    def _learn(self, words: list[str]) -> None:
+        at, n = len(self.known) - len(words), len(self.known)
+        ids = [x.ids for x in self.tok.encode_batch(words, add_special_tokens=False)]
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(sizes.sum())
-        while len(self.first) < len(self.known):
+        while len(self.first) < n:
             self.first, self.size = np.concatenate([self.first, self.first]), np.concatenate([self.size, self.size])
         while len(self.flat) < self.used + total:
             self.flat = np.concatenate([self.flat, self.flat])
-        self.size[at : len(self.known)] = sizes
-        self.first[at : len(self.known)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
+        self.size[at:n] = sizes
+        self.first[at:n] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.used += total
-        self.new.clear()
-
-    def encode(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode().split()
-        if not words:
-            return np.zeros(0, np.uint32)
-        at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self._learn()
-        size = self.size[at]
-        ends = np.cumsum(size)
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.first[at] - ends + size, size)]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in a row, offsets of n + 1)."""
         if len(self.known) > CACHE_WORDS:
             self._reset()
-        return ids
+        special = pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py()
+        w = Words(texts, lower=not special, split_marks=not special)
+        kinds, where, inverse = np.unique(w.hash, return_index=True, return_inverse=True)
+        had = len(self.known)
+        at = np.fromiter(map(self.known.__getitem__, kinds.tolist()), np.int64, len(kinds))
+        if len(self.known) > had:
+            data, new = w.data.tobytes(), where[at >= had]  # numbered in the order met
+            self._learn([data[a:b].decode() for a, b in zip(w.start[new].tolist(), w.end[new].tolist(), strict=True)])
+        at = at[inverse]
+        size = self.size[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.first[at] - ends[:-1], size)]
+        return ids, ends[w.first]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """One for each Python worker, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, task = WordEncoder(path), TaskContext.get().partitionId()
+        enc, task = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(8)]
-            held = 0
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = np.append(enc.encode(text.as_py()), np.uint32(end_id))
-                for a in range(0, len(ids), capacity):
-                    part = ids[a : a + capacity]
-                    n = len(part)
-                    for col, v in zip(rows, (doc, a, n, zlib.crc32(part.astype("<u4").tobytes()), len(ids), task, int(seen[n]), part.tolist() if with_ids else None), strict=True):
-                        col.append(v)
-                    seen[n] += 1
-                    held += n if with_ids else 1
-                if held >= 200_000:
-                    yield _rows(rows, with_ids)
-                    rows, held = [[] for _ in range(8)], 0
-            yield _rows(rows, with_ids)
+            for part in slices(batch, batch.schema.names[1]):
+                flat, off = enc.encode(part.column(1))
+                rows: list[list] = [[] for _ in range(8)]
+                for d, doc in enumerate(part.column(0).to_pylist()):
+                    ids = np.append(flat[off[d] : off[d + 1]], np.uint32(end_id))
+                    for a in range(0, len(ids), capacity):
+                        piece = ids[a : a + capacity]
+                        n = len(piece)
+                        for col, v in zip(rows, (doc, a, n, zlib.crc32(piece.astype("<u4").tobytes()), len(ids), task, int(seen[n]), piece.tolist() if with_ids else None), strict=True):
+                            col.append(v)
+                        seen[n] += 1
+                yield _rows(rows, with_ids)
 
     return run
 

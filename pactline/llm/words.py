@@ -25,6 +25,12 @@ NOT_ALNUM[:128] = True
 for _a, _b in ((48, 58), (65, 91), (97, 123)):
     NOT_ALNUM[_a:_b] = False
 
+#: 1 for ASCII letters, 2 for ASCII marks but the apostrophe.
+KIND = np.zeros(256, np.uint8)
+KIND[33:127] = 2
+KIND[48:58] = KIND[39] = 0
+KIND[65:91] = KIND[97:123] = 1
+
 _pow: dict[int, np.ndarray] = {}
 
 
@@ -75,12 +81,15 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """Words of a batch of texts: hash, first byte and end byte of each; first[d]:first[d + 1] are those of text d."""
 
-    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE) -> None:
+    def __init__(self, texts: pa.Array, separators: np.ndarray = SPACE, lower: bool = True, split_marks: bool = False) -> None:
         raw, off = buffers(texts)
-        self.data = data = LOWER[raw]
+        self.data = data = LOWER[raw] if lower else raw
         inside = ~separators[data]
         cut = np.zeros(len(data) + 1, bool)
         cut[off] = True
+        if split_marks:  # ASCII letters and ASCII marks other than ' are words of their own where they meet
+            kind = KIND[data]
+            cut[1:-1] |= (kind[:-1] | kind[1:]) == 3
         before = np.empty(len(data), bool)
         before[:1] = False
         before[1:] = inside[:-1]
