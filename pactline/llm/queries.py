@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, packing, quality
+from . import licenses, packing, quality, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,5 +33,35 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))[0]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan}
-ORACLES: dict[str, str] = {}
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list stands for one from outside: keys whose md5 begins with 0, one in sixteen."""
+    pages = table(spark, sf_dir, "pages")
+    listed = pages.select(F.concat(urlfilter.host(F.col("url")), urlfilter.path(F.col("url"))).alias("key")).where(F.startswith(F.md5("key"), F.lit("0"))).distinct()
+    return urlfilter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
+OP4_SQL = """
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r AS (
+  SELECT *, CASE
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/en/1%' THEN 'example.org/en/1'
+    WHEN (host = 'example.org' OR host LIKE '%.example.org') AND path LIKE '/es/%' THEN 'example.org/es/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/fr/%' THEN 'com/fr/'
+    WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/de/%' THEN 'com/de/'
+    WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/%' THEN 'org/' END AS rule
+  FROM p)
+SELECT page_id, host, path, rule,
+  CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+       WHEN md5(host || path) LIKE '0%' THEN 'block' ELSE 'allow' END AS verdict
+FROM r"""
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"), 40)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op4_url_filter": op4_url_filter, "op6_sharding": op6_sharding}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
