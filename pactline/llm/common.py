@@ -63,22 +63,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def key_bitmap(keys: DataFrame, col: str, log2_bits: int = 24) -> np.ndarray:
-    """Bits (uint8, little-endian) of xxhash64(col) mod 2^log2_bits over all rows.  Its size is fixed by log2_bits
-    (2 MB by default) however many keys there are, so it may be broadcast; a test against it can say yes wrongly
-    but never no wrongly, and an exact join has to follow."""
-    pos = F.pmod(F.xxhash64(col), F.lit(1 << log2_bits))
-    per = (
-        keys.select(pos.alias("p"))
-        .groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("b"))
-        .agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("m"))
-        .collect()
-    )
-    out = np.zeros((1 << log2_bits) // 8, np.uint8)
+#: Size of the key bitmaps: 2 MB, whatever the number of keys.
+LOG2_BITS = 24
+
+
+def low_bitmap(keys: DataFrame, col: str) -> np.ndarray:
+    """Bits (uint8, little-endian) set at the low LOG2_BITS bits of every value of a column of hashes.  Its size is
+    fixed, so it may be broadcast; a test against it can say yes wrongly but never no wrongly, and an exact join has to
+    follow."""
+    at = F.col(col).bitwiseAND(F.lit((1 << LOG2_BITS) - 1))
+    per = keys.select((at + 1).alias("p")).groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()  # 512 rows
+    out = np.zeros((1 << LOG2_BITS) // 8, np.uint8)
     for row in per:
-        at = (row["b"] - 1) * 4096
-        piece = np.frombuffer(bytes(row["m"]), np.uint8)[: len(out) - at]
-        out[at : at + len(piece)] = piece
+        out[(row["b"] - 1) * 4096 : row["b"] * 4096] = np.frombuffer(bytes(row["m"]), np.uint8)
     return out
 
 
@@ -110,38 +107,40 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
-    return members.join(comps, members["node"] == comps["node"], "left").select(members["key"], members["node"], members["rank"], F.coalesce(comps["comp"], members["node"]).alias("comp"))
+    m, c = members.alias("m"), comps.alias("c")
+    return m.join(c, F.expr("m.node = c.node"), "left").select("m.*", F.expr("coalesce(c.comp, m.node)").alias("comp"))
 
 
-def link_buckets(members: DataFrame, verify, small: int = 12) -> DataFrame:
-    """members (key, node, rank): candidates are nodes that share a key.  verify(pairs a < b) keeps the true ones.
-    Returns (node, comp) of the graph of all true links, without listing all pairs of a large bucket:
+def link_buckets(members: DataFrame, verify, percent: int = 0, small: int = 12) -> DataFrame:
+    """members (key, node, rank, size): candidates are nodes that share a key and whose sizes are at least `percent`
+    per cent of one another.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
+    links, without listing all pairs of a large bucket:
 
-    1. in buckets of at most `small` nodes all pairs are tested; in larger ones each node meets the bucket's two
-       lowest ranks (a star);
+    1. in buckets of at most `small` nodes all pairs are tested; in larger ones each node meets the node of lowest
+       rank (a star);
     2. buckets whose nodes are then still in several components test every pair of nodes in different ones.
 
     Pairs inside one component need no test, so the components are those of all links."""
-    m = scratch(members.select("key", "node", "rank").distinct())
-    heads = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node")).alias("h")).where("n > 1")
-    heads = scratch(heads)
-    few = m.join(heads.where(F.col("n") <= small).select("key"), "key")
-    pairs = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    star = m.join(heads.where(F.col("n") > small), "key").where(F.col("node") != F.col("h.node"))
-    pairs = pairs.unionByName(star.select(F.least("node", "h.node").alias("a"), F.greatest("node", "h.node").alias("b")))
-    good = scratch(verify(pairs.distinct()))
+    m = scratch(members.select("key", "node", "rank", "size").distinct())
+    heads = scratch(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node", "size")).alias("h")).where("n > 1"))
+    near = f"least(x.size, y.size) * 100L >= greatest(x.size, y.size) * {percent}L"
+    pair = [F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")]
+    few = scratch(m.join(heads.where(F.col("n") <= small).select("key"), "key"))
+    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and {near}")).select(*pair)
+    star = m.alias("x").join(heads.where(F.col("n") > small).select("key", "h.node", "h.size").alias("y"), F.expr("x.key = y.key")).where(F.expr(f"x.node <> y.node and {near}")).select(*pair)
+    good = scratch(verify(scratch(pairs.unionByName(star).distinct())))
     comps = scratch(components(good))
     many = m.join(heads.where(F.col("n") > small).select("key"), "key")
     lab = scratch(_labelled(many, comps))
     open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = scratch(lab.join(open_, "key"))
     if not rest.isEmpty():
-        more = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.comp <> y.comp"))
-        good2 = scratch(verify(more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()))
+        more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.comp <> y.comp and {near}")).select(*pair)
+        good2 = scratch(verify(scratch(more.distinct())))
         if not good2.isEmpty():
             old = comps
             comps = scratch(components(good.unionByName(good2)))
             drop(old)
         drop(good2)
-    drop(m, heads, good, lab, rest)
+    drop(m, heads, few, good, lab, rest)
     return comps

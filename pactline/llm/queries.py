@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, licenses, packing, quality, sharding, urlfilter
+from . import decontam, langid, licenses, lines, packing, quality, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,5 +71,9 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(table(spark, sf_dir, "documents"), 40)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op4_url_filter": op4_url_filter, "op6_sharding": op6_sharding, "op5_language_id": op5_language_id, "op1_decontamination": op1_decontamination}
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.groups(table(spark, sf_dir, "documents")).drop("row")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op4_url_filter": op4_url_filter, "op6_sharding": op6_sharding, "op5_language_id": op5_language_id, "op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup}
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
