@@ -128,7 +128,7 @@ class Words:
             elif b > a:
                 short = np.zeros(1, U)
                 for j in range(b - a):
-                    short += self.hash[a + j] * STEP[j]
-                yield mix(short + U(b - a) * STEP[15])
+                    short += self.hash[a + j : a + j + 1] * STEP[j]
+                yield mix(short + STEP[15:] * U(b - a))
             else:
                 yield np.zeros(0, U)
