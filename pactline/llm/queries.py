@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, licenses, lines, packing, quality, sharding, urlfilter
+from . import decontam, jaccard, langid, licenses, lines, packing, passages, quality, sharding, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,5 +79,9 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op4_url_filter": op4_url_filter, "op6_sharding": op6_sharding, "op5_language_id": op5_language_id, "op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op2_jaccard_join": op2_jaccard_join}
+def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.spans(table(spark, sf_dir, "documents")).select("doc_id", "first_word", "end_word", "n_paragraphs", "group_id", "removed")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op4_url_filter": op4_url_filter, "op6_sharding": op6_sharding, "op5_language_id": op5_language_id, "op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_passage_dedup": op3_passage_dedup}
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
