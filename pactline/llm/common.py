@@ -111,9 +111,14 @@ def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:
     return m.join(c, F.expr("m.node = c.node"), "left").select("m.*", F.expr("coalesce(c.comp, m.node)").alias("comp"))
 
 
-def link_buckets(members: DataFrame, verify, percent: int = 0, small: int = 12) -> DataFrame:
-    """members (key, node, rank, size): candidates are nodes that share a key and whose sizes are at least `percent`
-    per cent of one another.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
+def like_sizes(percent: int) -> str:
+    """Condition of link_buckets: sizes at least `percent` per cent of one another."""
+    return f"least(x.size, y.size) * 100L >= greatest(x.size, y.size) * {percent}L"
+
+
+def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), small: int = 12) -> DataFrame:
+    """members (key, node, rank, payload columns): candidates are nodes x and y that share a key and meet `near`, a
+    condition on their payloads.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
     links, without listing all pairs of a large bucket:
 
     1. in buckets of at most `small` nodes all pairs are tested; in larger ones each node meets the node of lowest
@@ -121,13 +126,12 @@ def link_buckets(members: DataFrame, verify, percent: int = 0, small: int = 12)
     2. buckets whose nodes are then still in several components test every pair of nodes in different ones.
 
     Pairs inside one component need no test, so the components are those of all links."""
-    m = scratch(members.select("key", "node", "rank", "size").distinct())
-    heads = scratch(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node", "size")).alias("h")).where("n > 1"))
-    near = f"least(x.size, y.size) * 100L >= greatest(x.size, y.size) * {percent}L"
+    m = scratch(members.select("key", "node", "rank", *payload).distinct())
+    heads = scratch(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node", *payload)).alias("h")).where("n > 1"))
     pair = [F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")]
     few = scratch(m.join(heads.where(F.col("n") <= small).select("key"), "key"))
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and {near}")).select(*pair)
-    star = m.alias("x").join(heads.where(F.col("n") > small).select("key", "h.node", "h.size").alias("y"), F.expr("x.key = y.key")).where(F.expr(f"x.node <> y.node and {near}")).select(*pair)
+    star = m.alias("x").join(heads.where(F.col("n") > small).select("key", "h.*").alias("y"), F.expr("x.key = y.key")).where(F.expr(f"x.node <> y.node and {near}")).select(*pair)
     good = scratch(verify(scratch(pairs.unionByName(star).distinct())))
     comps = scratch(components(good))
     many = m.join(heads.where(F.col("n") > small).select("key"), "key")

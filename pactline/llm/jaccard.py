@@ -205,7 +205,7 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
         common.drop(segs)
         return out
 
-    comps = common.link_buckets(members, verify, percent)
+    comps = common.link_buckets(members, verify, common.like_sizes(percent))
     common.drop(members)
     least = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     n, c = least.alias("n"), comps.alias("c")

@@ -219,7 +219,7 @@ def occurrences(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS)
         c = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * c >= percent * (F.size("sa") + F.size("sb") - c)).select("a", "b")
 
-    comps = common.link_buckets(members, verify, percent)
+    comps = common.link_buckets(members, verify, common.like_sizes(percent))
     n, c = members.select("node").distinct().alias("n"), comps.alias("c")
     known = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.node", F.expr("coalesce(c.comp, n.node)").alias("group_id")))
     bitmap = spark.sparkContext.broadcast(common.low_bitmap(known, "node"))
