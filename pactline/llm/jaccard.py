@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,7 +84,7 @@ def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
 
 
 def _prefixes(k: int, percent: int, fragments: int, frequent_of):
-    """Prefix postings as lists by fragment; those of frequent shingles have fragment -1."""
+    """Prefix postings as lists by fragment; those of frequent shingles go to fragments of their own, by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = frequent_of.value
@@ -104,7 +105,7 @@ def _prefixes(k: int, percent: int, fragments: int, frequent_of):
                     size += most
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                if size >= 1_000_000:
+                if size >= 1_500_000:
                     yield _postings(held, fragments)
                     held, size = [], 0
         if held:
@@ -113,63 +114,84 @@ def _prefixes(k: int, percent: int, fragments: int, frequent_of):
     return run
 
 
-_POSTINGS = ["fragment", "key", "node", "size", "rank"]
+#: Lists: keys, the place of each one's set in the record's own lists of nodes, and its place in that set's order.
+_POSTINGS = ["fragment", "key", "at", "pos", "node", "size", "rank"]
+#: Fragments that the frequent shingles' postings are spread over, beside the others.
+SALTS = 16
 
 
 def _postings(held: list[tuple], fragments: int) -> pa.RecordBatch:
+    node, size, rank = (np.array([x[i] for x in held], np.int64) for i in (2, 3, 4))
     cols = []
     for which in (0, 1):
         n = np.array([len(x[which]) for x in held])
-        key = np.concatenate([x[which] for x in held])
-        frag = (key >> U(32)) * U(fragments) >> U(32) if which == 0 else np.full(len(key), fragments, U)
-        cols.append((frag.astype(np.int64), key, *(np.repeat(np.array([x[i] for x in held], np.int64), n) for i in (2, 3, 4))))
-    frag, key, node, size, rank = (np.concatenate(c) for c in zip(*cols, strict=True))
+        key, at = np.concatenate([x[which] for x in held]), np.repeat(np.arange(len(held)), n)
+        pos = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n) + which * rank[at]
+        frag = ((key >> U(32)) * U(fragments) >> U(32)).astype(np.int64) if which == 0 else fragments + node[at] % SALTS
+        cols.append((frag, key, at, pos))
+    frag, key, at, pos = (np.concatenate(c) for c in zip(*cols, strict=True))
+    rows: list[list] = [[] for _ in _POSTINGS]
     order = np.argsort(frag, kind="stable")
-    frag = frag[order]
-    kinds, first = np.unique(frag, return_index=True)
-    off = pa.array(np.append(first, len(frag)), pa.int32())
-    lists = [pa.ListArray.from_arrays(off, pa.array(c[order].astype(np.int64))) for c in (key, node, size, rank)]
-    return pa.RecordBatch.from_arrays([pa.array(np.where(kinds == fragments, -1, kinds)), *lists], _POSTINGS)
-
-
-def _shared(table: pa.Table) -> pa.Table:
-    """Postings of one fragment whose shingle more than one node has."""
-    key, node, size, rank = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
-    order = np.lexsort((node, key))
-    key, node, size, rank = key[order], node[order], size[order], rank[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-    key, node, size, rank = key[new], node[new], size[new], rank[new]
-    same = np.zeros(len(key) + 1, bool)
-    same[1:-1] = key[1:] == key[:-1]
-    keep = same[1:] | same[:-1]
-    return pa.table([pa.array(c[keep]) for c in (key, node, rank, size)], ["key", "node", "rank", "size"])
-
-
-def _segments(k: int, bitmap_of):
-    """The sets of nodes in the bitmap, cut into SEGMENTS fragments of the order."""
+    for part in np.split(order, np.flatnonzero(np.diff(frag[order])) + 1):
+        if len(part):
+            sets, own = np.unique(at[part], return_inverse=True)
+            for col, v in zip(rows, (frag[part[0]], key[part].astype(np.int64), own.astype(np.int32), pos[part].astype(np.int32), node[sets], size[sets].astype(np.int32), rank[sets].astype(np.int32)), strict=True):
+                col.append(v)
+    kinds = [pa.int64(), *(pa.list_(t) for t in (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, kinds, strict=True)], _POSTINGS)
+
+
+_MEMBERS = ["key", "node", "rank", "size", "pos"]
+
+
+def _shared(fragments: int):
+    """Postings of one fragment whose shingle more than one node has; of frequent shingles, all."""
+
+    def run(table: pa.Table) -> pa.Table:
+        flat = {c: np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:]}
+        n_keys = np.asarray(pc.list_value_length(table.column("key").combine_chunks()))
+        n_sets = np.asarray(pc.list_value_length(table.column("node").combine_chunks()))
+        at = flat["at"] + np.repeat(np.cumsum(n_sets) - n_sets, n_keys)
+        key, pos = flat["key"], flat["pos"]
+        node = flat["node"][at]
+        order = np.lexsort((node, key))
+        key, node, at, pos = key[order], node[order], at[order], pos[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+        key, node, at, pos = key[new], node[new], at[new], pos[new]
+        if table.column("fragment")[0].as_py() < fragments:
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            keep = same[1:] | same[:-1]
+            key, node, at, pos = key[keep], node[keep], at[keep], pos[keep]
+        return pa.table([pa.array(np.asarray(c, np.int64)) for c in (key, node, flat["rank"][at], flat["size"][at], pos)], _MEMBERS)
+
+    return run
+
+
+def _sets(k: int, bitmap_of):
+    """The sets of nodes in the bitmap, each cut into SEGMENTS fragments of the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, sent = bitmap_of.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
-                rows = []
+                node, parts = [], []
                 for s in Words(part.column("text")).shingle_sets(k):
                     if not len(s):
                         continue
-                    node = node_of(s)
-                    at = node & ((1 << common.LOG2_BITS) - 1)
-                    if node in sent or not bitmap[at >> 3] >> (at & 7) & 1:
+                    x = node_of(s)
+                    at = x & ((1 << common.LOG2_BITS) - 1)
+                    if x in sent or not bitmap[at >> 3] >> (at & 7) & 1:
                         continue
-                    sent.add(node)
-                    ends = np.searchsorted(s >> U(61), np.arange(SEGMENTS + 1))
-                    rows += [(node, f, len(s), s[ends[f] : ends[f + 1]].astype(np.int64)) for f in range(SEGMENTS)]
+                    sent.add(x)
+                    node.append(x)
+                    parts.append(np.split(s.astype(np.int64), np.searchsorted(s >> U(61), np.arange(1, SEGMENTS, dtype=U))))
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                if rows:
-                    node, f, n, seg = zip(*rows, strict=True)
-                    off = np.concatenate([[0], np.cumsum([len(x) for x in seg])])
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(f, pa.int32()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(np.concatenate(seg)))], ["node", "fragment", "n", "part"])
+                if node:
+                    flat = [y for x in parts for y in x]
+                    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat)))
+                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * SEGMENTS, pa.int32()), inner)], ["node", "parts"])
 
     return run
 
@@ -186,26 +208,24 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     frequent = spark.sparkContext.broadcast((keys[order], freq[order]))
     known = survey.where("shingle is null")
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).head()["n"]
-    fragments = max(1, -(-total * (100 - percent) // 100 // FRAGMENT_ROWS), min(64, total // 20_000))
-    postings = common.scratch(texts.mapInArrow(_prefixes(k, percent, fragments, frequent), "fragment long, key array<long>, node array<long>, size array<long>, rank array<long>"))
-    rare = postings.where("fragment >= 0").groupBy("fragment").applyInArrow(_shared, "key long, node long, rank long, size long")
-    heavy = postings.where("fragment < 0").select(F.explode(F.arrays_zip("key", "node", "rank", "size")).alias("x")).select("x.*")
-    members = common.scratch(rare.unionByName(heavy))
-    common.drop(postings)
+    fragments = max(1, min(12, total // 20_000), -(-total * (100 - percent) // 100 // FRAGMENT_ROWS))
+    posted = texts.mapInArrow(_prefixes(k, percent, fragments, frequent), "fragment long, key array<long>, at array<int>, pos array<int>, node array<long>, size array<int>, rank array<int>")
+    members = common.scratch(posted.groupBy("fragment").applyInArrow(_shared(fragments), "key long, node long, rank long, size long, pos long"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         bitmap = spark.sparkContext.broadcast(common.low_bitmap(ends, "node"))
-        segs = common.scratch(texts.select("text").mapInArrow(_segments(k, bitmap), "node long, fragment int, n long, part array<long>").dropDuplicates(["node", "fragment"]))
-        a = segs.select(F.col("node").alias("a"), "fragment", F.col("n").alias("na"), F.col("part").alias("pa"))
-        b = segs.select(F.col("node").alias("b"), "fragment", F.col("n").alias("nb"), F.col("part").alias("pb"))
-        part = pairs.join(a, "a").join(b, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("pa", "pb")).cast("long").alias("c"))
-        summed = part.groupBy("a", "b", "na", "nb").agg(F.sum("c").alias("c"))
-        out = common.scratch(summed.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"))
-        common.drop(segs)
-        return out
-
-    comps = common.link_buckets(members, verify, common.like_sizes(percent))
+        sets = texts.select("text").mapInArrow(_sets(k, bitmap), "node long, parts array<array<long>>").dropDuplicates(["node"])
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+        partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
+        total_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+        size_of = lambda c: total_of(F.transform(c, lambda x: F.size(x).cast("long")))
+        counted = both.select("a", "b", size_of("pa").alias("na"), size_of("pb").alias("nb"), total_of(partial).alias("c"))
+        return counted.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+
+    # sizes, and what the two sets can still share from this shingle on in the order, were it their first common one
+    room = f"(1 + least(x.size - x.pos, y.size - y.pos) - 1) * {100 + percent}L >= {percent}L * (x.size + y.size)"
+    comps = common.link_buckets(members, verify, f"{common.like_sizes(percent)} and {room}", ("size", "pos"))
     common.drop(members)
     least = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     n, c = least.alias("n"), comps.alias("c")
