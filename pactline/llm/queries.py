@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import decontam, jaccard, langid, licenses, lines, packing, passages, quality, sharding, urlfilter
 
 
+def prepare(spark: SparkSession) -> None:
+    """Python workers get this package, and no more rows at a time than their memory can hold."""
+    ship(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -83,5 +91,15 @@ def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.spans(table(spark, sf_dir, "documents")).select("doc_id", "first_word", "end_word", "n_paragraphs", "group_id", "removed")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_packing": op8_packing, "op9_quality_rules": op9_quality_rules, "op10_license_scan": op10_license_scan, "op4_url_filter": op4_url_filter, "op6_sharding": op6_sharding, "op5_language_id": op5_language_id, "op1_decontamination": op1_decontamination, "op7_line_dedup": op7_line_dedup, "op2_jaccard_join": op2_jaccard_join, "op3_passage_dedup": op3_passage_dedup}
+def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan]
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _prepared(q) for q in _ALL}
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
