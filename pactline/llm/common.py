@@ -116,7 +116,7 @@ def like_sizes(percent: int) -> str:
     return f"least(x.size, y.size) * 100L >= greatest(x.size, y.size) * {percent}L"
 
 
-def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), small: int = 12) -> DataFrame:
+def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = 12) -> DataFrame:
     """members (key, node, rank, payload columns): candidates are nodes x and y that share a key and meet `near`, a
     condition on their payloads.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
     links, without listing all pairs of a large bucket:
@@ -124,6 +124,8 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
     1. in buckets of at most `small` nodes all pairs are tested; in larger ones each node meets the node of lowest
        rank (a star);
     2. buckets whose nodes are then still in several components test every pair of nodes in different ones.
+       refine(rows of these buckets: key, node, comp, payload) may give narrower buckets and a condition for them, as
+       long as it parts no two nodes that could link.
 
     Pairs inside one component need no test, so the components are those of all links."""
     m = scratch(members.select("key", "node", "rank", *payload).distinct())
@@ -139,6 +141,8 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
     open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = scratch(lab.join(open_, "key"))
     if not rest.isEmpty():
+        if refine:
+            rest, near = refine(rest)
         more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.comp <> y.comp and {near}")).select(*pair)
         good2 = scratch(verify(scratch(more.distinct())))
         if not good2.isEmpty():

@@ -224,7 +224,7 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
         return counted.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
     # sizes, and what the two sets can still share from this shingle on in the order, were it their first common one
-    room = f"(1 + least(x.size - x.pos, y.size - y.pos) - 1) * {100 + percent}L >= {percent}L * (x.size + y.size)"
+    room = f"least(x.size - x.pos, y.size - y.pos) * {100 + percent}L >= {percent}L * (x.size + y.size)"
     comps = common.link_buckets(members, verify, f"{common.like_sizes(percent)} and {room}", ("size", "pos"))
     common.drop(members)
     least = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))

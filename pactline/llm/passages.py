@@ -5,9 +5,9 @@ and windows of WINDOW words that begin at content-defined anchors, so that a pas
 a line or across lines.  Anchors are the minima of every ANCHOR consecutive 3-word hashes: a passage of
 ANCHOR + WINDOW words or more that two documents share has an anchor, and so a window, that is the same in both.
 
-Lines have 8 bands of 3 MinHash values over their 5-word shingles (recall 0.998 at similarity 0.8, 0.9999 at 0.9);
-windows, of which a passage holds several, one band of 2.  Paragraphs of different documents that collide in a band are
-candidates; equal ones are one node and need no test, others are verified by their exact Jaccard similarity.  Bands are
+Lines have 8 bands of 3 MinHash values over their 5-word shingles (recall 0.998 at similarity 0.8, 0.9999 at 0.9); of
+windows, of which a passage holds several, equal ones are sought.  Lines of different documents that collide in a band
+are candidates; equal ones are one node and need no test, others are verified by their exact Jaccard similarity.  Bands are
 dealt out by fragments of the hash range, each fragment finds the keys that several documents have, and stars instead
 of pairs link large groups.  A component's first occurrence (by doc_id and place) stays; all others are removed, after
 overlapping removals have been joined to spans.
@@ -35,7 +35,7 @@ BANDS, ROWS = 8, 3
 REMEMBERED = 400_000
 FRAGMENT_ROWS = 1_500_000
 _rng = np.random.default_rng(77)
-TURN = _rng.integers(1, 2**64 - 1, BANDS * ROWS + 2, dtype=U) | U(1)
+TURN = _rng.integers(1, 2**64 - 1, BANDS * ROWS + 1, dtype=U) | U(1)
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -99,12 +99,8 @@ class Paragraphs:
                 which.append(np.arange(k))
                 keys.append(key)
         if len(self.first) > k:
-            key = np.zeros(len(self.first) - k, U)
-            for r in range(2):
-                low = _sliding_min(g * TURN[BANDS * ROWS + r], WINDOW - SHINGLE + 1)
-                key = mix(key + low[self.first[k:]])
             which.append(np.arange(k, len(self.first)))
-            keys.append(key)
+            keys.append(self.node[k:].astype(U))
         return (np.concatenate(which), np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, U))
 
     def shingles(self, i: int) -> np.ndarray:
@@ -219,7 +215,20 @@ def occurrences(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS)
         c = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * c >= percent * (F.size("sa") + F.size("sb") - c)).select("a", "b")
 
-    comps = common.link_buckets(members, verify, common.like_sizes(percent))
+    def refine(rest: DataFrame) -> tuple[DataFrame, str]:
+        """Buckets by prefix shingles, rarest first: lines about one much-shared passage meet no more than lines that
+        can reach the similarity."""
+        nodes = rest.select("node", "comp").distinct()
+        bitmap = spark.sparkContext.broadcast(common.low_bitmap(nodes, "node"))
+        sets = common.scratch(rows.mapInArrow(_of_nodes(min_words, bitmap, True), "node long, shingles array<long>").join(nodes, "node").dropDuplicates(["node"]))
+        each = sets.select("node", F.explode("shingles").alias("s"))
+        ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("o"))  # one line's shingles
+        most = (F.size("shingles") - F.ceil(F.size("shingles") * percent / 100) + 1).cast("int")
+        sub = ranked.join(sets.select("node", "comp", F.size("shingles").alias("size"), most.alias("most")), "node").select("node", "comp", "size", F.posexplode(F.slice("o", 1, F.col("most"))).alias("pos", "x"))
+        room = f"least(x.size - x.pos, y.size - y.pos) * {100 + percent}L >= {percent}L * (x.size + y.size)"
+        return common.scratch(sub.select(F.col("x.s").alias("key"), "node", "comp", "size", "pos")), f"{common.like_sizes(percent)} and {room}"
+
+    comps = common.link_buckets(members.where("key <> node"), verify, common.like_sizes(percent), refine=refine)
     n, c = members.select("node").distinct().alias("n"), comps.alias("c")
     known = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.node", F.expr("coalesce(c.comp, n.node)").alias("group_id")))
     bitmap = spark.sparkContext.broadcast(common.low_bitmap(known, "node"))
