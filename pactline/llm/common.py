@@ -116,6 +116,19 @@ def like_sizes(percent: int) -> str:
     return f"least(x.size, y.size) * 100L >= greatest(x.size, y.size) * {percent}L"
 
 
+def rare_prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
+    """For link_buckets' refine: sets (node, comp, elements) -> buckets by the elements of each set's prefix, rarest
+    first among these sets, and the condition that two sets which meet there can still be `percent` alike.  Sets about
+    one much-shared passage so meet only those that share something rare with them."""
+    each = sets.select("node", F.explode("elements").alias("s"))
+    ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("o"))  # one set's elements
+    most = (F.size("elements") - F.ceil(F.size("elements") * percent / 100) + 1).cast("int")
+    sub = ranked.join(sets.select("node", "comp", F.size("elements").alias("size"), most.alias("most")), "node")
+    sub = sub.select("node", "comp", "size", F.posexplode(F.slice("o", 1, F.col("most"))).alias("pos", "x")).where("x.n > 1")
+    room = f"least(x.size - x.pos, y.size - y.pos) * {100 + percent}L >= {percent}L * (x.size + y.size)"
+    return scratch(sub.select(F.col("x.s").alias("key"), "node", "comp", "size", "pos")), f"{like_sizes(percent)} and {room}"
+
+
 def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = 12) -> DataFrame:
     """members (key, node, rank, payload columns): candidates are nodes x and y that share a key and meet `near`, a
     condition on their payloads.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true

@@ -223,9 +223,15 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
         counted = both.select("a", "b", size_of("pa").alias("na"), size_of("pb").alias("nb"), total_of(partial).alias("c"))
         return counted.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
+    def refine(rest: DataFrame) -> tuple[DataFrame, str]:
+        nodes = rest.select("node", "comp").distinct()
+        bitmap = spark.sparkContext.broadcast(common.low_bitmap(nodes, "node"))
+        sets = texts.select("text").mapInArrow(_sets(k, bitmap), "node long, parts array<array<long>>").join(nodes, "node").dropDuplicates(["node"])
+        return common.rare_prefixes(common.scratch(sets.select("node", "comp", F.flatten("parts").alias("elements"))), percent)
+
     # sizes, and what the two sets can still share from this shingle on in the order, were it their first common one
     room = f"least(x.size - x.pos, y.size - y.pos) * {100 + percent}L >= {percent}L * (x.size + y.size)"
-    comps = common.link_buckets(members, verify, f"{common.like_sizes(percent)} and {room}", ("size", "pos"))
+    comps = common.link_buckets(members, verify, f"{common.like_sizes(percent)} and {room}", ("size", "pos"), refine)
     common.drop(members)
     least = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     n, c = least.alias("n"), comps.alias("c")

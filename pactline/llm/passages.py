@@ -221,12 +221,7 @@ def occurrences(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS)
         nodes = rest.select("node", "comp").distinct()
         bitmap = spark.sparkContext.broadcast(common.low_bitmap(nodes, "node"))
         sets = common.scratch(rows.mapInArrow(_of_nodes(min_words, bitmap, True), "node long, shingles array<long>").join(nodes, "node").dropDuplicates(["node"]))
-        each = sets.select("node", F.explode("shingles").alias("s"))
-        ranked = each.join(each.groupBy("s").agg(F.count(F.lit(1)).alias("n")), "s").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("o"))  # one line's shingles
-        most = (F.size("shingles") - F.ceil(F.size("shingles") * percent / 100) + 1).cast("int")
-        sub = ranked.join(sets.select("node", "comp", F.size("shingles").alias("size"), most.alias("most")), "node").select("node", "comp", "size", F.posexplode(F.slice("o", 1, F.col("most"))).alias("pos", "x"))
-        room = f"least(x.size - x.pos, y.size - y.pos) * {100 + percent}L >= {percent}L * (x.size + y.size)"
-        return common.scratch(sub.select(F.col("x.s").alias("key"), "node", "comp", "size", "pos")), f"{common.like_sizes(percent)} and {room}"
+        return common.rare_prefixes(sets.withColumnRenamed("shingles", "elements"), percent)
 
     comps = common.link_buckets(members.where("key <> node"), verify, common.like_sizes(percent), refine=refine)
     n, c = members.select("node").distinct().alias("n"), comps.alias("c")
