@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import uuid
 
 import numpy as np
@@ -59,6 +60,13 @@ def drop(*frames: DataFrame) -> None:
             _left[:] = [x for x in _left if x[1] != path]
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of frames that are no longer held; it waits for the driver's garbage
+    collection else, and a chain of jobs would keep them all on disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -130,7 +138,7 @@ def rare_prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
 
 
 def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = 12) -> DataFrame:
-    """members (key, node, rank, payload columns): candidates are nodes x and y that share a key and meet `near`, a
+    """members (key, node, rank, payload columns; a key has a node once): candidates are nodes x and y that share a key and meet `near`, a
     condition on their payloads.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
     links, without listing all pairs of a large bucket:
 
@@ -141,21 +149,30 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
        long as it parts no two nodes that could link.
 
     Pairs inside one component need no test, so the components are those of all links."""
-    m = scratch(members.select("key", "node", "rank", *payload).distinct())
+    m = members if hasattr(members, "_scratch_path") else scratch(members.select("key", "node", "rank", *payload))
+    spark = m.sparkSession
     heads = scratch(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node", *payload)).alias("h")).where("n > 1"))
     pair = [F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")]
     few = scratch(m.join(heads.where(F.col("n") <= small).select("key"), "key"))
     pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and {near}")).select(*pair)
     star = m.alias("x").join(heads.where(F.col("n") > small).select("key", "h.*").alias("y"), F.expr("x.key = y.key")).where(F.expr(f"x.node <> y.node and {near}")).select(*pair)
-    good = scratch(verify(scratch(pairs.unionByName(star).distinct())))
+    tested = scratch(pairs.unionByName(star).distinct())
+    drop(few)
+    release(spark)
+    good = scratch(verify(tested))
+    drop(tested)
     comps = scratch(components(good))
+    release(spark)
     many = m.join(heads.where(F.col("n") > small).select("key"), "key")
     lab = scratch(_labelled(many, comps))
     open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
     rest = scratch(lab.join(open_, "key"))
     if not rest.isEmpty():
         if refine:
+            old = rest
             rest, near = refine(rest)
+            drop(old)
+            release(spark)
         more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.comp <> y.comp and {near}")).select(*pair)
         good2 = scratch(verify(scratch(more.distinct())))
         if not good2.isEmpty():
@@ -163,5 +180,7 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
             comps = scratch(components(good.unionByName(good2)))
             drop(old)
         drop(good2)
-    drop(m, heads, few, good, lab, rest)
+    drop(heads, good, lab, rest)
+    if m is not members:
+        drop(m)
     return comps

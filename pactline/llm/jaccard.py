@@ -30,10 +30,10 @@ from pyspark.sql import functions as F
 from . import common
 from .words import U, Words, mix, slices
 
-#: Frequent shingles put at the end of the order: a table of at most 2 MB.
-MOST_FREQUENT, FREQUENT = 1 << 17, 24
+#: Frequent shingles put at the end of the order: a table of at most 4 MB.
+MOST_FREQUENT, FREQUENT = 1 << 18, 8
 #: Shingles held back before counting; postings of a fragment; fragments of the verification.
-COUNTED, FRAGMENT_ROWS, SEGMENTS = 3_000_000, 1_500_000, 8
+COUNTED, FRAGMENT_ROWS, SEGMENTS = 7_000_000, 1_500_000, 8
 REMEMBERED = 400_000
 
 
@@ -78,7 +78,7 @@ def _survey_rows(docs: pa.Array, n: list, node: list) -> pa.RecordBatch:
 
 def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
     kinds, count = np.unique(np.concatenate(held), return_counts=True)
-    often = count >= 3
+    often = count >= 2
     none = pa.nulls(int(often.sum()), pa.int64())
     return pa.RecordBatch.from_arrays([none, none, none, pa.array(kinds[often].astype(np.int64)), pa.array(count[often])], _SURVEY)
 
@@ -202,8 +202,8 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select("doc_id", "text")
     survey = common.scratch(texts.mapInArrow(_survey(k), "doc_id long, n long, node long, shingle long, count long"))
-    often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).collect()
-    keys, freq = np.array([r["shingle"] for r in often], np.int64).astype(U), np.array([r["n"] for r in often], np.int64)
+    often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
+    keys, freq = np.asarray(often.column("shingle").combine_chunks()).astype(np.int64).astype(U), np.asarray(often.column("n").combine_chunks()).astype(np.int64)
     order = np.argsort(keys)
     frequent = spark.sparkContext.broadcast((keys[order], freq[order]))
     known = survey.where("shingle is null")
@@ -212,6 +212,8 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     posted = texts.mapInArrow(_prefixes(k, percent, fragments, frequent), "fragment long, key array<long>, at array<int>, pos array<int>, node array<long>, size array<int>, rank array<int>")
     members = common.scratch(posted.groupBy("fragment").applyInArrow(_shared(fragments), "key long, node long, rank long, size long, pos long"))
 
+    common.release(spark)
+
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         bitmap = spark.sparkContext.broadcast(common.low_bitmap(ends, "node"))
