@@ -173,6 +173,10 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
             rest, near = refine(rest)
             drop(old)
             release(spark)
+        else:  # a pair is met once, under the least key that both nodes have here
+            keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node's own keys
+            rest = scratch(rest.join(keys, "node"))
+            near = f"{near} and x.key = array_min(array_intersect(x.keys, y.keys))"
         more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.comp <> y.comp and {near}")).select(*pair)
         good2 = scratch(verify(scratch(more.distinct())))
         if not good2.isEmpty():
