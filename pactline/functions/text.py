@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..plans import dims
 
@@ -16,7 +17,7 @@ TO = "''\"\"-- "
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
@@ -153,7 +154,7 @@ def role(value: Column) -> Column:
 
 def plain(value: Column) -> Column:
     """A number as text without a needless .0."""
-    return F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", "")
+    return F.when(value.isNotNull(), F.regexp_replace(F.format_string("%.6f", value.cast("double")), r"\.?0+$", ""))
 
 
 def amount(value: Column, unit: Column, currency: Column) -> Column:

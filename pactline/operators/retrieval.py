@@ -122,7 +122,7 @@ def hybrid(records: DataFrame, passages: DataFrame, vectors: DataFrame | None, q
     boosted = records.where(inside("contract_id")).join(rec, "id", "left").select("id", "contract_id", "kind", (F.coalesce("score", F.lit(0.0)) + boost(question)).alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(2 * k)
     pas = bm25(passages.withColumn("_t", F.concat_ws(" ", "text", "section", "contract")), query_terms(question), "_t", scope=inside("contract_id"))
     known = records.select("id", "contract_id", "kind").unionByName(passages.select("id", "contract_id", F.lit("passage").alias("kind")))
-    lexical = boosted.select("id", "score").unionByName(pas.select("id", F.col("score") * 0.75))
+    lexical = boosted.select("id", "score").unionByName(pas.select("id", (F.col("score") * 0.75).alias("score")))
     lists = [ranked(lexical)]
     if vectors is not None and query is not None:
         lists.append(ranked(nearest(vectors, query, 2 * k, scope=inside("contract_id")).join(known, "id", "left_semi")))
