@@ -60,6 +60,17 @@ def drop(*frames: DataFrame) -> None:
             _left[:] = [x for x in _left if x[1] != path]
 
 
+def held() -> set[str]:
+    """Paths of the scratch tables there are now."""
+    return {path for _, path in _left}
+
+
+def drop_paths(spark: SparkSession, paths: set[str]) -> None:
+    for path in paths & held():
+        _delete(spark, path)
+        _left[:] = [x for x in _left if x[1] != path]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of frames that are no longer held; it waits for the driver's garbage
     collection else, and a chain of jobs would keep them all on disk."""

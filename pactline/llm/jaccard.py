@@ -33,7 +33,7 @@ from .words import U, Words, mix, slices
 #: Frequent shingles put at the end of the order: a table of at most 4 MB.
 MOST_FREQUENT, FREQUENT = 1 << 18, 8
 #: Shingles held back before counting; postings of a fragment; fragments of the verification.
-COUNTED, FRAGMENT_ROWS, SEGMENTS = 7_000_000, 1_500_000, 8
+COUNTED, FRAGMENT_ROWS, SEGMENTS = 4_000_000, 1_500_000, 8
 REMEMBERED = 400_000
 
 
@@ -248,4 +248,4 @@ def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """One document of each component: the smallest doc_id, of repeated rows one.  Documents without words stay."""
     groups = components(docs, percent, k)
     gone = common.scratch(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.join(gone.hint("merge"), "doc_id", "left_anti")  # what goes grows with the corpus: never broadcast

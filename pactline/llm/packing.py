@@ -31,7 +31,7 @@ from .words import Words, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local long"
 #: Words kept in a Python worker's cache (some 200 bytes each) before it starts anew.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 600_000
 
 
 class Numbered(dict):
@@ -108,7 +108,7 @@ def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
         enc, task = encoder(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for part in slices(batch, batch.schema.names[1]):
+            for part in slices(batch, batch.schema.names[1], 1 << 21):
                 flat, off = enc.encode(part.column(1))
                 rows: list[list] = [[] for _ in range(8)]
                 for d, doc in enumerate(part.column(0).to_pylist()):

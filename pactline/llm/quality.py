@@ -43,8 +43,9 @@ def _repeated(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(let(pairs, twice))
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id and the counts of STATS (all long) for every row."""
+def statistics(docs: DataFrame, text: str = "text", carry: bool = False) -> DataFrame:
+    """doc_id and the counts of STATS (all long) for every row; with carry also the row itself, as a struct."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
     t = F.coalesce(F.col(text), F.lit(""))
     words = F.array_remove(F.split(t, SPACE), "")
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
@@ -60,9 +61,10 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
     of_words = let(words, lambda w: F.struct(F.size(w).alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), let(F.transform(w, lambda x: F.xxhash64(x)), of_hashes).alias("h")))
     of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
-    wide = docs.select("doc_id", of_words.alias("w"), of_lines.alias("l"), lost(r"[#*$%&|<>]+").alias("n_symbols"), lost(r"\p{Lu}+").alias("n_upper"), lost("!+").alias("n_marks"))
-    flat = wide.select("doc_id", "w.n_words", "w.word_chars", "w.h.*", "l.*", "n_symbols", "n_upper", "n_marks")
-    return flat.select("doc_id", *(F.col(c).cast("long").alias(c) for c in STATS))
+    wide = docs.select("doc_id", *row, of_words.alias("w"), of_lines.alias("l"), lost(r"[#*$%&|<>]+").alias("n_symbols"), lost(r"\p{Lu}+").alias("n_upper"), lost("!+").alias("n_marks"))
+    kept = ["doc_id"] + ["row"] * carry
+    flat = wide.select(*kept, "w.n_words", "w.word_chars", "w.h.*", "l.*", "n_symbols", "n_upper", "n_marks")
+    return flat.select(*kept, *(F.col(c).cast("long").alias(c) for c in STATS))
 
 
 def base_failed() -> Column:
@@ -130,9 +132,15 @@ def posterior(votes: tuple[int, ...], acc: list[dict[int, float]], good_share: f
     return 1 / (1 + math.exp(-odds))
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, all STATS, base_failed, p_good (posterior) and kept for every row of docs (doc_id, text)."""
-    stats = common.scratch(statistics(docs))
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that judge() keeps.  Rows travel with their counts, so no join brings them together."""
+    return judge(docs, carry=True).where("kept").select("row.*")
+
+
+def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """doc_id, all STATS, base_failed, p_good (posterior) and kept for every row of docs (doc_id, text); with carry
+    also the row."""
+    stats = common.scratch(statistics(docs, carry=carry))
     votes = rules()
     cast = stats.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in votes.items()))
     names = [f"vote_{k}" for k in votes]
@@ -141,4 +149,4 @@ def judge(docs: DataFrame) -> DataFrame:
     for c, acc in zip(names, fit(sorted(patterns)) or [START] * len(names), strict=True):
         odds = odds + F.when(F.col(c) == 1, _gain(acc, 1)).when(F.col(c) == -1, _gain(acc, -1)).otherwise(0.0)
     p = 1 / (1 + F.exp(-odds))
-    return cast.select("doc_id", *STATS, *names, base_failed().alias("base_failed"), p.alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))
+    return cast.select("doc_id", *["row"] * carry, *STATS, *names, base_failed().alias("base_failed"), p.alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))

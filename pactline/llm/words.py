@@ -53,7 +53,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def slices(batch: pa.RecordBatch, col: str, most: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, col: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that each part holds about `most` bytes of text; a longer text is a part of its own."""
     sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(col)), 0)).astype(np.int64)
     ends = np.cumsum(sizes)
