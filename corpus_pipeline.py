@@ -7,6 +7,8 @@ rules' affair.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,36 +18,54 @@ from pactline.llm.queries import prepare, table, tokenizer_path
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
+_made: set[str] = set()  # scratch tables of the stage before, whose result has been written by now
+
+
+def _stage(f):
+    """A stage as the pipeline calls it: it first removes what the stage before left behind."""
+
+    @functools.wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        prepare(spark)
+        common.drop_paths(spark, _made)
+        common.release(spark)
+        _made.clear()
+        before = common.held()
+        out = f(spark, docs, sf_dir)
+        _made.update(common.held() - before)
+        common.release(spark)
+        return out
+
+    return run
+
+
+@_stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly supervised rules keep."""
-    prepare(spark)
-    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", "text"))
-    verdicts = quality.judge(keyed.select(F.col("row_key_").alias("doc_id"), "text"))
-    gone = common.scratch(verdicts.where("not kept").select(F.col("doc_id").alias("row_key_")).distinct())
-    return keyed.join(gone, "row_key_", "left_anti").select(*docs.columns)
+    return quality.keep(docs)
 
 
+@_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; those left without a word go."""
-    prepare(spark)
     return lines.dedup(docs).where(F.col("text").rlike(WORD))
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    prepare(spark)
     return jaccard.keep_one(docs)
 
 
+@_stage
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no passage of the benchmark."""
-    prepare(spark)
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of training sequences."""
-    prepare(spark)
     return packing.pack(docs, tokenizer_path())
 
 
