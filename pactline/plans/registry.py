@@ -286,10 +286,15 @@ def q_merge_dedupe(spark, sf_dir):
 
 @query("SELECT item_id, doc_id, (strpos(d.text, b.text) - 1)::INT AS char_start FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def q_ground_exact(spark, sf_dir):
-    """Benchmark passages located in the documents that word for word hold them; the first words narrow the search."""
+    """Benchmark passages located in the documents that word for word hold them."""
     b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = d.join(F.broadcast(b.limit(10_000)), F.contains("text", F.col("quote"))).select("item_id", "doc_id", "quote")
+    starts = F.substring_index("quote", " ", 3)  # equal first words bring a passage and its documents together
+    b = b.withColumn("head", starts)
+    words = F.split("text", " ")
+    heads = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
+    found = d.select("doc_id", F.explode(F.array_distinct(F.concat(heads, F.transform(heads, lambda h: F.regexp_replace(h, r"^.*\n", ""))))).alias("head")).join(b, "head").select("item_id", "doc_id", "quote").distinct()
+    held = found.join(d, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id", "quote")
     return grounding.locate(held, d).where("how = 'exact'").select("item_id", "doc_id", "char_start")
 
 
