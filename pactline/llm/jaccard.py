@@ -196,6 +196,77 @@ def _sets(k: int, bitmap_of):
     return run
 
 
+def _elements(k: int, bitmap_of, fragments: int):
+    """All elements of the sets of nodes in the bitmap, as lists by fragment."""
+
+    def pack(held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        key, at = np.concatenate([s for _, s in held]), np.repeat(np.arange(len(held)), [len(s) for _, s in held])
+        node = np.array([x for x, _ in held], np.int64)
+        frag = ((key >> U(32)) * U(fragments) >> U(32)).astype(np.int64)
+        order = np.argsort(frag, kind="stable")
+        cuts = np.flatnonzero(np.diff(frag[order])) + 1
+        off = pa.array(np.concatenate([[0], cuts, [len(key)]]), pa.int32())
+        cols = [pa.ListArray.from_arrays(off, pa.array(c[order])) for c in (key.astype(np.int64), node[at])]
+        return pa.RecordBatch.from_arrays([pa.array(frag[order][np.concatenate([[0], cuts])]), *cols], ["fragment", "key", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap, sent, held, size = bitmap_of.value, set(), [], 0
+        for batch in batches:
+            for part in slices(batch, "text"):
+                for s in Words(part.column("text")).shingle_sets(k):
+                    if not len(s) or (x := node_of(s)) in sent:
+                        continue
+                    at = x & ((1 << common.LOG2_BITS) - 1)
+                    if bitmap[at >> 3] >> (at & 7) & 1:
+                        sent.add(x)
+                        held.append((x, s))
+                        size += len(s)
+                if len(sent) > REMEMBERED:
+                    sent.clear()
+                if size >= 1_000_000:
+                    yield pack(held)
+                    held, size = [], 0
+        if held:
+            yield pack(held)
+
+    return run
+
+
+def _counted(table: pa.Table) -> pa.Table:
+    """Of one fragment: each node's elements that other nodes have too, with the number of nodes."""
+    key, node = (np.asarray(table.column(c).combine_chunks().flatten()) for c in ("key", "node"))
+    order = np.lexsort((node, key))
+    key, node = key[order], node[order]
+    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+    key, node = key[new], node[new]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    times = np.diff(np.append(starts, len(key)))
+    n = np.repeat(times, times)
+    key, node, n = key[n > 1], node[n > 1], n[n > 1]
+    order = np.argsort(node, kind="stable")
+    key, node, n = key[order], node[order], n[order]
+    first = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+    off = pa.array(np.append(first, len(node)), pa.int32())
+    return pa.table([pa.array(node[first], pa.int64()), pa.ListArray.from_arrays(off, pa.array(key, pa.int64())), pa.ListArray.from_arrays(off, pa.array(n.astype(np.int64)))], ["node", "key", "n"])
+
+
+def _rare_first(percent: int):
+    """(node, comp, size, key, n) -> the shared elements in each set's prefix, with their places in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, places = [], []
+            for size, key, n in zip(batch.column("size").to_pylist(), batch.column("key"), batch.column("n"), strict=True):
+                key, n = (np.asarray(c.values) for c in (key, n))
+                most, alone = size - -(-percent * size // 100) + 1, size - len(key)
+                order = np.lexsort((key, n))[: max(0, most - alone)]
+                keys.append(key[order])
+                places.append(alone + np.arange(len(order)))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("comp"), batch.column("size"), pa.array(keys, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int64()))], ["node", "comp", "size", "key", "pos"])
+
+    return run
+
+
 def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, node (hash of the set: documents with equal sets are one class) and
     component_id (smallest doc_id reachable by links)."""
@@ -218,7 +289,7 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
         bitmap = spark.sparkContext.broadcast(common.low_bitmap(ends, "node"))
         sets = texts.select("text").mapInArrow(_sets(k, bitmap), "node long, parts array<array<long>>").dropDuplicates(["node"])
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")), "b")
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")).hint("merge"), "b")  # sets grow with the corpus: never broadcast
         partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
         total_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
         size_of = lambda c: total_of(F.transform(c, lambda x: F.size(x).cast("long")))
@@ -226,14 +297,19 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
         return counted.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
 
     def refine(rest: DataFrame) -> tuple[DataFrame, str]:
-        nodes = rest.select("node", "comp").distinct()
+        """Buckets by prefixes with the rarest first among these sets, counted fragment by fragment."""
+        nodes = common.scratch(rest.select("node", "comp", "size").distinct())
         bitmap = spark.sparkContext.broadcast(common.low_bitmap(nodes, "node"))
-        sets = texts.select("text").mapInArrow(_sets(k, bitmap), "node long, parts array<array<long>>").join(nodes, "node").dropDuplicates(["node"])
-        return common.rare_prefixes(common.scratch(sets.select("node", "comp", F.flatten("parts").alias("elements"))), percent)
+        parts = max(1, nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).head()[0] // FRAGMENT_ROWS)
+        found = texts.select("text").mapInArrow(_elements(k, bitmap, parts), "fragment long, key array<long>, node array<long>").groupBy("fragment").applyInArrow(_counted, "node long, key array<long>, n array<long>")
+        per = found.groupBy("node").agg(F.flatten(F.collect_list("key")).alias("key"), F.flatten(F.collect_list("n")).alias("n"))  # one set's elements
+        sub = per.join(nodes.hint("merge"), "node").select("node", "comp", "size", "key", "n").mapInArrow(_rare_first(percent), "node long, comp long, size long, key array<long>, pos array<long>")
+        return common.scratch(sub.select("node", "comp", "size", F.explode(F.arrays_zip("key", "pos")).alias("x")).select("x.key", "node", "comp", "size", "x.pos")), near
 
     # sizes, and what the two sets can still share from this shingle on in the order, were it their first common one
     room = f"least(x.size - x.pos, y.size - y.pos) * {100 + percent}L >= {percent}L * (x.size + y.size)"
-    comps = common.link_buckets(members, verify, f"{common.like_sizes(percent)} and {room}", ("size", "pos"), refine)
+    near = f"{common.like_sizes(percent)} and {room}"
+    comps = common.link_buckets(members, verify, near, ("size", "pos"), refine)
     common.drop(members)
     least = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
     n, c = least.alias("n"), comps.alias("c")
