@@ -291,8 +291,8 @@ def q_ground_exact(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     starts = F.substring_index("quote", " ", 3)  # equal first words bring a passage and its documents together
     b = b.withColumn("head", starts)
-    words = F.split("text", " ")
-    heads = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, 3), " "))
+    # the array is bound to a variable: named inside the inner function it would be split anew for each word
+    heads = F.flatten(F.transform(F.array(F.split("text", " ")), lambda w: F.transform(w, lambda _, i: F.array_join(F.slice(w, i + 1, 3), " "))))
     found = d.select("doc_id", F.explode(F.array_distinct(F.concat(heads, F.transform(heads, lambda h: F.regexp_replace(h, r"^.*\n", ""))))).alias("head")).join(b, "head").select("item_id", "doc_id", "quote").distinct()
     held = found.join(d, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id", "quote")
     return grounding.locate(held, d).where("how = 'exact'").select("item_id", "doc_id", "char_start")
