@@ -33,7 +33,7 @@ from .words import U, Words, mix, slices
 #: Frequent shingles put at the end of the order: a table of at most 4 MB.
 MOST_FREQUENT, FREQUENT = 1 << 18, 8
 #: Shingles held back before counting; postings of a fragment; fragments of the verification.
-COUNTED, FRAGMENT_ROWS, SEGMENTS = 4_000_000, 1_500_000, 8
+COUNTED, FRAGMENT_ROWS, SEGMENTS = 2_500_000, 800_000, 8
 REMEMBERED = 400_000
 
 
@@ -105,7 +105,7 @@ def _prefixes(k: int, percent: int, fragments: int, frequent_of):
                     size += most
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                if size >= 1_500_000:
+                if size >= 600_000:
                     yield _postings(held, fragments)
                     held, size = [], 0
         if held:
@@ -223,7 +223,7 @@ def _elements(k: int, bitmap_of, fragments: int):
                         size += len(s)
                 if len(sent) > REMEMBERED:
                     sent.clear()
-                if size >= 1_000_000:
+                if size >= 500_000:
                     yield pack(held)
                     held, size = [], 0
         if held:

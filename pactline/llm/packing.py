@@ -31,7 +31,7 @@ from .words import Words, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local long"
 #: Words kept in a Python worker's cache (some 200 bytes each) before it starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 350_000
 
 
 class Numbered(dict):

@@ -33,7 +33,7 @@ WINDOW, ANCHOR, SHINGLE = 32, 16, 5
 MIN_WORDS = 32
 BANDS, ROWS = 8, 3
 REMEMBERED = 400_000
-FRAGMENT_ROWS = 1_500_000
+FRAGMENT_ROWS = 800_000
 _rng = np.random.default_rng(77)
 TURN = _rng.integers(1, 2**64 - 1, BANDS * ROWS + 1, dtype=U) | U(1)
 
@@ -142,7 +142,7 @@ def _postings(min_words: int, fragments: int):
                 total += len(key)
                 if len(met) > 2 * REMEMBERED:
                     met.clear()
-                if total >= 1_000_000:
+                if total >= 500_000:
                     yield pack(held)
                     held, total = [], 0
         if total:
