@@ -1,13 +1,14 @@
 """Fuzzy line dedup: SimHash of normalised lines, join on pigeonhole blocks, edit similarity, one line kept a group.
 
 A line's words (lower case, letters and digits only) are its normal form; equal normal forms are one node, so copies
-never meet each other.  A node's SimHash has 192 bits: words, weighted by length, counted in 256 hashed places, times a
-fixed random matrix of +1 and -1, by sign.  It is cut into BLOCKS blocks of log2(nodes) + 2 bits, so that chance
-collisions stay in proportion to the number of nodes.  Two fingerprints that differ in at most BLOCKS - 1 of these bits
-agree in a whole block (pigeonhole), so nodes that share a block are candidates, unless the first 64 bits of their
-fingerprints differ in more than 16, or all in more than 33.  Blocks are dealt out by fragments of the key range, and each fragment passes on
-only keys that several nodes have.  A candidate is a link when
-edit distance <= (1 - similarity) x the longer form's length.
+never meet each other.  A node's SimHash has PRINT_BITS bits: words, weighted by length, counted in 256 hashed places,
+times a fixed random matrix of +1 and -1, by sign.  It is cut into BLOCKS blocks of BLOCK_BITS bits, whatever the number
+of nodes, so that recall doesn't depend on the size of the corpus: two fingerprints that differ in a share p of their
+bits agree in a whole block (pigeonhole) with chance 1 - (1 - (1 - p)^BLOCK_BITS)^BLOCKS.  Nodes that share a block are
+candidates, unless the first 64 bits of their fingerprints differ in more than FIRST_BITS, or the first 192 in more than
+MOST_BITS.  Blocks are dealt out by fragments of the key range, a few blocks at a time; a fragment compares all
+nodes under a key so, and by size, and passes on only groups of like ones, under a key of the group's own, so that a
+wide bucket's chance members part.  A candidate is a link when edit distance <= (1 - similarity) x the longer form's length.
 
 Lines of fewer than `min_words` words are no nodes and are always kept.
 
@@ -18,6 +19,7 @@ through `dedup` untouched.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +30,15 @@ from pyspark.sql import functions as F
 from . import common
 from .words import NOT_ALNUM, U, Words, _powers, mix, slices
 
-BLOCKS, PRINT_BITS, PLACES = 8, 192, 256
-#: Fingerprints further apart are no candidates, in the first 64 bits and in all (unrelated ones differ in half).
-FIRST_BITS, MOST_BITS = 16, 33
+BLOCKS, BLOCK_BITS, PLACES = 32, 16, 256
+PRINT_BITS = BLOCKS * BLOCK_BITS
+#: Blocks dealt out at a time, which bounds the shuffle files.
+AT_ONCE = 4
+#: Fingerprints further apart are no candidates, in the first 64 bits and in the first 192 (unrelated ones differ in half).
+FIRST_BITS, MOST_BITS, MARKS = 18, 46, 3
 FRAGMENT_ROWS = 800_000
-SMALL = 12
+#: Buckets up to this size are compared by shifting all of them at once, wider ones one by one.
+NARROW = 96
 MIN_WORDS = 5
 ORDER = U(0xD1342543DE82EF95)
 ORDER_INV = U(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -86,11 +92,10 @@ class Lines:
         return out
 
 
-def blocks(prints: np.ndarray, bits: int) -> np.ndarray:
+def blocks(prints: np.ndarray) -> np.ndarray:
     """(lines, BLOCKS) keys of the fingerprints' blocks, different for different blocks."""
-    flat = np.unpackbits(np.ascontiguousarray(prints).view(np.uint8).reshape(len(prints), -1), axis=1)
-    n = min(BLOCKS, PRINT_BITS // bits)
-    return flat[:, : n * bits].reshape(len(prints), n, bits) @ (1 << np.arange(bits, dtype=np.int64)) * BLOCKS + np.arange(n)
+    flat = np.ascontiguousarray(prints).view(np.uint16).reshape(len(prints), -1)
+    return flat.astype(np.int64) | np.arange(BLOCKS) << BLOCK_BITS
 
 
 def _occurrences(min_words: int):
@@ -115,11 +120,11 @@ def _occurrences(min_words: int):
     return run
 
 
-_POSTINGS = ["fragment", "key", "node", "size", "print"]
+_POSTINGS = ["fragment", "key", "node", "size", *(f"p{i}" for i in range(MARKS))]
 
 
-def _postings(fragments: int, bits: int):
-    """(node, size, print) -> postings as lists by fragment of the key range."""
+def _postings(fragments: int, first: int):
+    """(node, size, print) -> postings of AT_ONCE blocks from `first` on, as lists by fragment of the key range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,34 +132,112 @@ def _postings(fragments: int, bits: int):
             if not n:
                 continue
             prints = np.asarray(batch.column("print").flatten()).reshape(n, -1)
-            keys = blocks(prints, bits)
-            key, each = keys.ravel(), keys.shape[1]
-            frag = (key // BLOCKS * fragments) >> bits
+            key = blocks(prints)[:, first : first + AT_ONCE].ravel()
+            frag = ((key - (first << BLOCK_BITS)) * fragments) // (AT_ONCE << BLOCK_BITS)
             order = np.argsort(frag, kind="stable")
-            kinds, first = np.unique(frag[order], return_index=True)
-            off = pa.array(np.append(first, len(key)), pa.int32())
-            cols = [key, *(np.repeat(x, each) for x in (np.asarray(batch.column("node")), np.asarray(batch.column("size")).astype(np.int32), prints[:, 0]))]
+            kinds, starts = np.unique(frag[order], return_index=True)
+            off = pa.array(np.append(starts, len(key)), pa.int32())
+            cols = [key.astype(np.int32), *(np.repeat(x, AT_ONCE) for x in (np.asarray(batch.column("node")), np.asarray(batch.column("size")).astype(np.int32), *prints[:, :MARKS].T))]
             yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.ListArray.from_arrays(off, pa.array(c[order])) for c in cols)], _POSTINGS)
 
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of one fragment: the nodes that have another one with a like fingerprint under their key."""
-    key, node, size, mark = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
-    order = np.lexsort((node, key))
-    key, node, size, mark = key[order], node[order], size[order], mark[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
-    key, node, size, mark = key[new], node[new], size[new], mark[new].view(U)
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-    count = np.diff(np.append(starts, len(key)))
-    keep = np.repeat(count > SMALL, count)  # large buckets pass whole; of small ones each pair is looked at
-    for reach in range(1, SMALL):
-        if len(key) > reach:
-            like = (key[reach:] == key[:-reach]) & (np.bitwise_count(mark[reach:] ^ mark[:-reach]) <= FIRST_BITS)
-            keep[reach:] |= like
-            keep[:-reach] |= like
-    return pa.table([pa.array(c[keep].astype(np.int64)) for c in (key, node, size)] + [pa.array(mark[keep].astype(np.int64))], ["key", "node", "size", "print"])
+class Like:
+    """Which of some nodes, with the first MARKS words of their fingerprints, can be near copies."""
+
+    def __init__(self, marks: list[np.ndarray], size: np.ndarray, percent: int) -> None:
+        self.marks, self.size, self.percent = marks, size, percent
+
+    def _rest(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        apart = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in self.marks)
+        a, b = self.size[i].astype(np.int64), self.size[j].astype(np.int64)
+        return (apart <= MOST_BITS) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * self.percent)
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each k whether i[k] and j[k] can."""
+        m = self.marks[0]
+        hit = np.bitwise_count(m[i] ^ m[j]) <= FIRST_BITS
+        at = np.flatnonzero(hit)
+        hit[at] = self._rest(i[at], j[at])
+        return hit
+
+    def table(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """For each of i and each of j whether they can; not with themselves."""
+        m = self.marks[0]
+        hit = np.bitwise_count(m[i][:, None] ^ m[j]) <= FIRST_BITS
+        a, b = np.nonzero(hit)
+        hit[a, b] = (i[a] != j[b]) & self._rest(i[a], j[b])
+        return hit
+
+
+def _wide(like: Like, start: int, n: int) -> np.ndarray:
+    """Of one wide bucket: each node's group of like ones, as the place of one of them.  A first pass leaves out those
+    that are like no other; a group then grows from one of its own, and only by those not yet reached."""
+    step = max(1, min(64, (1 << 21) // n))
+    some, others, todo = np.zeros(n, bool), np.arange(n), np.arange(n)
+    while len(todo):
+        part, todo = todo[:step], todo[step:]
+        hit = like.table(part + start, others + start)
+        some[part] |= hit.any(1)
+        some[others[hit.any(0)]] = True
+        others = others[some[others] | (others > part[-1])]
+        todo = todo[~some[todo]]
+    label, left = np.arange(n), np.flatnonzero(some)
+    while len(left):
+        root, front, left = left[0], left[:1], left[1:]
+        while len(front) and len(left):
+            hit = like.table(front[:step] + start, left + start).any(0)
+            label[left[hit]] = root
+            front, left = np.concatenate([front[step:], left[hit]]), left[~hit]
+    return label + start
+
+
+def _groups(start: np.ndarray, count: np.ndarray, like: Like) -> np.ndarray:
+    """For each node, sorted by bucket, the place of one that stands for its group of like ones in the bucket."""
+    n_all = len(like.size)
+    label = np.arange(n_all)
+    for s, n in zip(start[count > NARROW].tolist(), count[count > NARROW].tolist(), strict=True):
+        label[s : s + n] = _wide(like, s, n)
+    end = np.repeat(np.where(count > NARROW, start, start + count), count)
+    here, pairs, reach = np.arange(n_all), [], 0
+    while len(here):
+        reach += 1
+        here = here[here + reach < end[here]]
+        met = here[like.pairs(here, here + reach)]
+        pairs.append((met, met + reach))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (label[:0], label[:0])
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
+def _shared(percent: int):
+    """Of one fragment: the nodes that have a like one under their key, with a key for each group of like ones that
+    depends on its nodes only."""
+
+    def run(table: pa.Table) -> pa.Table:
+        key, node, size, *marks = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
+        order = np.lexsort((node, key))
+        key, node = key[order], node[order]
+        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
+        key, node, order = key[new], node[new], order[new]
+        size = size[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+        label = _groups(start, np.diff(np.append(start, len(key))), Like([m[order].view(U) for m in marks], size, percent))
+        keep = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
+        keep = keep[np.argsort(label[keep], kind="stable")]
+        first = np.flatnonzero(np.append(True, label[keep][1:] != label[keep][:-1])[: len(keep)])
+        names = mix(np.add.reduceat(mix(node[keep].view(U)), first)) if len(first) else np.zeros(0, U)
+        names = np.repeat(names, np.diff(np.append(first, len(keep))))
+        return pa.table([pa.array(c.astype(np.int64)) for c in (names, node[keep], size[keep])], ["key", "node", "size"])
+
+    return run
 
 
 def _within(bitmap_of):
@@ -250,16 +333,21 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     found = common.scratch(rows.mapInArrow(_occurrences(min_words), "doc_id long, row long, line_no long, node long, size long, print array<long>, form string"))
     found = found.withColumn("print", F.when(F.size("print") > 0, F.col("print")))
-    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.any_value("print", True).alias("print")))
+    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.slice(F.any_value("print", True), 1, MARKS).alias("print")))
     fresh = found.where("form is not null")
     n_nodes = nodes.count()
-    fragments = max(1, min(12, n_nodes * BLOCKS // 10_000), n_nodes * BLOCKS // FRAGMENT_ROWS)
-    bits = min(40, max(16, n_nodes.bit_length() + 2))
-    posted = fresh.select("node", "size", "print").mapInArrow(_postings(fragments, bits), "fragment long, key array<long>, node array<long>, size array<int>, print array<long>")
-    shared = common.scratch(posted.groupBy("fragment").applyInArrow(_shared, "key long, node long, size long, print long"))
-    prints = [f"p{i}" for i in range(PRINT_BITS // 64)]
+    fragments = max(1, min(12, n_nodes * AT_ONCE // 10_000), n_nodes * AT_ONCE // FRAGMENT_ROWS)
+    parts = []
+    for first in range(0, BLOCKS, AT_ONCE):
+        posted = fresh.select("node", "size", "print").mapInArrow(_postings(fragments, first), "fragment long, key array<int>, node array<long>, size array<int>, " + ", ".join(f"p{i} array<long>" for i in range(MARKS)))
+        parts.append(common.scratch(posted.groupBy("fragment").applyInArrow(_shared(similarity_percent), "key long, node long, size long")))
+        del posted
+        common.release(spark)
+    shared = common.scratch(functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["key", "node"]))  # the same group under several blocks
+    common.drop(*parts)
+    prints = [f"p{i}" for i in range(MARKS)]
     of_node = nodes.select("node", "n", *(F.get("print", F.lit(i)).alias(c) for i, c in enumerate(prints)))
-    members = shared.drop("print").join(of_node, "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
+    members = shared.join(of_node, "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))

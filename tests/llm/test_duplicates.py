@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import pytest
 
 from pactline.llm import common, decontam, jaccard, lines, passages
@@ -132,6 +133,51 @@ def test_line_groups(spark):
     assert lines.groups(df.limit(0)).count() == 0
 
 
+def near_lines(rng, n, changed, count):
+    """Pairs of lines of n words with `changed` of them replaced, at edit similarity 0.9."""
+    out = []
+    while len(out) < count:
+        a = text(n, rng).split()
+        b = list(a)
+        for i in rng.sample(range(n), changed):
+            b[i] = rng.choice(VOCAB)
+        a, b = " ".join(a), " ".join(b)
+        if a != b and levenshtein(a, b) <= max(len(a), len(b)) // 10:
+            out.append((a, b))
+    return out
+
+
+@pytest.mark.parametrize("others", [0, 40_000])
+def test_line_recall(spark, others):
+    """Pairs at edit similarity 0.9 are linked at the stated recall, whatever the number of other lines."""
+    rng = random.Random(14)
+    pairs = [p for n, k in ((12, 1), (20, 1), (20, 2), (40, 3)) for p in near_lines(rng, n, k, 60)]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)] + [(1000 + i, text(9, rng)) for i in range(others)]
+    got = {r.doc_id: r.group_id for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = [2 * i in got and got[2 * i] == got.get(2 * i + 1) for i in range(len(pairs))]
+    assert sum(found) >= 0.9 * len(pairs)
+
+
+@pytest.mark.parametrize("narrow", [96, 3])
+def test_like_groups(monkeypatch, narrow):
+    """Groups of like fingerprints inside buckets, narrow and wide, against brute force."""
+    monkeypatch.setattr(lines, "NARROW", narrow)
+    rng = np.random.default_rng(2)
+    size = np.array([1, 2, 3, 4, 40, 150])
+    mark = rng.integers(0, 2**63, size.sum()).astype(np.uint64)
+    for i in range(1, len(mark)):  # chains of like ones, some in a row
+        if rng.random() < 0.6:
+            mark[i] = mark[i - 1 - rng.integers(0, min(i, 5))] ^ np.uint64(rng.integers(0, 2**12) << rng.integers(0, 51))
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    label = lines._groups(start, size, lines.Like([mark], np.full(len(mark), 50), 90))
+    for s, n in zip(start, size, strict=True):
+        part = mark[s : s + n]
+        want = np.bitwise_count(part[:, None] ^ part) <= lines.FIRST_BITS
+        for _ in range(8):
+            want = want @ want
+        assert ((label[s : s + n][:, None] == label[s : s + n]) == want).all()
+
+
 def test_passages(spark):
     rng = random.Random(12)
     shared, short = text(70, rng), text(14, rng)
