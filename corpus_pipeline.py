@@ -48,7 +48,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 @_stage
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; those left without a word go."""
-    return lines.dedup(docs).where(F.col("text").rlike(WORD))
+    return lines.dedup(docs, short=True).where(F.col("text").rlike(WORD))
 
 
 @_stage

@@ -10,7 +10,9 @@ MOST_BITS.  Blocks are dealt out by fragments of the key range, a few blocks at
 nodes under a key so, and by size, and passes on only groups of like ones, under a key of the group's own, so that a
 wide bucket's chance members part.  A candidate is a link when edit distance <= (1 - similarity) x the longer form's length.
 
-Lines of fewer than `min_words` words are no nodes and are always kept.
+Lines of fewer than `min_words` words have no fingerprint.  With `short` (as the query and the pipeline ask) they are
+nodes by their normal form, so that their exact copies are found, also those of scripts without spaces, where a line is
+one word; without it they are no nodes and are always kept.  A line without a word has no normal form and is kept.
 
 Defined results: null and empty texts have no lines to judge; equal rows (doc_id and text) are judged alike, so the
 first occurrence stays in each of them; a null doc_id sorts first; empty tables give no rows; further columns pass
@@ -98,13 +100,15 @@ def blocks(prints: np.ndarray) -> np.ndarray:
     return flat.astype(np.int64) | np.arange(BLOCKS) << BLOCK_BITS
 
 
-def _occurrences(min_words: int):
+def _occurrences(min_words: int, short: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                lines = Lines(part.column("text"), min_words)
-                kinds, where = np.unique(lines.node, return_index=True)
+                lines = Lines(part.column("text"), 1 if short else min_words)
+                printed = np.flatnonzero(lines.end - lines.first >= min_words)
+                kinds, where = np.unique(lines.node[printed], return_index=True)
+                where = printed[where]
                 fresh = np.sort(np.array([i for k, i in zip(kinds.tolist(), where.tolist(), strict=True) if k not in sent], np.int64))
                 if len(sent) > REMEMBERED:
                     sent.clear()
@@ -325,13 +329,13 @@ def _verified(similarity_percent: int):
     return run
 
 
-def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS) -> DataFrame:
+def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """docs (doc_id, text) -> a row per line that has a near copy: doc_id, row (hash of doc_id and text), line_no (from
     0), node (hash of the normal form), group_id (smallest node), n_lines of the group, removed (all but the first by
     doc_id and line_no)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    found = common.scratch(rows.mapInArrow(_occurrences(min_words), "doc_id long, row long, line_no long, node long, size long, print array<long>, form string"))
+    found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), "doc_id long, row long, line_no long, node long, size long, print array<long>, form string"))
     found = found.withColumn("print", F.when(F.size("print") > 0, F.col("print")))
     nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.slice(F.any_value("print", True), 1, MARKS).alias("print")))
     fresh = found.where("form is not null")
@@ -372,10 +376,10 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     return out.select("doc_id", "row", "line_no", "node", "group_id", "n_lines", (~same).alias("removed"))
 
 
-def dedup(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """docs with the removed lines taken out of text (n_chars follows where there is such a column); a document whose
     lines all go stays, with empty text."""
-    gone = groups(docs, similarity_percent, min_words).where("removed").groupBy("row").agg(F.collect_set("line_no").alias("gone_lines"))  # a document's own lines: bounded by its text
+    gone = groups(docs, similarity_percent, min_words, short).where("removed").groupBy("row").agg(F.collect_set("line_no").alias("gone_lines"))  # a document's own lines: bounded by its text
     gone = common.scratch(gone)
     cols = docs.columns
     keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", "text")).join(gone.hint("merge"), F.col("row_key_") == F.col("row"), "left")  # what goes grows with the corpus: never broadcast

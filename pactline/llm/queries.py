@@ -80,7 +80,7 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lines.groups(table(spark, sf_dir, "documents")).drop("row")
+    return lines.groups(table(spark, sf_dir, "documents"), short=True).drop("row")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -178,6 +178,17 @@ def test_like_groups(monkeypatch, narrow):
         assert ((label[s : s + n][:, None] == label[s : s + n]) == want).all()
 
 
+def test_short_lines(spark):
+    """Lines under min_words: their exact copies go too where that is asked for, also those of scripts without spaces."""
+    long = "\u8bad\u7ec3\u6570\u636e\u91cc\u91cd\u590d\u7684\u4e00\u884c" * 4
+    rows = [(i, f"{text(20)}\nRead more!\n{long}\n---\n\nread  more") for i in range(3)] + [(9, f"{long}x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.line_no): (r.n_lines, r.removed) for r in lines.groups(df, short=True).collect()}
+    assert got == {(i, n): (of, (i, n) not in {(0, 1), (0, 2)}) for i in range(3) for n, of in ((1, 6), (2, 3), (5, 6))}
+    out = {r.doc_id: r.text for r in lines.dedup(df, short=True).collect()}
+    assert out[1] == rows[1][1].split("\n")[0] + "\n---\n" and out[9] == f"{long}x"
+
+
 def test_passages(spark):
     rng = random.Random(12)
     shared, short = text(70, rng), text(14, rng)
