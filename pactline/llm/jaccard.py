@@ -43,7 +43,7 @@ def node_of(shingles: np.ndarray) -> int:
 
 
 def _survey(k: int):
-    """Rows of documents (doc_id, n, node) and of locally frequent shingles (shingle, count)."""
+    """Rows of documents (doc_id, row, n, node) and of locally frequent shingles (shingle, count)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, sent = [], 0, set()
@@ -57,7 +57,7 @@ def _survey(k: int):
                         sent.add(node[-1])
                         held.append(s)
                         size += len(s)
-                yield _survey_rows(part.column("doc_id"), n, node)
+                yield _survey_rows(part.column("doc_id"), part.column("row"), n, node)
                 if size >= COUNTED:
                     yield _counts(held)
                     held, size = [], 0
@@ -69,18 +69,18 @@ def _survey(k: int):
     return run
 
 
-_SURVEY = ["doc_id", "n", "node", "shingle", "count"]
+_SURVEY = ["doc_id", "row", "n", "node", "shingle", "count"]
 
 
-def _survey_rows(docs: pa.Array, n: list, node: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([docs, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _SURVEY)
+def _survey_rows(docs: pa.Array, rows: pa.Array, n: list, node: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([docs, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _SURVEY)
 
 
 def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
     kinds, count = np.unique(np.concatenate(held), return_counts=True)
     often = count >= 2
     none = pa.nulls(int(often.sum()), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, pa.array(kinds[often].astype(np.int64)), pa.array(count[often])], _SURVEY)
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(kinds[often].astype(np.int64)), pa.array(count[often])], _SURVEY)
 
 
 def _prefixes(k: int, percent: int, fragments: int, frequent_of):
@@ -270,9 +270,16 @@ def _rare_first(percent: int):
 def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, node (hash of the set: documents with equal sets are one class) and
     component_id (smallest doc_id reachable by links)."""
+    return _placed(docs, percent, k).select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
+    """A row per document: doc_id, row (hash of doc_id and text), n, node, comp (a node of its component; null without
+    words), component_id."""
     spark = docs.sparkSession
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     texts = docs.select("doc_id", "text")
-    survey = common.scratch(texts.mapInArrow(_survey(k), "doc_id long, n long, node long, shingle long, count long"))
+    survey = common.scratch(rows.mapInArrow(_survey(k), "doc_id long, row long, n long, node long, shingle long, count long"))
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
     keys, freq = np.asarray(often.column("shingle").combine_chunks()).astype(np.int64).astype(U), np.asarray(often.column("n").combine_chunks()).astype(np.int64)
     order = np.argsort(keys)
@@ -315,13 +322,22 @@ def components(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     n, c = least.alias("n"), comps.alias("c")
     placed = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.node", "n.low", F.expr("coalesce(c.comp, n.node)").alias("comp")))
     smallest = placed.groupBy("comp").agg(F.min("low").alias("component_id"))
-    ids = common.scratch(placed.join(smallest, "comp").select(F.col("node").alias("k"), "component_id"))
-    out = known.join(ids, known["node"] == ids["k"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    ids = common.scratch(placed.join(smallest, "comp").select(F.col("node").alias("k"), "comp", "component_id"))
+    return known.join(ids, known["node"] == ids["k"], "left").select("doc_id", "row", "n", "node", "comp", "component_id")
 
 
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
-    """One document of each component: the smallest doc_id, of repeated rows one.  Documents without words stay."""
-    groups = components(docs, percent, k)
-    gone = common.scratch(groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct())
-    return docs.join(gone.hint("merge"), "doc_id", "left_anti")  # what goes grows with the corpus: never broadcast
+    """One row of each component: that of the smallest doc_id (nulls last), of repeated rows one.  Documents without
+    words stay."""
+    placed = common.scratch(_placed(docs, percent, k).where("comp is not null").select("doc_id", F.col("row").alias("row_key_"), "comp"))
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key_")).alias("f"))
+    kept = common.scratch(first.select("f.row_key_"))
+    gone = common.scratch(placed.join(kept.hint("merge"), "row_key_", "left_anti").select("row_key_").distinct())
+    again = common.scratch(placed.join(kept.hint("merge"), "row_key_", "left_semi").groupBy("row_key_").count().where("count > 1").select("row_key_"))
+    common.drop(placed, kept)
+    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", "text"))
+    out = keyed.join(gone.hint("merge"), "row_key_", "left_anti")  # what goes grows with the corpus: never broadcast
+    if not again.isEmpty():  # rows that are equal in doc_id and text
+        more = keyed.join(again.hint("merge"), "row_key_", "left_semi").dropDuplicates(["row_key_"])
+        out = out.join(again.hint("merge"), "row_key_", "left_anti").select(*keyed.columns).unionByName(more)
+    return out.select(*docs.columns)

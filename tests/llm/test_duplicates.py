@@ -81,6 +81,16 @@ def test_jaccard_repeated_rows_and_null_id(spark):
     assert {r.component_id for r in jaccard.components(df).collect()} == {2}
 
 
+def test_jaccard_keep_one_of_rows(spark):
+    """One row a group: repeated rows and null ids too; a row stays though its doc_id is also that of a copy elsewhere."""
+    t, u, v, w = (text(30) for _ in range(4))
+    rows = [(4, t), (4, t), (None, t), (2, u), (2, u), (None, v), (None, v), (7, w), (7, t), (8, None), (8, None), (8, "")]
+    df = spark.createDataFrame([(i, x, "z") for i, x in rows], "doc_id long, text string, row string")
+    got = sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str)
+    assert got == sorted([(4, t), (2, u), (None, v), (7, w), (8, None), (8, None), (8, "")], key=str)
+    assert jaccard.keep_one(df).columns == df.columns and jaccard.keep_one(df.limit(0)).count() == 0
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, 1000 + i) for i in range(1, 50)] + [(5, 5)]
     got = {r.node: r.comp for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
