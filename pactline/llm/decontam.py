@@ -3,11 +3,12 @@
 The CGK walk reads a word sequence with a pointer: step i writes the word under it and moves on if a random bit of
 (i, word) says so.  Two sequences a few edits apart fall into step again, so edit distance becomes Hamming distance,
 and sampling coordinates of the walk is a locality-sensitive hash.  Windows of a document begin at every STRIDE-th
-word; items are embedded from every word on, so one of them is aligned with a window of any leaked passage.  Items are
-dealt with by size: TIERS gives the steps walked and the coordinates sampled, so that a walk stays inside the item;
-the shortest meet windows of their own size at every word.  Walks are evaluated for a whole batch at once and only as
-far as the last coordinate.  With several aligned windows in a passage and several walks, recall
-is 1 - (1 - p)^(windows * repeats) for the chance p that one window survives the edits.
+word; items are embedded from every word on, so one of them is aligned with a window of any leaked passage.  Items
+of LONG words or more are walked for STEPS steps, about half as many words, of which SAMPLES are looked at: set for a
+recall of 0.95 at least with a fifth of an item's words replaced, from the shortest such items on.  Shorter items are
+sought by equal windows so small that a fifth of the words replaced, or one, leaves one of them whole.  Walks are evaluated for a whole batch at once and only as far as the last coordinate.  With several aligned
+windows in a passage and several walks, recall is about 1 - (1 - p)^(windows * repeats) for the chance p that one window
+survives the edits.  Edits inside most words of a passage at once leave no word to meet by, and are not found.
 
 Each candidate is verified: the least edit distance in characters between the item and any stretch of the document
 around it (Sellers' alignment, bit-parallel) must be at most (1 - similarity) of the item's length.
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 
 from .words import NOT_ALNUM, U, Words, mix, slices
 
-STRIDE = 4
+STRIDE = 2
 REPEATS = 6
-#: (least words of an item, steps walked, coordinates sampled)
-TIERS = [(16, 28, 8), (8, 12, 6), (1, 8, 8)]
+#: Least words of items that are walked, steps walked, coordinates sampled.
+LONG, STEPS, SAMPLES = 16, 14, 7
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
 
 
@@ -102,22 +103,18 @@ class Items:
         offset = np.arange(len(w.hash)) - w.first[item]
         size = self.words[item]
         self.groups = []
-        above = 1 << 62
-        for least, steps, samples in TIERS:
-            mine = (size >= least) & (size < above)
-            above = least
-            if least > 1:
-                # a window starts where the walk, half as long in words on average, still ends inside the item
-                chosen = [(STRIDE, None, mine & (offset <= np.maximum(STRIDE - 1, size - steps // 2)))]
-            else:
-                chosen = [(1, int(m), mine & (size == m) & (offset == 0)) for m in np.unique(size[mine])]
-            for stride, exact, use in chosen:
-                if use.any():
-                    walks, starts, found = Walks(steps, samples), np.flatnonzero(use), []
-                    for keys in walks.keys(w.hash, starts, w.first[1:][item[use]]):
-                        order = np.argsort(keys, kind="stable")
-                        found.append((keys[order], item[use][order], offset[use][order]))
-                    self.groups.append((walks, stride, exact, found))
+        # a window starts where the walk, half as long in words on average, still ends inside the item
+        chosen = [(Walks(STEPS, SAMPLES), STRIDE, None, (size >= LONG) & (offset <= np.maximum(STRIDE - 1, size - STEPS // 2)))]
+        piece = np.maximum(1, size // (np.maximum(1, size // 5) + 1))
+        for m in np.unique(piece[size < LONG]).tolist():  # equal windows have equal keys: one walk is enough
+            chosen.append((Walks(2 * m, 2 * m, 1), 1, m, (size < LONG) & (piece == m) & (offset <= size - m)))
+        for walks, stride, exact, use in chosen:
+            if use.any():
+                starts, found = np.flatnonzero(use), []
+                for keys in walks.keys(w.hash, starts, starts + exact if exact else w.first[1:][item[use]]):
+                    order = np.argsort(keys, kind="stable")
+                    found.append((keys[order], item[use][order], offset[use][order]))
+                self.groups.append((walks, stride, exact, found))
 
 
 def _search(items: Items):
@@ -149,7 +146,7 @@ def _search(items: Items):
             m, most = int(items.words[k]), items.most[k]
             if best.get((d, k), (1, 0, 0))[0] == 0:
                 continue  # an exact place is known
-            slack = STRIDE + 2 + m // 5
+            slack = 6 + m // 5
             a = max(int(w.first[d]), place * STRIDE - slack)
             b = min(int(w.first[d + 1]), place * STRIDE + m + slack)
             text = " ".join(data[x:y].decode() for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))

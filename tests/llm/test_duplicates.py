@@ -249,3 +249,24 @@ def test_decontamination(spark, block):
     kept = {r.doc_id for r in decontam.clean(docs, bench).collect()}
     assert 51 in kept and 50 not in kept and 0 not in kept
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
+
+
+def test_decontamination_recall(spark):
+    """A fifth of the words replaced: what the brute-force scan finds at similarity 0.8 is found at the stated recall."""
+    rng = random.Random(31)
+    items, rows = [], []
+    for m in (3, 5, 7, 8, 10, 15, 16, 20, 30):
+        for _ in range(40):
+            t = text(m, rng)
+            w = t.split()
+            for i in rng.sample(range(m), max(1, m // 5)):
+                w[i] = rng.choice(VOCAB)
+            items.append((len(items), t))
+            rows.append((len(rows), f"{text(rng.randint(8, 15), rng)} {' '.join(w)} {text(12, rng)}"))
+    want = {i for (i, t), (_, d) in zip(items, rows, strict=True) if decontam.distance(t, d)[0] <= int(0.2 * len(t) + 1e-9)}
+    got = {r.doc_id for r in decontam.matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id == r.item_id}
+    assert len(want) > 100
+    for k, m in enumerate((3, 5, 7, 8, 10, 15, 16, 20, 30)):
+        of = {i for i in want if i // 40 == k}
+        assert len(of & got) >= 0.9 * len(of), (m, len(of & got), len(of))
+    assert len(want & got) >= 0.95 * len(want)
