@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import uuid
 
 import numpy as np
-from pyspark import StorageLevel  # noqa: F401  (re-exported for callers that pin a table)
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_FALLBACK = "/tmp/checkpoints"  # only where the session names no shared folder, as in tests
@@ -17,8 +17,11 @@ _left: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else a local one for single-machine runs."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Only a session whose executors live in the
+    driver may leave it unset."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
     return (named or LOCAL_FALLBACK).rstrip("/")
 
 
@@ -39,12 +42,14 @@ def _clean() -> None:
             return
 
 
-def scratch(df: DataFrame) -> DataFrame:
+def scratch(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: cuts the lineage, survives lost executors
-    and makes row order, random values and task numbers in it final.  Removed when the driver ends, or by drop()."""
+    and makes row order, random values and task numbers in it final.  Removed when the driver ends, or by drop().  With
+    `by`, files are laid out by that column's few values, so that a filter on it reads its own only."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     _left.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
@@ -78,6 +83,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -102,27 +115,40 @@ def bit_set(bitmap: np.ndarray, pos: np.ndarray) -> np.ndarray:
     return (bitmap[pos >> 3] >> (pos & 7).astype(np.uint8)) & 1 == 1
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _state(edges: DataFrame) -> tuple:
+    """What tells two sets of edges apart: number of rows and two sums over their hashes, both taken map-side."""
+    h = F.xxhash64("u", "v")
+    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(h), F.sum(F.pmod(h, F.lit((1 << 31) - 1)))).head())
+
+
+def _lowest(edges: DataFrame, *more: Column) -> DataFrame:
+    """(u, m): the smallest neighbour of u.  Written out, so that a join with it deals both sides out anew and adaptive
+    execution can split the partition of a hub."""
+    return scratch(edges.groupBy("u").agg(F.least(F.min("v"), *more).alias("m") if more else F.min("v").alias("m")))
+
+
+def components(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids -> (node, comp): comp is the smallest id reachable.  Alternating large-star and
-    small-star steps; all state stays distributed, every round is cut by a scratch table.  A hub's links are
-    aggregated map-side before they meet."""
+    small-star steps until nothing moves; all state stays distributed, every round is cut by a scratch table.  Minima
+    are taken map-side, and the rows of a hub are split where they meet its minimum."""
     e = scratch(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(max_rounds):
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*")
+    state = _state(e)
+    while True:
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        both = e.unionByName(turned)
+        low = _lowest(both, F.col("u"))
+        large = both.where("v > u").join(low.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch(large.where("u <> v").distinct())
+        low2 = _lowest(large)
+        ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = large.join(low2.hint("merge"), "u").select(F.explode(ends).alias("x")).select("x.*")
         new = scratch(small.where("u <> v").distinct())
-        same = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
-        drop(e)
-        e = new
-        if same:
+        drop(e, low, large, low2)
+        e, before, state = new, state, _state(new)
+        if state == before:
             break
-    else:
-        raise RuntimeError("components: no fixed point")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+    heads = e.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct()
+    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(heads)
 
 
 def _labelled(members: DataFrame, comps: DataFrame) -> DataFrame:

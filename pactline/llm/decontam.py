@@ -15,7 +15,8 @@ around it (Sellers' alignment, bit-parallel) must be at most (1 - similarity) of
 
 Items are held in memory, `block` of them at a time (a bound); a larger set is worked off in blocks.
 
-Defined results: items or texts without a word, null ones too, match nothing; a document that holds an item several
+Defined results: items or texts without a word, null ones too, match nothing; an item without an id is sought like the
+others and reported with a null item_id; a document that holds an item several
 times gives one row with the best place (the earliest on ties); repeated rows give a row each; empty tables give no
 rows; other columns are not read.
 """
@@ -31,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import NOT_ALNUM, U, Words, mix, slices
+from .words import NOT_ALNUM, U, Words, lean, mix, slices
 
 STRIDE = 2
 REPEATS = 6
@@ -118,6 +119,7 @@ class Items:
 
 
 def _search(items: Items):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         check = functools.lru_cache(1 << 14)(lambda k, text: distance(items.text[k], text))
         for batch in batches:
@@ -179,12 +181,14 @@ def _blocks(benchmark: DataFrame, similarity: float, block: int) -> Iterator[Ite
     n = max(1, -(-ids.count() // block))
     for k in range(n):
         part = ids if n == 1 else ids.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield Items(sorted((r["item_id"], r["text"]) for r in part.collect()), similarity)
+        rows = [(r["item_id"], r["text"]) for r in part.collect()]
+        yield Items(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1])), similarity)
 
 
 def _without(items: Items):
     search = _search(items)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             numbered = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column("text")], ["doc_id", "text"])

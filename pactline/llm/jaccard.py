@@ -6,8 +6,11 @@ a better one gives fewer candidates).  The order is cut into fragments:
 
 1. candidates: two sets of similarity t or more share a shingle among the first n - ceil(t n) + 1 of each in the order.
    These prefixes are dealt out by fragment, and each fragment finds the shingles that several sets have;
-2. overlap: the sets in a candidate pair are cut into fragments again, every fragment counts its own partial overlap,
-   and the partial counts are summed per pair.  A pair links when 100 * overlap >= percent * union.
+2. bound: a set's shingles are counted in cells of the hash range, about three to a cell.  The lesser counts of two
+   sets, summed over the cells, are at least their overlap, so pairs whose sum falls short part without their sets
+   being read;
+3. overlap: the sets of the pairs left are cut into fragments, every fragment counts the partial overlap of each pair
+   by itself, and the partial counts are summed per pair.  A pair links when 100 * overlap >= percent * union.
 
 Equal sets are one node from the start, and large groups are linked through stars (see common.link_buckets), so copies
 are never paired.  Sets are recomputed from the text instead of being stored: that is cheaper than shuffling them.
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import U, Words, mix, slices
+from .words import U, Words, lean, lean_group, mix, slices
 
 #: Frequent shingles put at the end of the order: a table of at most 4 MB.
 MOST_FREQUENT, FREQUENT = 1 << 18, 8
 #: Shingles held back before counting; postings of a fragment; fragments of the verification.
-COUNTED, FRAGMENT_ROWS, SEGMENTS = 2_500_000, 800_000, 8
+COUNTED, FRAGMENT_ROWS, SEGMENT_BITS = 2_500_000, 800_000, 3
+SEGMENTS = 1 << SEGMENT_BITS
 REMEMBERED = 400_000
 
 
@@ -42,22 +46,56 @@ def node_of(shingles: np.ndarray) -> int:
     return int(mix(np.array([mix(shingles.copy()).sum(dtype=U) + U(len(shingles))], U)).astype(np.int64)[0])
 
 
+def cells(shingles: np.ndarray) -> bytes:
+    """How many of a set's shingles lie in each of 2^b equal cells of the hash range, one byte a cell (255: or more)."""
+    bits = max(0, (len(shingles) - 1).bit_length() - 2)
+    at = (shingles >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(shingles), np.int64)
+    return np.minimum(np.bincount(at, minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def most_shared(a: bytes, b: bytes, n_a: int, n_b: int) -> int:
+    """An upper bound of the overlap of two sets by their cells; the finer cells are joined to match the coarser ones."""
+    x, y = (np.frombuffer(c, np.uint8).astype(np.int64) for c in (a, b))
+    unsaid = n_a - int(x.sum()) + n_b - int(y.sum())  # beyond 255 in a cell
+    few = min(len(x), len(y))
+    return int(np.minimum(x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)).sum()) + unsaid
+
+
+def _possible(percent: int):
+    """Pairs (a, b, na, nb, ca, cb) -> (a, b, size of their union if they link at all) of those that can still link."""
+
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(c)) for c in ("na", "nb"))
+            sums = zip(*(batch.column(c).to_pylist() for c in ("ca", "cb", "na", "nb")), strict=True)
+            most = np.fromiter((most_shared(*x) for x in sums), np.int64, len(na))
+            keep = (100 + percent) * most >= percent * (na + nb)
+            out = [batch.column("a"), batch.column("b"), pa.array(na + nb, pa.int64())]
+            yield pa.RecordBatch.from_arrays(out, ["a", "b", "both"]).filter(pa.array(keep))
+
+    return run
+
+
 def _survey(k: int):
-    """Rows of documents (doc_id, row, n, node) and of locally frequent shingles (shingle, count)."""
+    """Rows of documents (doc_id, row, n, node, cells) and of locally frequent shingles (shingle, count)."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, sent = [], 0, set()
         for batch in batches:
             for part in slices(batch, "text"):
-                n, node = [], []
+                n, node, cell = [], [], []
                 for s in Words(part.column("text")).shingle_sets(k):
                     n.append(len(s))
                     node.append(node_of(s) if len(s) else None)
-                    if len(s) and node[-1] not in sent:
+                    fresh = len(s) > 0 and node[-1] not in sent
+                    cell.append(cells(s) if fresh else None)
+                    if fresh:
                         sent.add(node[-1])
                         held.append(s)
                         size += len(s)
-                yield _survey_rows(part.column("doc_id"), part.column("row"), n, node)
+                yield _survey_rows(part.column("doc_id"), part.column("row"), n, node, cell)
                 if size >= COUNTED:
                     yield _counts(held)
                     held, size = [], 0
@@ -69,23 +107,28 @@ def _survey(k: int):
     return run
 
 
-_SURVEY = ["doc_id", "row", "n", "node", "shingle", "count"]
+_SURVEY = ["doc_id", "row", "n", "node", "cells", "shingle", "count"]
+_SURVEY_TYPE = "doc_id long, row long, n long, node long, cells binary, shingle long, count long"
 
 
-def _survey_rows(docs: pa.Array, rows: pa.Array, n: list, node: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([docs, rows, pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.int64())], _SURVEY)
+def _survey_rows(docs: pa.Array, rows: pa.Array, n: list, node: list, cell: list) -> pa.RecordBatch:
+    none = pa.nulls(len(n), pa.int64())
+    own = [pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(cell, pa.binary())]
+    return pa.RecordBatch.from_arrays([docs, rows, *own, none, none], _SURVEY)
 
 
 def _counts(held: list[np.ndarray]) -> pa.RecordBatch:
     kinds, count = np.unique(np.concatenate(held), return_counts=True)
     often = count >= 2
     none = pa.nulls(int(often.sum()), pa.int64())
-    return pa.RecordBatch.from_arrays([none, none, none, none, pa.array(kinds[often].astype(np.int64)), pa.array(count[often])], _SURVEY)
+    found = [pa.array(kinds[often].astype(np.int64)), pa.array(count[often])]
+    return pa.RecordBatch.from_arrays([none, none, none, none, pa.nulls(len(none), pa.binary()), *found], _SURVEY)
 
 
 def _prefixes(k: int, percent: int, fragments: int, frequent_of):
     """Prefix postings as lists by fragment; those of frequent shingles go to fragments of their own, by node."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, rank = frequent_of.value
         held, size, sent = [], 0, set()
@@ -116,7 +159,7 @@ def _prefixes(k: int, percent: int, fragments: int, frequent_of):
 
 #: Lists: keys, the place of each one's set in the record's own lists of nodes, and its place in that set's order.
 _POSTINGS = ["fragment", "key", "at", "pos", "node", "size", "rank"]
-#: Fragments that the frequent shingles' postings are spread over, beside the others.
+#: Fragments at least that the frequent shingles' postings are spread over, beside the others.
 SALTS = 16
 
 
@@ -147,6 +190,7 @@ _MEMBERS = ["key", "node", "rank", "size", "pos"]
 def _shared(fragments: int):
     """Postings of one fragment whose shingle more than one node has; of frequent shingles, all."""
 
+    @lean_group
     def run(table: pa.Table) -> pa.Table:
         flat = {c: np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:]}
         n_keys = np.asarray(pc.list_value_length(table.column("key").combine_chunks()))
@@ -169,33 +213,39 @@ def _shared(fragments: int):
 
 
 def _sets(k: int, bitmap_of):
-    """The sets of nodes in the bitmap, each cut into SEGMENTS fragments of the order."""
+    """The sets of nodes in the bitmap: a row (node, fragment, elements) for each of SEGMENTS fragments of the order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, sent = bitmap_of.value, set()
         for batch in batches:
             for part in slices(batch, "text"):
-                node, parts = [], []
+                node, sets = [], []
                 for s in Words(part.column("text")).shingle_sets(k):
-                    if not len(s):
+                    if not len(s) or (x := node_of(s)) in sent:
                         continue
-                    x = node_of(s)
                     at = x & ((1 << common.LOG2_BITS) - 1)
-                    if x in sent or not bitmap[at >> 3] >> (at & 7) & 1:
-                        continue
-                    sent.add(x)
-                    node.append(x)
-                    parts.append(np.split(s.astype(np.int64), np.searchsorted(s >> U(61), np.arange(1, SEGMENTS, dtype=U))))
+                    if bitmap[at >> 3] >> (at & 7) & 1:
+                        sent.add(x)
+                        node.append(x)
+                        sets.append(s)
                 if len(sent) > REMEMBERED:
                     sent.clear()
                 if node:
-                    flat = [y for x in parts for y in x]
-                    inner = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]), pa.int32()), pa.array(np.concatenate(flat)))
-                    yield pa.RecordBatch.from_arrays([pa.array(node), pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1) * SEGMENTS, pa.int32()), inner)], ["node", "parts"])
+                    yield _cut(node, sets)
 
     return run
 
 
+def _cut(node: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    place = owner * SEGMENTS + (flat >> U(64 - SEGMENT_BITS)).astype(np.int64)  # ascending: sets are sorted
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat.astype(np.int64)))
+    whose = pa.array(np.array(node, np.int64)[owner[first]])
+    return pa.RecordBatch.from_arrays([whose, pa.array((place[first] % SEGMENTS).astype(np.int32)), lists], ["node", "fragment", "elements"])
+
+
 def _elements(k: int, bitmap_of, fragments: int):
     """All elements of the sets of nodes in the bitmap, as lists by fragment."""
 
@@ -209,6 +259,7 @@ def _elements(k: int, bitmap_of, fragments: int):
         cols = [pa.ListArray.from_arrays(off, pa.array(c[order])) for c in (key.astype(np.int64), node[at])]
         return pa.RecordBatch.from_arrays([pa.array(frag[order][np.concatenate([[0], cuts])]), *cols], ["fragment", "key", "node"])
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, sent, held, size = bitmap_of.value, set(), [], 0
         for batch in batches:
@@ -232,6 +283,7 @@ def _elements(k: int, bitmap_of, fragments: int):
     return run
 
 
+@lean_group
 def _counted(table: pa.Table) -> pa.Table:
     """Of one fragment: each node's elements that other nodes have too, with the number of nodes."""
     key, node = (np.asarray(table.column(c).combine_chunks().flatten()) for c in ("key", "node"))
@@ -253,6 +305,7 @@ def _counted(table: pa.Table) -> pa.Table:
 def _rare_first(percent: int):
     """(node, comp, size, key, n) -> the shared elements in each set's prefix, with their places in its order."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, places = [], []
@@ -279,7 +332,7 @@ def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     texts = docs.select("doc_id", "text")
-    survey = common.scratch(rows.mapInArrow(_survey(k), "doc_id long, row long, n long, node long, shingle long, count long"))
+    survey = common.scratch(rows.mapInArrow(_survey(k), _SURVEY_TYPE))
     often = survey.where("shingle is not null").groupBy("shingle").agg(F.sum("count").alias("n")).where(F.col("n") >= FREQUENT).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT).toArrow()
     keys, freq = np.asarray(often.column("shingle").combine_chunks()).astype(np.int64).astype(U), np.asarray(often.column("n").combine_chunks()).astype(np.int64)
     order = np.argsort(keys)
@@ -292,16 +345,24 @@ def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
 
     common.release(spark)
 
+    sizes = known.where("node is not null").groupBy("node")
+    sizes = common.scratch(sizes.agg(F.min("doc_id").alias("low"), F.max("n").alias("n"), F.max("cells").alias("c")))
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-        bitmap = spark.sparkContext.broadcast(common.low_bitmap(ends, "node"))
-        sets = texts.select("text").mapInArrow(_sets(k, bitmap), "node long, parts array<array<long>>").dropDuplicates(["node"])
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("parts").alias("pa")).hint("merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("parts").alias("pb")).hint("merge"), "b")  # sets grow with the corpus: never broadcast
-        partial = F.zip_with("pa", "pb", lambda x, y: F.size(F.array_intersect(x, y)).cast("long"))
-        total_of = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
-        size_of = lambda c: total_of(F.transform(c, lambda x: F.size(x).cast("long")))
-        counted = both.select("a", "b", size_of("pa").alias("na"), size_of("pb").alias("nb"), total_of(partial).alias("c"))
-        return counted.where(100 * F.col("c") >= percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b")
+        side = lambda x: sizes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("c").alias(f"c{x}")).hint("merge")
+        wide = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ca", "cb")
+        able = common.scratch(wide.mapInArrow(_possible(percent), "a long, b long, both long"))
+        bitmap = spark.sparkContext.broadcast(common.low_bitmap(able.select(F.explode(F.array("a", "b")).alias("node")), "node"))
+        cut = texts.select("text").mapInArrow(_sets(k, bitmap), "node long, fragment int, elements array<long>")
+        cut = common.scratch(cut.dropDuplicates(["node", "fragment"]))
+        of = lambda x: cut.select(F.col("node").alias(x), "fragment", F.col("elements").alias(f"e{x}")).hint("merge")  # noqa: E731  sets grow with the corpus: never broadcast
+        each = able.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS - 1))))
+        met = each.join(of("a"), ["a", "fragment"]).join(of("b"), ["b", "fragment"])
+        partial = met.select("a", "b", "both", F.size(F.array_intersect("ea", "eb")).cast("long").alias("c"))
+        total = partial.groupBy("a", "b", "both").agg(F.sum("c").alias("c"))
+        out = common.scratch(total.where((100 + percent) * F.col("c") >= percent * F.col("both")).select("a", "b"))
+        common.drop(able, cut)
+        return out
 
     def refine(rest: DataFrame) -> tuple[DataFrame, str]:
         """Buckets by prefixes with the rarest first among these sets, counted fragment by fragment."""
@@ -318,11 +379,11 @@ def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
     near = f"{common.like_sizes(percent)} and {room}"
     comps = common.link_buckets(members, verify, near, ("size", "pos"), refine)
     common.drop(members)
-    least = known.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("low"))
-    n, c = least.alias("n"), comps.alias("c")
+    n, c = sizes.alias("n"), comps.alias("c")
     placed = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.node", "n.low", F.expr("coalesce(c.comp, n.node)").alias("comp")))
     smallest = placed.groupBy("comp").agg(F.min("low").alias("component_id"))
     ids = common.scratch(placed.join(smallest, "comp").select(F.col("node").alias("k"), "comp", "component_id"))
+    common.drop(sizes, placed)
     return known.join(ids, known["node"] == ids["k"], "left").select("doc_id", "row", "n", "node", "comp", "component_id")
 
 

@@ -2,9 +2,10 @@
 
 A template is the set of its words; a block is 128 consecutive words of a text, every 64 words, so any passage of up
 to 64 words lies whole in one.  A block matches a template when it holds at least `threshold` of its words.  Words are
-ordered globally by the number of documents that have them, rarest first.  A matching block must hold one of the
-template's first |T| - need + 1 words (prefix filter), be large enough (length filter), and from that word on enough
-words must be left on both sides (positional filter); what passes is verified on the whole sets.
+ordered globally by the number of documents that have them, rarest first.  Of a block, the words that any template has
+are put into this order.  A matching block must hold one of the template's first |T| - need + 1 words (prefix filter),
+have at least `need` such words (length filter), and at least `need` of them from that word on in the block's own order
+(positional filter; on the template's side the prefix says the same); what passes is verified on the whole sets.
 
 Native: DataFrame functions only.  The template index is a few hundred rows fixed by the parameter, so it is
 broadcast; no row of the corpus is shuffled except the matches.
@@ -87,6 +88,12 @@ def template_index(templates: list[tuple[str, str]], frequency: dict[str, int],
     return out
 
 
+def may_match() -> Column:
+    """Length and positional filter of a word that stands at `at` in the block's words b: were it the first common word
+    in the order, could `need` words be common?  A match passes at its first common word."""
+    return F.size("b") - F.col("at") >= F.col("need")
+
+
 def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> (documents, blocks).  documents: a row per row with n_words, n_base, first_word, last_word,
     base_labels, labels, score (highest containment of a matching template, 0 without one).  blocks: every match with
@@ -95,12 +102,13 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
     vocabulary = sorted({w for _, t in templates for w in template_words(t)})
-    index = template_index(templates, word_order(docs, vocabulary), threshold) if vocabulary else []
+    frequency = dict.fromkeys(vocabulary, 0) | (word_order(docs, vocabulary) if vocabulary else {})
+    index = template_index(templates, frequency, threshold)
     heads = sorted({row[0] for row in index})
 
     t = F.coalesce(F.col("text"), F.lit(""))
     exact = F.when(F.octet_length(t) == F.length(t), F.lower(t)).otherwise(F.translate(t, UPPER, LOWER))
-    lowered, no_places = F.lower(t), F.array().cast("array<int>")
+    lowered, no_places, no_words = F.lower(t), F.array().cast("array<int>"), F.array().cast("array<string>")
 
     def row(w: Column) -> Column:
         """w: words of the lower-cased text; where other scripts' letters changed too it may only say too much."""
@@ -125,11 +133,13 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     held = common.scratch(flat)
 
     blocks = held.where("words is not null").select("rid", "doc_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE))).alias("first_word"))
-    blocks = blocks.select("rid", "doc_id", "first_word", F.array_distinct(F.slice("words", F.col("first_word") + 1, BLOCK)).alias("b"))
+    frequency = dict(sorted(frequency.items(), key=lambda x: (x[1], x[0])))
+    ordered = F.array(*map(F.lit, frequency)) if frequency else no_words
+    blocks = blocks.select("rid", "doc_id", "first_word", F.array_intersect(ordered, F.slice("words", F.col("first_word") + 1, BLOCK)).alias("b"))
     idx = spark.createDataFrame(index, "word string, template int, label string, pos int, size int, need int, t array<string>")
     idx = F.broadcast(idx) if len(index) <= MAX_BROADCAST_ROWS else idx
-    hits = blocks.select("rid", "doc_id", "first_word", "b", F.explode("b").alias("word")).join(idx, "word").where((F.size("b") >= F.col("need")) & (F.col("size") - F.col("pos") >= F.col("need")))
-    hits = hits.dropDuplicates(["rid", "first_word", "template"])
+    hits = blocks.select("rid", "doc_id", "first_word", "b", F.posexplode("b").alias("at", "word")).join(idx, "word")
+    hits = hits.where(may_match()).dropDuplicates(["rid", "first_word", "template"])
     shared = F.size(F.array_intersect("b", "t"))
     matches = hits.where(shared >= F.col("need")).select("rid", "doc_id", F.col("first_word").cast("long"), "template", "label", (shared / F.col("size")).alias("containment"))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import NOT_ALNUM, U, Words, _powers, mix, slices
+from .words import NOT_ALNUM, U, Words, _powers, lean, lean_group, mix, slices
 
 BLOCKS, BLOCK_BITS, PLACES = 32, 16, 256
 PRINT_BITS = BLOCKS * BLOCK_BITS
@@ -101,6 +101,7 @@ def blocks(prints: np.ndarray) -> np.ndarray:
 
 
 def _occurrences(min_words: int, short: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: set[int] = set()
         for batch in batches:
@@ -115,8 +116,8 @@ def _occurrences(min_words: int, short: bool):
                 sent.update(lines.node[fresh].tolist())
                 has = np.zeros(len(lines.node), bool)
                 has[fresh] = True
-                off = np.concatenate([[0], np.cumsum(has)]) * (PRINT_BITS // 64)
-                keys = pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(lines.prints(fresh).ravel()))
+                off = np.concatenate([[0], np.cumsum(has)]) * (PRINT_BITS // 8)
+                keys = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(lines.prints(fresh))])
                 forms = pa.array(lines.forms(fresh), pa.string()).take(pa.array(np.cumsum(has) - 1, mask=~has)) if len(fresh) else pa.nulls(len(has), pa.string())
                 docs, rows = part.column("doc_id").take(pa.array(lines.doc)), part.column("row").take(pa.array(lines.doc))
                 yield pa.RecordBatch.from_arrays([docs, rows, pa.array(lines.line.astype(np.int64)), pa.array(lines.node), pa.array(lines.sizes().astype(np.int64)), keys, forms], ["doc_id", "row", "line_no", "node", "size", "print", "form"])
@@ -130,12 +131,13 @@ _POSTINGS = ["fragment", "key", "node", "size", *(f"p{i}" for i in range(MARKS))
 def _postings(fragments: int, first: int):
     """(node, size, print) -> postings of AT_ONCE blocks from `first` on, as lists by fragment of the key range."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            prints = np.asarray(batch.column("print").flatten()).reshape(n, -1)
+            prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.int64).reshape(n, -1)
             key = blocks(prints)[:, first : first + AT_ONCE].ravel()
             frag = ((key - (first << BLOCK_BITS)) * fragments) // (AT_ONCE << BLOCK_BITS)
             order = np.argsort(frag, kind="stable")
@@ -225,6 +227,7 @@ def _shared(percent: int):
     """Of one fragment: the nodes that have a like one under their key, with a key for each group of like ones that
     depends on its nodes only."""
 
+    @lean_group
     def run(table: pa.Table) -> pa.Table:
         key, node, size, *marks = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
         order = np.lexsort((node, key))
@@ -247,6 +250,7 @@ def _shared(percent: int):
 def _within(bitmap_of):
     """Rows (node, form) whose node is in the bitmap."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = np.asarray(batch.column("node"))
@@ -320,6 +324,7 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def _verified(similarity_percent: int):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pairs = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
@@ -335,9 +340,8 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     doc_id and line_no)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), "doc_id long, row long, line_no long, node long, size long, print array<long>, form string"))
-    found = found.withColumn("print", F.when(F.size("print") > 0, F.col("print")))
-    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.slice(F.any_value("print", True), 1, MARKS).alias("print")))
+    found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), "doc_id long, row long, line_no long, node long, size long, print binary, form string"))
+    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.substring("print", 1, MARKS * 8)).alias("print")))
     fresh = found.where("form is not null")
     n_nodes = nodes.count()
     fragments = max(1, min(12, n_nodes * AT_ONCE // 10_000), n_nodes * AT_ONCE // FRAGMENT_ROWS)
@@ -350,7 +354,7 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     shared = common.scratch(functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["key", "node"]))  # the same group under several blocks
     common.drop(*parts)
     prints = [f"p{i}" for i in range(MARKS)]
-    of_node = nodes.select("node", "n", *(F.get("print", F.lit(i)).alias(c) for i, c in enumerate(prints)))
+    of_node = nodes.select("node", "n", *(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long").alias(c) for i, c in enumerate(prints)))
     members = shared.join(of_node, "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -379,13 +383,15 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
 def dedup(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """docs with the removed lines taken out of text (n_chars follows where there is such a column); a document whose
     lines all go stays, with empty text."""
-    gone = groups(docs, similarity_percent, min_words, short).where("removed").groupBy("row").agg(F.collect_set("line_no").alias("gone_lines"))  # a document's own lines: bounded by its text
-    gone = common.scratch(gone)
-    cols = docs.columns
-    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", "text")).join(gone.hint("merge"), F.col("row_key_") == F.col("row"), "left")  # what goes grows with the corpus: never broadcast
-    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col("gone_lines"), i.cast("long")))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    out = keyed.withColumn("text", text)
-    if "n_chars" in cols:
-        out = out.withColumn("n_chars", F.when(F.col("gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(*cols)
+    removed = groups(docs, similarity_percent, min_words, short).where("removed")
+    key, gone = common.unused(docs, "key"), common.unused(docs, "gone")
+    lost = removed.groupBy(F.col("row").alias(key)).agg(F.collect_set("line_no").alias(gone))  # a document's own lines
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    keyed = keyed.join(common.scratch(lost).hint("merge"), key, "left")  # what goes grows with the corpus: never broadcast
+    kept = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(F.col(gone), i.cast("long")))
+    intact = F.col(gone).isNull()
+    changed = {"text": F.when(intact, F.col("text")).otherwise(F.array_join(kept, "\n"))}
+    if "n_chars" in docs.columns:
+        length = F.length(F.array_join(kept, "\n")).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(intact, F.col("n_chars")).otherwise(length)
+    return keyed.withColumns(changed).select(*docs.columns)

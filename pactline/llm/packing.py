@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import Words, slices
+from .words import Words, lean, slices
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, local long"
 #: Words kept in a Python worker's cache (some 200 bytes each) before it starts anew.
@@ -44,15 +44,21 @@ class Numbered(dict):
 
 class WordEncoder:
     """Ids of texts through a cache of ids of words between ASCII white space, by 64-bit hash of the word.  Exact for
-    tokenizers that drop white space and never join across it, as the one named in the contract.  That one also lowers A-Z and parts letters from
-    marks, so both are done before hashing, unless the texts could spell a special token."""
+    tokenizers that drop white space and never join across it, as the one named in the contract.  That one also lowers
+    A-Z and parts letters from marks, so both are done before hashing, unless the texts could spell a special token.
+    A tokenizer that gives other ids for the probes encodes whole texts instead."""
+
+    PROBES = ("", "Don't STOP,don't x", "  two  blanks\tand\nlines\n", "a1b22 \u00e9lan'\u00c9LAN ... .!? #$", "leading end ", "\u03a3\u03af\u03c3 \u4f60\u597d")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
+        self.by_word = True
         self._reset()
+        probes = pa.array(self.PROBES)
+        self.by_word = all(np.array_equal(x, y) for x, y in zip(self.encode(probes), self._whole(probes), strict=True))
 
     def _reset(self) -> None:
         self.known = Numbered()
@@ -72,8 +78,14 @@ class WordEncoder:
         self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(ids), np.uint32, total)
         self.used += total
 
+    def _whole(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *ids]), np.concatenate([[0], np.cumsum([len(x) for x in ids], dtype=np.int64)])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, offsets of n + 1)."""
+        if not self.by_word:
+            return self._whole(texts)
         if len(self.known) > CACHE_WORDS:
             self._reset()
         special = pc.any(pc.match_substring(pc.fill_null(texts, ""), "<|")).as_py()
@@ -102,6 +114,7 @@ def encoder(path: str) -> WordEncoder:
 
 
 def _cut(path: str, capacity: int, end_id: int, with_ids: bool):
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -203,6 +216,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     ranked = pieces.join(before, ["task", "length"]).withColumn("rank", F.col("base") + F.col("local"))
     cols = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
 
+    @lean
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, rank = np.asarray(b.column("length")), np.asarray(b.column("rank"))

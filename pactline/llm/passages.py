@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .words import NOT_ALNUM, U, Words, mix, slices
+from .words import NOT_ALNUM, U, Words, lean, lean_group, mix, slices
 
 WINDOW, ANCHOR, SHINGLE = 32, 16, 5
 MIN_WORDS = 32
@@ -120,6 +120,7 @@ def _postings(min_words: int, fragments: int):
         cols = [pa.ListArray.from_arrays(off, pa.array(c[order])) for c in (key.astype(np.int64), node, row, size)]
         return pa.RecordBatch.from_arrays([pa.array(kinds), *cols], _POSTINGS)
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, total = [], 0
         met: dict[int, int | None] = {}  # node -> its document, or None once two documents have been sent
@@ -151,6 +152,7 @@ def _postings(min_words: int, fragments: int):
     return run
 
 
+@lean_group
 def _shared(table: pa.Table) -> pa.Table:
     """Of one fragment: the nodes under keys that several documents have, with the number of documents seen."""
     key, node, row, size = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
@@ -172,6 +174,7 @@ def _shared(table: pa.Table) -> pa.Table:
 def _of_nodes(min_words: int, bitmap_of, sets: bool):
     """Paragraphs whose node is in the bitmap: their shingle sets (once a task), or all their places."""
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, sent = bitmap_of.value, set()
         for batch in batches:
@@ -247,10 +250,15 @@ def spans(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> Dat
 
 def dedup(docs: DataFrame, percent: int = 80, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the removed spans cut out of text."""
-    gone = spans(docs, percent, min_words).where("removed").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias("spans_"))  # one document's spans
-    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", "text")).join(common.scratch(gone), F.col("row_key_") == F.col("row"), "left")
+    key, gone = common.unused(docs, "key"), common.unused(docs, "gone")
+    removed = spans(docs, percent, min_words).where("removed").groupBy(F.col("row").alias(key))
+    lost = removed.agg(F.array_sort(F.collect_list(F.struct("first_byte", "end_byte"))).alias(gone))  # one document's spans
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text")).join(common.scratch(lost).hint("merge"), key, "left")
     raw = F.encode("text", "utf-8")
     start = F.struct(raw.substr(1, 0).alias("kept"), F.lit(0).cast("long").alias("at"))
-    piece = lambda a, x: F.substring(raw, (a["at"] + 1).cast("int"), F.greatest(x["first_byte"] - a["at"], F.lit(0)).cast("int"))
-    cut = F.aggregate("spans_", start, lambda a, x: F.struct(F.concat(a["kept"], piece(a, x)).alias("kept"), x["end_byte"].alias("at")), lambda a: F.concat(a["kept"], F.substring(raw, (a["at"] + 1).cast("int"), F.octet_length("text"))))
-    return keyed.withColumn("text", F.when(F.col("spans_").isNull(), F.col("text")).otherwise(F.decode(cut, "utf-8"))).select(*docs.columns)
+    size = lambda a, x: F.greatest(x["first_byte"] - a["at"], F.lit(0)).cast("int")
+    rest = lambda a, n: F.substring(raw, (a["at"] + 1).cast("int"), n)
+    step = lambda a, x: F.struct(F.concat(a["kept"], rest(a, size(a, x))).alias("kept"), x["end_byte"].alias("at"))
+    cut = F.aggregate(gone, start, step, lambda a: F.concat(a["kept"], rest(a, F.octet_length("text"))))
+    text = F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.decode(cut, "utf-8"))
+    return keyed.withColumn("text", text).select(*docs.columns)

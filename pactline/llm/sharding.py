@@ -8,7 +8,7 @@ keys: each pass sums bytes in 1024 equal parts per node, map-side first, and onl
 1024 x shards numbers, whatever the corpus), until the part left is one point.
 
 The order along a dimension is (value, text hash, sub-point), one 62-bit key, so equal values can be parted anywhere
-between two points.
+between two points.  The value of source and language is the rank of the whole string among the distinct ones.
 
 Defined results: a null text counts 16 bytes and a null crc; null source or language sorts first; repeated rows are
 placed one by one; an empty table gives no rows; a null doc_id stays null; other columns are not read.
@@ -26,19 +26,39 @@ PARTS = 1024
 DIMENSIONS = ("source", "lang", "bytes")
 VALUE_BITS, TIE_BITS = 26, 36
 SUB_POINTS = 128
+#: Distinct strings of a dimension up to which their ranks are broadcast; a column of write().
+FEW_KINDS, ROW = 10_000, "shard_row_"
 
 
 def metadata(docs: DataFrame) -> DataFrame:
     """doc_id, size, text_crc32, text_id (hash of the text), numeric dimensions and a stable row number."""
     bits = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
-    number = lambda c: F.conv(F.rpad(F.substring(F.hex(F.encode(F.coalesce(F.col(c), F.lit("")), "utf-8")), 1, 12), 12, "0"), 16, 10).cast("long")  # noqa: E731  the first six bytes, in order
     size = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text")).cast("long") + OVERHEAD
+    crc = F.when(F.col("text").isNotNull(), F.crc32(bits))
+    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
     return docs.select(
-        "doc_id", size.alias("size"), F.when(F.col("text").isNotNull(), F.crc32(bits)).alias("text_crc32"),
-        F.xxhash64(bits, F.col("text").isNull()).alias("text_id"), number("source").alias("source"), number("lang").alias("lang"), F.monotonically_increasing_id().alias("row"),
+        "doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64(bits, F.col("text").isNull()).alias("text_id"),
+        F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), row.alias("row"),
     )
 
 
+def ranked(groups: DataFrame, col: str) -> DataFrame:
+    """groups with the strings of `col` replaced by their ranks (long) among the distinct ones, null first as 0."""
+    spark = groups.sparkSession
+    kinds = groups.where(F.col(col).isNotNull()).select(col).distinct().orderBy(col)
+    kinds = common.scratch(kinds.select(col, F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at")))
+    parts = kinds.groupBy("part").agg(F.min("at").alias("least"), F.count(F.lit(1)).alias("n")).orderBy("part").collect()  # a row a partition
+    before, rows = 1, []
+    for r in parts:
+        rows.append((r["part"], r["least"] - before))
+        before += r["n"]
+    shift = F.broadcast(spark.createDataFrame(rows, "part int, shift long"))
+    ranks = kinds.join(shift, "part").select(F.col(col).alias("kind"), (F.col("at") - F.col("shift")).alias("rank"))
+    ranks = F.broadcast(ranks) if before <= FEW_KINDS else ranks.hint("merge")
+    out = groups.join(ranks, F.col(col) == F.col("kind"), "left")
+    return out.select(*(F.coalesce("rank", F.lit(0).cast("long")).alias(c) if c == col else c for c in groups.columns))
+
+
 def _order_key() -> Column:
     """62-bit order key of a point inside its node: the value's place in the node's span, then the point's hash."""
     value = F.get(F.array(*DIMENSIONS), F.col("dim"))
@@ -109,10 +129,16 @@ def tree(points: DataFrame, shards: int) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     """docs (doc_id, text, source, lang) -> doc_id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
+    return _assigned(docs, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def _assigned(docs: DataFrame, shards: int) -> DataFrame:
     rows = common.scratch(metadata(docs))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).head()["b"]
     target = max(1, total // shards)
-    groups = common.scratch(rows.groupBy("text_id").agg(F.sum("size").alias("weight"), F.count(F.lit(1)).alias("n"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("size").alias("bytes")))
+    copies = rows.groupBy("text_id")
+    groups = copies.agg(F.sum("size").alias("weight"), F.min("source").alias("source"), F.min("lang").alias("lang"), F.min("size").alias("bytes"))
+    groups = common.scratch(ranked(ranked(common.scratch(groups), "source"), "lang"))
     parts = F.when(F.col("weight") > target, F.ceil(F.col("weight") * SUB_POINTS / target)).otherwise(1).cast("long")
     groups = groups.withColumn("parts", parts)
     # at most `shards` groups outweigh a shard: a list of bounded size
@@ -132,7 +158,7 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     else:
         out = rows_in.join(placed, ["text_id", "sub"])
     out = common.scratch(out.select("doc_id", "size", "text_crc32", "row", "shard"))
-    return _slots(out).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    return _slots(out)
 
 
 def _with_sub(point: Column, sub: Column, parts: Column) -> Column:
@@ -151,6 +177,9 @@ def _slots(rows: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """The shards as files: path/shard=N, with the documents' own columns.  doc_id has to be unique here."""
-    placed = assign(docs, shards).select("doc_id", "shard", "slot")
-    docs.join(placed, "doc_id").repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    """The shards as files: path/shard=N, every row of docs once, with its own columns."""
+    numbered = common.scratch(docs.withColumn(ROW, F.monotonically_increasing_id()))  # so that a row keeps its number
+    placed = common.scratch(_assigned(numbered, shards).select(F.col("row").alias(ROW), F.col("shard")))
+    out = numbered.join(placed.hint("merge"), ROW).drop(ROW)
+    out.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    common.drop(numbered, placed)

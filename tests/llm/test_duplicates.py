@@ -65,6 +65,21 @@ def corpus():
     return rows
 
 
+def test_cells_bound_the_overlap():
+    """The bound is never below the overlap, also for cells of unlike number and full ones, and tells unlike sets apart."""
+    rng = np.random.default_rng(6)
+    for n, shared in ((1, 1), (1, 0), (4, 3), (60, 50), (500, 410), (5000, 0), (3000, 2500)):
+        for extra in (0, n // 5):
+            own = np.unique(rng.integers(0, 2**63, 2 * n + extra + shared, dtype=np.int64).astype(np.uint64) * np.uint64(2))
+            rng.shuffle(own)
+            a, b = np.sort(own[:n]), np.sort(np.concatenate([own[:shared], own[n : 2 * n + extra - shared]]))
+            most = jaccard.most_shared(jaccard.cells(a), jaccard.cells(b), len(a), len(b))
+            assert len(np.intersect1d(a, b)) <= most <= min(len(a), len(b))
+            assert shared or n < 500 or most < 0.85 * n
+    close = np.arange(9000, dtype=np.uint64)  # all in one cell
+    assert jaccard.most_shared(jaccard.cells(close), jaccard.cells(close[:8000]), 9000, 8000) >= 8000
+
+
 def test_jaccard_components(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, component_id string")
@@ -130,7 +145,9 @@ def test_line_groups(spark):
     own = [text(60, rng) for _ in range(30)]
     common_line, near = text(12, rng), text(80, rng)
     rows = [(i, f"{own[i]}\n{common_line.upper()}!\n\nLes.") for i in range(30)] + [(100 + i, f"{edited(near, 1, rng)}\r\n{text(50, rng)}") for i in range(20)] + [(200, None), (201, ""), (202, "Les."), (203, f"{common_line}\n{common_line}")]
-    df = spark.createDataFrame([(i, t, len(t or ""), "z") for i, t in rows], "doc_id long, text string, n_chars long, node string")
+    clash = ["node", "row", "row_key_", "gone_lines", "Key", "gone", "line_no", "group_id"]
+    df = spark.createDataFrame([(i, t, len(t or ""), *clash) for i, t in rows], "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in clash))
+    assert lines.dedup(df).columns == df.columns
     got = lines.groups(df).toPandas()
     exact = got[got.doc_id.isin([*range(30), 203]) & (got.n_lines == 32)]
     assert set(zip(exact.doc_id, exact.line_no, strict=True)) == {(i, 1) for i in range(30)} | {(203, 0), (203, 1)}
@@ -206,7 +223,7 @@ def test_passages(spark):
     line = text(90, rng)
     rows += [(100 + i, f"{text(20, rng)}\n{edited(line, i % 2, rng)}") for i in range(6)] + [(200, None), (201, ""), (202, short)]
     rows += [(300, f"{(own := text(40, rng))} {own}")]  # repeats itself only
-    df = spark.createDataFrame([(i, t, "r") for i, t in rows], "doc_id long, text string, row string").drop("row")
+    df = spark.createDataFrame([(i, t, "r", "s") for i, t in rows], "doc_id long, text string, row string, spans_ string")
     got = passages.spans(df).toPandas()
     assert set(got.doc_id) == {i for i in range(24) if i % 2} | set(range(100, 106))
     assert set(got[got.removed].doc_id) >= {i for i in range(2, 24) if i % 2}
@@ -251,6 +268,13 @@ def test_decontamination(spark, block):
     assert decontam.matches(docs.limit(0), bench).count() == 0 and decontam.matches(docs, bench.limit(0)).count() == 0
 
 
+def test_items_without_id(spark):
+    items = [(None, text(20)), (3, text(20)), (None, text(9)), (None, None)]
+    docs = spark.createDataFrame([(i, f"{text(5)} {t}") for i, (_, t) in enumerate(items)], "doc_id long, text string")
+    got = decontam.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(0, None), (1, 3), (2, None)}
+
+
 def test_decontamination_recall(spark):
     """A fifth of the words replaced: what the brute-force scan finds at similarity 0.8 is found at the stated recall."""
     rng = random.Random(31)

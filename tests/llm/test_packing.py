@@ -73,6 +73,20 @@ def test_sequences(spark):
     assert all(len(r.ids) == 2048 or len(r.ids) & (len(r.ids) - 1) == 0 for r in rows)
 
 
+def test_other_tokenizers():
+    """A tokenizer whose ids aren't those of its words one by one encodes whole texts."""
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    enc, texts = packing.WordEncoder(path), ["Two  words\n", None, "caf\u00e9 x"]
+    ids, off = enc.encode(pa.array(texts))
+    want = [x.ids for x in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    assert not enc.by_word and [ids[a:b].tolist() for a, b in zip(off, off[1:])] == want
+    assert packing.WordEncoder(tokenizer_path()).by_word
+
+
 @pytest.mark.parametrize("text", ["plain words here", "a<|startoftext|>b"])
 def test_encoder(text):
     import pyarrow as pa

@@ -91,3 +91,23 @@ def test_license_scan(spark):
         assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) == brute(rows[r.doc_id]), rows[r.doc_id][:80]
     assert blocks.where("containment < 0.8").count() == 0
     assert licenses.scan(df.limit(0))[0].count() == 0
+
+
+def test_license_filters_prune_and_lose_nothing(spark):
+    """Against all pairs of blocks and templates: every match passes the positional filter, many others don't."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    vocab = sorted({w for _, t in licenses.TEMPLATES for w in licenses.template_words(t)})
+    order = {w: (rng.randint(0, 9), w) for w in vocab}
+    index = licenses.template_index(licenses.TEMPLATES, {w: n for w, (n, _) in order.items()}, 0.8)
+    blocks = []
+    for i in range(120):
+        words = set(rng.sample(vocab, rng.randint(3, 60))) | (set(rng.choice(index)[6]) if i % 2 else set())
+        blocks.append((i, sorted(words - set(rng.sample(sorted(words), len(words) // 12)), key=order.get)))
+    df = spark.createDataFrame(blocks, "i int, b array<string>").select("i", "b", F.posexplode("b").alias("at", "word"))
+    met = df.join(spark.createDataFrame(index, "word string, template int, label string, pos int, size int, need int, t array<string>"), "word")
+    pairs = {(r.i, r.template) for r in met.collect()}
+    passed = {(r.i, r.template) for r in met.where(licenses.may_match()).collect()}
+    true = {(i, k) for i, b in blocks for k, (_, t) in enumerate(licenses.TEMPLATES) if 10 * len(set(b) & set(licenses.template_words(t))) >= 8 * len(licenses.template_words(t))}
+    assert len(true) > 40 and true <= passed < pairs and len(passed) < 0.95 * len(pairs)

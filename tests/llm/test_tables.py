@@ -2,7 +2,6 @@
 
 import zlib
 
-import pytest
 from pyspark.sql import functions as F
 
 from pactline.llm import langid, sharding, urlfilter
@@ -15,15 +14,17 @@ def test_cascade_is_exact(spark):
     assert len(levels) > 1
     got = keys.withColumn("in", urlfilter.contains(levels, F.col("key")))
     assert got.where("in <> (pmod(hash(key), 9) = 0)").count() == 0
-    with pytest.raises(urlfilter.TooLarge):
-        urlfilter.build(listed, keys, 64)
+    for bits in (1 << 24, 2000):  # one cascade, and several parts with one each
+        pages = keys.select(F.col("key").alias("page_id"), F.concat(F.lit("x://"), "key").alias("url"))
+        got = urlfilter.judge(pages, listed, max_bits=bits)
+        assert got.where("listed <> (pmod(hash(page_id), 9) = 0)").count() == 0 and got.count() == 4000
 
 
 def test_url_rules_and_edges(spark):
     rows = ["http://A.Example.org/en/12?x", "https://example.org/es/", "http://x.org", "http://notexample.org.com/fr/", "ftp://b.com/de/1#f", "no scheme", None, "", "http://", "http://plain.net/a", "http://plain.net/a", "see://x://y.org/"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(rows)], "page_id long, url string, host string").drop("host")
     listed = spark.createDataFrame([("plain.net/a",)], "key string")
-    for bits in (1 << 24, 1):  # the cascade, and the join beyond its bound
+    for bits in (1 << 24, 1):  # one cascade, and one for each of several parts
         got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages, listed, max_bits=bits).collect()}
         assert got[0] == ("a.example.org", "/en/12", "example.org/en/1", "block")
         assert got[1] == ("example.org", "/es/", "example.org/es/", "block")
@@ -49,6 +50,26 @@ def test_shards(spark):
     assert sharding.assign(df.limit(0), 40).count() == 0
 
 
+def test_shard_ranks_and_files(spark, tmp_path):
+    """Sources with a common start differ as any others; files hold every row once, also those without or of equal id."""
+    rows = [(None if i % 50 == 0 else i // 2, f"text {i} " * (i % 9), f"https://source{i % 9}", "en", "c") for i in range(900)] + [(5, "same", None, None, "c")] * 4
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, row string")
+    assert {r.source: r.n for r in sharding.ranked(df, "source").groupBy("source").agg(F.count("*").alias("n")).collect()} == {0: 4} | dict.fromkeys(range(1, 10), 100)
+    sharding.write(df, str(tmp_path / "out"), 8)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.drop("shard").select(*df.columns).exceptAll(df).count() == 0 and back.count() == len(rows) and back.select("shard").distinct().count() == 8
+
+
+def test_language_sample_of_rows(spark):
+    """A doc_id that many rows have draws no other language out of the sample; numerals are no letters."""
+    rows = [(7, f"the quick brown fox {i} jumps", "en") for i in range(900)] + [(i, f"le renard brun saute {i}", "fr") for i in range(100, 160)]
+    rows += [(7, "the same row", "en")] * 500 + [(1000 + i, t, None) for i, t in enumerate(("\u00bd", "\u00b2 \u2167", "\u2460 12", "\u0436"))]
+    model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 40)
+    assert model.langs == ["en", "fr"]
+    out = {r.doc_id: r.lang_pred for r in langid.predict(spark.createDataFrame([(i, t, False) for i, t, _ in rows], "doc_id long, text string, held_out boolean"), model).collect()}
+    assert [out[1000 + i] for i in range(3)] == ["und"] * 3 and out[1003] != "und" and out[120] == "fr" and out[7] == "en"
+
+
 def test_language_held_out(spark):
     words = {"en": "the quick brown fox and what they were doing", "de": "der schnelle fuchs und die katze über straße", "fr": "le renard brun est où les élèves étaient"}
     rows = [(i, " ".join(words[k].split()[(i + j) % 8] if (i + j) % 8 < len(words[k].split()) else "a" for j in range(12)), k, "s") for i, k in enumerate(["en", "de", "fr"] * 80)]
