@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns of documents.
 A document that has lost all its words to line dedup goes with that stage; one that had none before is the quality
 rules' affair.
+
+Defined results: a null or empty text fails the quality rules and goes; rows are judged as rows, so that of repeated
+ones (also those of a null doc_id) the Jaccard join keeps one, and other rows of the same doc_id stay; ties are broken by
+the smallest doc_id, then by a hash of the text; an empty table goes through as an empty one; columns beyond doc_id and
+text pass through all stages but packing under any name; texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -18,18 +23,21 @@ from pactline.llm.queries import prepare, table, tokenizer_path
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
-_made: set[str] = set()  # scratch tables of the stage before, whose result has been written by now
+_made: set[str] = set()  # scratch tables of the stages before
 
 
 def _stage(f):
-    """A stage as the pipeline calls it: it first removes what the stage before left behind."""
+    """A stage as the pipeline calls it.  It first removes what the stages before left behind, but for tables that its
+    own docs still read: a stage's result may be handed on before it is written."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepare(spark)
-        common.drop_paths(spark, _made)
+        read = docs.inputFiles() if _made else []
+        done = {path for path in _made if not any(path.split(":")[-1] in file for file in read)}
+        common.drop_paths(spark, done)
         common.release(spark)
-        _made.clear()
+        _made.difference_update(done)
         before = common.held()
         out = f(spark, docs, sf_dir)
         _made.update(common.held() - before)
@@ -77,7 +85,8 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: SQL can't express SimHash blocks, edit-verified components or subset-sum packing; tests compare with brute force.
+#: SQL can't express SimHash blocks, edit-verified components or subset-sum packing; tests compare a small corpus with
+#: brute force, stage by stage.
 ORACLE_SQL = None
 
 

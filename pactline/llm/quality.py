@@ -1,6 +1,8 @@
 """Quality rules as weak supervision.  Each rule votes accept, reject or abstain on a document; expectation
-maximisation over the histogram of vote patterns (at most 3^rules rows, whatever the corpus) estimates how each class
-votes; a document is kept when its posterior probability of being good reaches one half and no base limit fails.
+maximisation over the histogram of vote patterns (at most 3^rules rows, whatever the corpus) estimates the share of good
+documents and, for each rule, how often it accepts and rejects good and bad documents; a document is kept when
+its posterior probability of being good reaches one half and no base limit fails.  So one rule's rejection counts for
+as much as the corpus shows it to be worth: many accepting votes outweigh a rule that also rejects good documents.
 
 Native: DataFrame functions only.  Text statistics are array expressions inside one row, so nothing is shuffled but
 the vote histogram.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,52 +87,71 @@ def rules() -> dict[str, Column]:
     dup = F.try_divide(F.col("n_dup_lines"), F.col("n_lines"))
     sym, rep, kinds, stutter, marks = map(per_word, ("n_symbols", "n_repeat_words", "n_distinct", "n_stutter", "n_marks"))
     return {
-        "length": _votes(None, n < MIN_WORDS),
-        "prose": _votes((n >= 20) & (sym <= 0.05) & (stutter <= 0.05) & (upper <= 0.15) & (marks <= 0.1), None),
-        "word_length": _votes(None, (mean > 15) | (mean < 2)),
-        "symbols": _votes(None, sym > 0.3),
-        "repeats": _votes(None, rep > 0.2),
-        "lines": _votes(None, dup > 0.5),
+        "length": _votes(n >= 50, n < MIN_WORDS),
+        "prose": _votes(
+            (n >= 20) & (sym <= 0.05) & (stutter <= 0.05) & (upper <= 0.15) & (marks <= 0.1),
+            (n >= 20) & ((sym > 0.15) | (stutter > 0.15) | (upper > 0.35) | (marks > 0.3)),
+        ),
+        "word_length": _votes((mean >= 3) & (mean <= 9), (mean > 15) | (mean < 2)),
+        "symbols": _votes(sym <= 0.02, sym > 0.3),
+        "repeats": _votes((n >= 20) & (rep <= 0.05), rep > 0.2),
+        "lines": _votes(dup <= 0.1, dup > 0.5),
         "variety": _votes((kinds > 0.5) & (sym <= 0.05) & (stutter <= 0.05), (kinds < 0.25) & (n < 400)),
-        "stutter": _votes(None, stutter > 0.2),
-        "capitals": _votes(None, upper > 0.4),
-        "marks": _votes(None, marks > 0.5),
+        "stutter": _votes(stutter <= 0.02, stutter > 0.2),
+        "capitals": _votes(upper <= 0.1, upper > 0.4),
+        "marks": _votes(marks <= 0.1, marks > 0.5),
     }
 
 
-#: Accuracy that a vote starts with, and the range that estimates stay in: a rule is never taken to be worse than a coin.
-START, LOW, HIGH = {-1: 0.95, 1: 0.7}, 0.55, 0.99
+#: Chance that a rule rejects and that it accepts a good and a bad document, as estimation starts.  This counts as WORTH of
+#: the documents besides, so that a rule which few documents tell anything of keeps it.  WEAK rules reject what good
+#: documents often are, such as all in capitals, of few words or of few lines.
+REJECTS, REJECTS_WEAK, ACCEPTS, START_SHARE, WORTH = (0.005, 0.3), (0.1, 0.3), (0.9, 0.8), 0.8, 0.05
+WEAK = {"word_length", "variety", "capitals", "lines"}
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], good_share: float = 0.5, rounds: int = 200) -> list[dict[int, float]]:
-    """Expectation maximisation over (votes, count): the accuracy of each rule's reject and accept votes.  An
-    abstention says nothing.  good_share: prior share of good documents before any vote is seen."""
-    n_rules = len(patterns[0][0]) if patterns else 0
-    acc = [dict(START) for _ in range(n_rules)]
+class Fit(list):
+    """For each rule {vote: log of how much likelier it is on a good document than on a bad one}, and the share of good
+    documents."""
+
+    share = START_SHARE
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], weak: tuple[int, ...] = (), rounds: int = 500) -> Fit:
+    """Expectation maximisation over (votes, count); weak: numbers of the rules that start as weak ones.  An abstention
+    says nothing; a vote is never taken to speak against its own direction."""
+    out = Fit()
+    if not patterns:
+        return out
+    votes = np.array([p for p, _ in patterns], np.int64).reshape(len(patterns), -1)
+    count = np.array([c for _, c in patterns], float)
+    cast = {-1: (votes < 0).astype(float), 1: (votes > 0).astype(float)}
+    rejects = np.array([REJECTS_WEAK if r in weak else REJECTS for r in range(votes.shape[1])]).T  # (good or bad, rules)
+    start = {-1: rejects, 1: np.tile(np.array(ACCEPTS)[:, None], votes.shape[1])}
+    chance, share, before, worth = start, START_SHARE, None, max(1.0, WORTH * count.sum())
     for _ in range(rounds):
-        right = [{-1: 0.0, 1: 0.0} for _ in range(n_rules)]
-        cast = [{-1: 0.0, 1: 0.0} for _ in range(n_rules)]
-        for p, c in patterns:
-            good = posterior(p, acc, good_share)
-            for r, v in enumerate(p):
-                if v:
-                    cast[r][v] += c
-                    right[r][v] += c * (good if v > 0 else 1 - good)
-        new = [{v: min(HIGH, max(LOW, (right[r][v] + START[v]) / (cast[r][v] + 1))) for v in (-1, 1)} for r in range(n_rules)]
-        moved = max((abs(new[r][v] - acc[r][v]) for r in range(n_rules) for v in (-1, 1)), default=0)
-        acc = new
-        if moved < 1e-9:
+        odds = math.log(share / (1 - share)) + sum(cast[v] @ _gain(chance, v) for v in cast)
+        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
+        weight = np.stack([good * count, (1 - good) * count])
+        chance = {v: (weight @ cast[v] + worth * start[v]) / (weight.sum(1, keepdims=True) + worth) for v in cast}
+        share = float((weight[0].sum() + worth * START_SHARE) / (count.sum() + worth))
+        if before is not None and abs(good - before).max() < 1e-9:
             break
-    return acc
+        before = good
+    out.extend({-1: float(r), 1: float(a)} for r, a in zip(_gain(chance, -1), _gain(chance, 1), strict=True))
+    out.share = share
+    return out
 
 
-def _gain(acc: dict[int, float], vote: int) -> float:
-    return vote * math.log(acc[vote] / (1 - acc[vote])) if vote else 0.0
+def _gain(chance: dict[int, np.ndarray], vote: int) -> np.ndarray:
+    """Of each rule the log odds that this vote speaks for a good document."""
+    odds = np.log(chance[vote][0] / chance[vote][1])
+    return np.maximum(0, odds) if vote > 0 else np.minimum(0, odds)
 
 
-def posterior(votes: tuple[int, ...], acc: list[dict[int, float]], good_share: float = 0.5) -> float:
-    odds = math.log(good_share / (1 - good_share)) + sum(_gain(a, v) for v, a in zip(votes, acc, strict=True))
-    return 1 / (1 + math.exp(-odds))
+def posterior(votes: tuple[int, ...], found: Fit) -> float:
+    odds = math.log(found.share / (1 - found.share)) + sum(g[v] for v, g in zip(votes, found, strict=True) if v)
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
 def keep(docs: DataFrame) -> DataFrame:
@@ -145,8 +167,9 @@ def judge(docs: DataFrame, carry: bool = False) -> DataFrame:
     cast = stats.select("*", *(v.cast("int").alias(f"vote_{k}") for k, v in votes.items()))
     names = [f"vote_{k}" for k in votes]
     patterns = [(tuple(r[c] for c in names), r["n"]) for r in cast.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).collect()]  # at most 3^rules rows
-    odds = F.lit(0.0)
-    for c, acc in zip(names, fit(sorted(patterns)) or [START] * len(names), strict=True):
-        odds = odds + F.when(F.col(c) == 1, _gain(acc, 1)).when(F.col(c) == -1, _gain(acc, -1)).otherwise(0.0)
+    found = fit(sorted(patterns), tuple(i for i, k in enumerate(votes) if k in WEAK))
+    odds = F.lit(math.log(found.share / (1 - found.share)))
+    for c, gain in zip(names, found or [{-1: 0.0, 1: 0.0}] * len(names), strict=True):
+        odds = odds + F.when(F.col(c) == 1, gain[1]).when(F.col(c) == -1, gain[-1]).otherwise(0.0)
     p = 1 / (1 + F.exp(-odds))
     return cast.select("doc_id", *["row"] * carry, *STATS, *names, base_failed().alias("base_failed"), p.alias("p_good")).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= 0.5))

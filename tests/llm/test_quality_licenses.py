@@ -62,6 +62,19 @@ def test_fit_keeps_orientation():
     assert quality.fit([]) == []
 
 
+def test_a_lone_weak_rejection_is_overturned():
+    """Rule 0 rejects documents that three others reject too; rule 3 rejects at random, now and then."""
+    rng = random.Random(3)
+    seen = collections.Counter()
+    for _ in range(4000):
+        bad = rng.random() < 0.2
+        seen[tuple(-1 if rng.random() < (0.7 if bad else 0.02) else 1 for _ in range(3)) + (rng.choice([-1, 1, 1, 1]),)] += 1
+    found = quality.fit(sorted(seen.items()), weak=(3,))
+    assert abs(found.share - 0.8) < 0.05
+    assert quality.posterior((1, 1, 1, -1), found) > 0.9 and quality.posterior((-1, -1, 1, 1), found) < 0.5
+    assert found[3][-1] > -0.5 and found[0][-1] < -2
+
+
 def brute(t):
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(str.maketrans(licenses.UPPER, licenses.LOWER)))
     at, base = [], set()
