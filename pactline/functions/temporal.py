@@ -18,12 +18,12 @@ def recurrence_months(text: Column) -> Column:
     return F.when(t.rlike(r"^P(?=\d)(\d+Y)?(\d+M)?$"), F.nullif(part("Y") * 12 + part("M"), F.lit(0)))
 
 
-def roll_term(effective: Column, initial_months, renewal_months, today, most: int = 600) -> Column:
+def roll_term(effective: Column, initial_months, renewal_months, today) -> Column:
     """struct(term_end, renewals, ends): the term end rolled on while it is not after today; ends lists every end."""
     initial, renewal, today = as_col(initial_months), as_col(renewal_months), as_col(today)
     first = F.add_months(effective, initial)
     # enough steps to pass today, one more for clamped month ends
-    steps = F.least(F.greatest(F.ceil(F.months_between(today, first) / renewal).cast("int") + 2, F.lit(0)), F.lit(most))
+    steps = F.greatest(F.ceil(F.months_between(today, first) / renewal).cast("int") + 2, F.lit(0))
     start = F.struct(first.alias("term_end"), F.lit(0).alias("renewals"), F.array(first).alias("ends"))
 
     def step(acc: Column, _: Column) -> Column:

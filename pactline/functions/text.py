@@ -185,4 +185,4 @@ def band(score: Column) -> Column:
 
 
 def severity_rank(severity: Column) -> Column:
-    return F.coalesce(F.array_position(F.array(*map(F.lit, dims.SEVERITIES)), severity), F.lit(99))
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, dims.SEVERITIES)), severity), F.lit(0)), F.lit(99))

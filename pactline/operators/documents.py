@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import spans as S
 from ..functions import temporal as T
-from ..functions import text as X
+from ..plans import dims
 
 
 def _spans(documents: DataFrame, find, names: list[str], schema: str) -> DataFrame:
@@ -25,31 +25,44 @@ def _spans(documents: DataFrame, find, names: list[str], schema: str) -> DataFra
     return documents.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, seq int, {schema}")
 
 
-def _with_text(spans: DataFrame, documents: DataFrame) -> DataFrame:
-    return spans.join(documents.select("doc_id", "text"), "doc_id")
-
-
 def chunk(documents: DataFrame, size: int = 1800, overlap: int = 320) -> DataFrame:
     return _spans(documents, lambda t: S.chunks(t, size, overlap), ["char_start", "char_end"], "char_start int, char_end int")
 
 
 def passages(documents: DataFrame, size: int = 700, overlap: int = 120) -> DataFrame:
-    find = lambda t: [(a, b, t[a:b], S.label(t, a)) for a, b in S.passages(t, size, overlap)]
-    return _spans(documents, find, ["char_start", "char_end", "passage", "section"], "char_start int, char_end int, passage string, section string").withColumn("passage_id", F.concat(F.lit("p"), "seq", F.lit(":"), F.col("doc_id").cast("string")))
+    def find(t: str) -> list[tuple]:
+        return [(a, b, t[a:b], S.label(t, a)) for a, b in S.passages(t, size, overlap)]
+
+    out = _spans(documents, find, ["char_start", "char_end", "passage", "section"], "char_start int, char_end int, passage string, section string")
+    return out.withColumn("passage_id", F.concat(F.lit("p"), "seq", F.lit(":"), F.col("doc_id").cast("string")))
 
 
 def literal_dates(documents: DataFrame) -> DataFrame:
-    """Dates written in texts, with the line around them."""
-    s = _with_text(_spans(documents, S.dates, ["char_start", "char_end"], "char_start int, char_end int"), documents)
-    quote = F.col("text").substr(F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
-    return s.select("doc_id", "char_start", "char_end", quote.alias("quote"), T.parse_date(quote).alias("date"), X.line_around(F.col("text"), F.col("char_start"), F.col("char_end")).alias("line")).where("date is not null")
+    """Dates written in texts, with the line around them; quote and line leave the pass that finds the span."""
+
+    def find(t: str) -> Iterator[tuple]:
+        for a, b in S.dates(t):
+            line = t[t.rfind("\n", 0, a) + 1 : b] + t[b:].partition("\n")[0]
+            yield a, b, t[a:b], line.strip(" ")[:220]
 
+    s = _spans(documents, find, ["char_start", "char_end", "quote", "line"], "char_start int, char_end int, quote string, line string")
+    return s.select("doc_id", "char_start", "char_end", "quote", T.parse_date(F.col("quote")).alias("date"), "line").where("date is not null")
 
-def indicators(documents: DataFrame) -> DataFrame:
+
+def indicators(documents: DataFrame, around: int = 90) -> DataFrame:
     """Injection indicators: doc_id, why, span and excerpt.  Texts that no pattern can match stay in the JVM."""
     maybe = documents.where(F.col("text").rlike(r"(?i)(instruct|disregard|system|assistant|user|you\s+are|act\s+as|report|extract|mention|summari|flag|analyz|only|approved|automated|mark|classify|score|treat|\[|<!--|\{\{)"))
-    s = _with_text(_spans(maybe, S.injections, ["char_start", "char_end", "why"], "char_start int, char_end int, why string"), documents)
-    return s.select("doc_id", "seq", "why", "char_start", "char_end", X.excerpt(F.col("text"), F.col("char_start"), F.col("char_end")).alias("excerpt"))
+    find = lambda t: [(a, b, why, t[max(0, a - around) : b + around].replace("\n", " ").strip(" ")) for a, b, why in S.injections(t)]
+    s = _spans(maybe, find, ["char_start", "char_end", "why", "excerpt"], "char_start int, char_end int, why string, excerpt string")
+    return s.select("doc_id", "seq", "why", "char_start", "char_end", "excerpt")
+
+
+def metadata_indicators(metadata: DataFrame) -> DataFrame:
+    """metadata (doc_id, fields map<string, string>): fields of a file whose values, read together, match a pattern of
+    injected language; one row per document and reason."""
+    text = F.concat_ws(" ", F.map_values("fields"))
+    why = F.array_compact(F.array(*(F.when(text.rlike(f"(?is){p}"), F.lit(reason)) for p, reason in dims.INJECTION)))
+    return metadata.select("doc_id", F.explode(why).alias("why"), F.substring(text, 1, 300).alias("excerpt"))
 
 
 def quarantine(documents: DataFrame, found: DataFrame) -> DataFrame:

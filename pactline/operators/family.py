@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import temporal as T
 from ..plans import dims
+from ..shipping import cut
 
 AMENDMENT_NO = r"(?i)amendment\s+(?:no\.?|number)\s*(\d+)"
 
@@ -45,21 +46,21 @@ def supersede(claims: DataFrame, ordered: DataFrame) -> DataFrame:
     return out.join(old, out["claim_id"].cast("string") == old["_o"], "left").drop("_o")
 
 
-def lineage(claims: DataFrame, documents: DataFrame, most: int = 20) -> DataFrame:
-    """claim_id, lineage: what set the clause and what it replaced, through at most `most` steps, never in a circle."""
+def lineage(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """claim_id, lineage: what set the clause and what it replaced, to the end of the chain, never in a circle.  Each step
+    is a join of the chains still open, checkpointed so that the next one doesn't follow them from the start again."""
     names = documents.select(F.col("doc_id").alias("_d"), "filename")
     c = claims.join(names, F.col("doc_id") == F.col("_d"), "left").select(F.col("claim_id").cast("string").alias("claim_id"), F.coalesce("filename", F.col("doc_id").cast("string")).alias("file"), F.col("supersedes").cast("string").alias("next"))
     walk = c.select("claim_id", F.array(F.concat(F.lit("set by "), "file")).alias("parts"), F.array("claim_id").alias("seen"), "next")
     done = walk.where("next is null")
     open_ = walk.where("next is not null")
-    for _ in range(most):
+    while not open_.isEmpty():
         s = c.select(F.col("claim_id").alias("_id"), "file", F.col("next").alias("_next"))
         j = open_.join(s, (open_["next"] == s["_id"]) & ~F.array_contains("seen", F.col("next")), "left")
         j = j.select("claim_id", F.when(F.col("_id").isNull(), F.col("parts")).otherwise(F.array_append("parts", F.concat(F.lit("supersedes "), "file"))).alias("parts"), F.array_append("seen", F.col("next")).alias("seen"), F.col("_next").alias("next"))
+        j = cut(j)
         done, open_ = done.unionByName(j.where("next is null")), j.where("next is not null")
-        if open_.isEmpty():
-            break
-    return done.unionByName(open_).select("claim_id", F.array_join("parts", "; ").alias("lineage"))
+    return done.select("claim_id", F.array_join("parts", "; ").alias("lineage"))
 
 
 def annual_value(claims: DataFrame) -> DataFrame:

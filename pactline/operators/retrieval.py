@@ -32,8 +32,10 @@ def corpus(docs: DataFrame, text: str = "text", stopwords=None) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size(X.tokens(F.coalesce(F.col(text), F.lit("")), stopwords))), F.lit(0.0)).alias("avg_len"))
 
 
-def frequencies(terms: DataFrame) -> DataFrame:
-    return terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def frequencies(docs: DataFrame, text: str = "text", stopwords=None) -> DataFrame:
+    """term, df: a document's own terms are made distinct in its row, so only one count by term is shuffled."""
+    own = docs.select(F.explode(F.array_distinct(X.tokens(F.col(text), stopwords))).alias("term"))
+    return own.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -43,19 +45,22 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(docs: DataFrame, terms: list[str], text: str = "text", id_col: str = "id", stopwords=None, scope: Column | None = None) -> DataFrame:
     """id, score > 0.  A query term that is given twice counts twice.  Statistics are those of the whole corpus even
     where scope narrows the answer.  Only documents with a query term are counted term by term."""
-    spark = docs.sparkSession
     times: dict[str, int] = {}
     for w in terms:
         times[w] = times.get(w, 0) + 1
-    toks = docs.select(id_col, *([scope.alias("_in")] if scope is not None else [F.lit(True).alias("_in")]), X.tokens(F.coalesce(F.col(text), F.lit("")), stopwords).alias("t"))
-    n = toks.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("t")), F.lit(0.0)).alias("avg_len")).head()
-    q = spark.createDataFrame([(w, k) for w, k in times.items()], "term string, times int")
-    hits = toks.select(id_col, "_in", F.size("t").alias("len"), F.explode(F.filter("t", lambda w: w.isin(*times) if times else F.lit(False))).alias("term"))
-    tf = hits.groupBy(id_col, "_in", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    f = F.col("tf")
-    part = F.col("times") * idf(F.lit(n["n"]), F.col("df")) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.greatest("len", F.lit(1)) / F.lit(n["avg_len"] or 1.0)))
-    return tf.where("_in").join(F.broadcast(df), "term").join(F.broadcast(q), "term").groupBy(id_col).agg(F.sum(part).alias("score")).where("score > 0")
+    inside = F.lit(True) if scope is None else scope
+    held = [F.col("tf")[i] for i in range(len(times))]
+    count = lambda t, w: F.size(F.filter(t, lambda x: x == w))
+    tokens = X.tokens(F.coalesce(F.col(text), F.lit("")), stopwords)
+    # the array is bound to a variable, so that a text is split once
+    read = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("len"), F.array(*(count(t, w) for w in times)).cast("array<int>").alias("tf")))
+    rows = docs.select(id_col, inside.alias("_in"), F.get(read, F.lit(0)).alias("r")).select(id_col, "_in", "r.*")
+    stats = rows.agg(F.count(F.lit(1)).alias("_n"), F.avg("len").alias("_avg"), F.array(*(F.count_if(f > 0) for f in held)).cast("array<bigint>").alias("_df"))
+    length = K1 * (1 - B + B * F.greatest("len", F.lit(1)) / F.when(F.col("_avg") > 0, F.col("_avg")).otherwise(1.0))
+    score = F.lit(0.0)
+    for i, (f, k) in enumerate(zip(held, times.values(), strict=True)):
+        score = score + F.when(f > 0, k * idf(F.col("_n"), F.col("_df")[i]) * f * (K1 + 1) / (f + length)).otherwise(0.0)
+    return rows.where("_in").crossJoin(F.broadcast(stats)).select(id_col, score.alias("score")).where("score > 0")  # stats: one row
 
 
 def boost(question: str) -> Column:
@@ -93,10 +98,19 @@ def nearest(vectors: DataFrame, query: list[float], k: int, id_col: str = "id",
     return v.select(id_col, cosine(F.col("embedding"), q).alias("score")).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def ranked(hits: DataFrame, id_col: str = "id", most: int | None = None) -> DataFrame:
-    """id, rank from 0 by score; most keeps the window to a bounded list (top-k first, then ranked)."""
-    h = hits if most is None else hits.orderBy(F.desc("score"), id_col).limit(most)
-    return h.select(id_col, (F.row_number().over(Window.orderBy(F.desc("score"), id_col)) - 1).alias("rank"))
+def ranked(hits: DataFrame, id_col: str = "id", most: int | None = None, buckets: int = 256) -> DataFrame:
+    """id, rank from 0 by score; most keeps the window to a bounded list (top-k first, then ranked).  Without it, hits
+    are dealt into buckets of scores; a rank is the place in the bucket after those of the buckets above."""
+    order = (F.desc("score"), F.col(id_col))
+    if most is not None:
+        best = hits.orderBy(*order).limit(most)
+        return best.select(id_col, (F.row_number().over(Window.orderBy(*order)) - 1).alias("rank"))
+    cuts = hits.agg(F.array_distinct(F.percentile_approx("score", F.array(*(F.lit(i / buckets) for i in range(1, buckets))), F.lit(10_000))).alias("_cuts"))
+    dealt = hits.crossJoin(F.broadcast(cuts)).select(id_col, "score", F.size(F.filter("_cuts", lambda c: c > F.col("score"))).alias("_b"))  # cuts: one row
+    sums = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("n"))  # a row a bucket
+    above = F.coalesce(F.sum("n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return dealt.withColumn("_p", place).join(F.broadcast(sums.select("_b", above.alias("_above"))), "_b").select(id_col, (F.col("_p") + F.col("_above")).cast("int").alias("rank"))
 
 
 def fuse(*rankings: DataFrame, id_col: str = "id", k: int = RRF_K) -> DataFrame:
@@ -153,9 +167,31 @@ def records(contracts: DataFrame, claims: DataFrame, obligations: DataFrame, fin
 
 
 def citations(ids: DataFrame, known: DataFrame) -> DataFrame:
-    """ids (pos, id) that are known, in order, each once."""
+    """ids (pos, id) that are known, in order, each record once.  An id that no record has may be that of a contract,
+    which stands for its facts."""
+    own = known.select(F.col("id").alias("_id"))
+    facts = known.where(F.endswith("id", F.lit(":fact"))).select(F.col("id").alias("_fact"))
+    named = ids.join(own, ids["id"] == own["_id"], "left").join(facts, F.concat(ids["id"], F.lit(":fact")) == facts["_fact"], "left")
+    named = named.select("pos", F.coalesce("_id", "_fact").alias("id")).where("id is not null")
     first = F.row_number().over(Window.partitionBy("id").orderBy("pos"))
-    return ids.withColumn("_r", first).where("_r = 1").drop("_r").join(known, "id").orderBy("pos")
+    return named.withColumn("_r", first).where("_r = 1").drop("_r").join(known, "id").orderBy("pos")
+
+
+def mentioned(text: str, known: DataFrame) -> DataFrame:
+    """Records whose id stands in a text."""
+    return known.where(F.contains(F.lit(text), F.col("id")))
+
+
+def for_model(records: DataFrame) -> DataFrame:
+    """What of a record a model is shown: its quote at most 320 characters."""
+    return records.select("id", "kind", "contract", "title", "body", F.substring("quote", 1, 320).alias("quote"))
+
+
+def keyword_answer(hits: DataFrame, k: int = 12, cited: int = 6) -> DataFrame:
+    """One row for an answer without a model: the ids of the best hits to cite, and up to three contract names."""
+    best = hits.orderBy(F.desc("score"), "id").limit(k)
+    rows = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "id"))), 1, cited)
+    return best.agg(F.transform(rows, lambda x: x["id"]).alias("citations"), F.slice(F.array_sort(F.collect_set("contract")), 1, 3).alias("contracts"))
 
 
 def infer_contract(question: str, contracts: DataFrame, generic: tuple[str, ...] = ()) -> DataFrame:

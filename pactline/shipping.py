@@ -1,4 +1,4 @@
-"""Makes the package importable on Python workers, wherever the driver was started."""
+"""Makes the package importable on Python workers, wherever the driver was started; cuts lineages."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -27,3 +27,18 @@ def ship(spark: SparkSession) -> None:
             z.write(p, f"{root.name}/{p.relative_to(root)}")
     spark.sparkContext.addPyFile(str(target))
     _shipped.add(app)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows without their plan: a checkpoint in the folder named in spark.checkpoint.dir.  Where executors live
+    in the driver and none is named, a folder of this process is used."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="checkpoints-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        sc.setCheckpointDir(named)
+    return df.checkpoint()

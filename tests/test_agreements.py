@@ -206,3 +206,56 @@ def test_evaluate(spark):
     gold = spark.createDataFrame([("d", "t", 0, 1, 11), ("d", "v", 0, 0, 5)], s)
     got = evaluate.score(evaluate.match(pred, gold), None).head()
     assert (got.tp, got.fp, got.fn) == (1, 2, 1) and got.f1 == pytest.approx(0.4)
+
+
+def test_exposed_equals_the_listed_gaps(spark):
+    """Figures without the list of pairs against those of the list, with ties, negative and missing values."""
+    import random
+
+    from pactline.operators import portfolio
+
+    rng = random.Random(4)
+    roles = ["seller", "buyer", "mutual"]
+    k = spark.createDataFrame([(i, f"T{i % 40}", rng.choice(roles), float(rng.randint(1, 9)), "USD") for i in range(90)], "contract_id int, title string, our_role string, annual_value double, currency string")
+    rows = []
+    for i in range(90):
+        for kind, field in (("sla", 4), ("breach_notification", 1), ("liability_cap", 0)):
+            m = [None] * 5
+            m[field] = rng.choice([None, float(rng.randint(-3, 6))])
+            rows.append((i, f"{i}{kind}", 1, kind, "us", "d", 0, 4, "text", *m, None))
+    c = spark.createDataFrame(rows, "contract_id int, claim_id string, seq int, clause_type string, party_favored string, doc_id string, char_start int, char_end int, quote string, amount double, days double, months double, percent double, uptime_percent double, superseded_by string")
+    want = portfolio.exposure(portfolio.gaps(c, k)).drop("revenue").head().asDict()
+    got = portfolio.exposed(c, k, buckets=4).drop("revenue").head().asDict()
+    assert want == got and want["gaps"] > 100
+    assert portfolio.exposed(c.limit(0), k).head().gaps == 0
+
+
+def test_ranked_without_a_bound(spark):
+    from pyspark.sql import functions as F
+
+    from pactline.operators import retrieval
+
+    hits = spark.range(500).select("id", F.when(F.col("id") % 3 == 0, 1.0).otherwise(F.col("id") / 7).alias("score"))
+    got = {r.id: r.rank for r in retrieval.ranked(hits, buckets=8).collect()}
+    want = sorted(hits.collect(), key=lambda r: (-r.score, r.id))
+    assert got == {r.id: i for i, r in enumerate(want)} and retrieval.ranked(hits.limit(0)).count() == 0
+
+
+def test_unknown_severity_comes_last(spark):
+    from pyspark.sql import functions as F
+
+    from pactline.functions import text as X
+
+    df = spark.createDataFrame([(s,) for s in ("low", "who knows", "critical", None)], "s string").orderBy(X.severity_rank(F.col("s")), "s")
+    assert [r.s for r in df.collect()][:2] == ["critical", "low"]
+
+
+def test_term_rolls_as_often_as_it_takes(spark):
+    import datetime
+
+    from pyspark.sql import functions as F
+
+    from pactline.functions import temporal as T
+
+    term = T.roll_term(F.lit(datetime.date(1900, 1, 31)), 1, 1, datetime.date(2001, 9, 1))
+    assert spark.range(1).select(term.alias("t")).head().t.renewals > 1200
