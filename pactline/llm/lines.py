@@ -323,13 +323,74 @@ def within(a: str, b: str, most: int) -> bool:
     return score <= most
 
 
+#: Longest forms that are compared in bands, many pairs at once; beyond, one by one.
+BANDED = 400
+
+
+def _banded(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """For each pair whether the edit distance is at most `most`.  All pairs go through the table of distances together,
+    row by row, and only through the diagonals that so few edits can reach; pairs beyond their bound leave on the way."""
+    n, reach = len(a), int(most.max())
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    codes = lambda words, size: np.frombuffer("".join(w.ljust(size, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), size).T
+    rows, cols = int(la.max()), int(lb.max())
+    left = np.ascontiguousarray(codes(a, rows))
+    right = np.full((max(rows, cols) + 2 * reach + 1, n), 1, np.uint32)  # no form holds this character
+    right[reach : reach + cols] = codes(b, cols)
+    step = np.arange(2 * reach + 1, dtype=np.int16)[:, None]  # row holds the distances less these, on each diagonal
+    row = (np.where(step >= reach, step - reach, 4 * BANDED) - step).astype(np.int16).repeat(n, 1)
+    out, who = np.zeros(n, bool), np.arange(n)
+    for i in range(rows + 1):
+        if i:
+            row += (left[i - 1] != right[i - 1 : i + 2 * reach]).view(np.int8)
+            np.minimum(row[:-1], below, out=row[:-1])
+            shift = 1
+            while shift <= 2 * reach:  # least of all diagonals before
+                np.minimum(row[shift:], row[:-shift].copy(), out=row[shift:])
+                shift *= 2
+        done = np.flatnonzero(la == i)
+        if len(done):
+            place = lb[done] - i + reach
+            near = np.clip(place, 0, 2 * reach)
+            out[who[done]] = (place == near) & (row[near, done] + near <= most[done])
+        if i % 8 == 7 or not i:
+            on = np.flatnonzero((la > i) & ((row + step).min(0) <= most))
+            if len(on) < 0.7 * len(la):
+                la, lb, most, who = la[on], lb[on], most[on], who[on]
+                left, right, row = left[:, on], right[:, on], row[:, on]
+            if not len(on):
+                break
+        below = row[1:] + np.int16(2)
+    return out
+
+
+def _word_by_word(a: str, b: str, most: int) -> bool:
+    """Whether exchanging the words that differ, each for the one in its place, takes no more than `most` edits."""
+    left, right = a.split(" "), b.split(" ")
+    return len(left) == len(right) and sum(max(len(x), len(y)) for x, y in zip(left, right, strict=True) if x != y) <= most
+
+
+def alike(a: list[str], b: list[str], similarity_percent: int) -> np.ndarray:
+    """For each pair of forms whether their edit distance is at most (1 - similarity) x the longer one's length."""
+    long = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
+    most = long * (100 - similarity_percent) // 100
+    out = np.fromiter((_word_by_word(x, y, k) for x, y, k in zip(a, b, most.tolist(), strict=True)), bool, len(long))
+    order = np.flatnonzero(~out)
+    order = order[np.argsort(long[order], kind="stable")]
+    cut = int(np.searchsorted(long[order], BANDED, "right"))
+    for part in np.array_split(order[:cut], -(-cut // 512)) if cut else []:  # pairs of about the same length
+        out[part] = _banded([a[i] for i in part], [b[i] for i in part], most[part])
+    for i in order[cut:].tolist():
+        out[i] = within(a[i], b[i], int(most[i]))
+    return out
+
+
 def _verified(similarity_percent: int):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs = zip(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), strict=True)
-            good = [within(x, y, max(len(x), len(y)) * (100 - similarity_percent) // 100) for x, y in pairs]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            good = alike(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), similarity_percent)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return run
 

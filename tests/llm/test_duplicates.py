@@ -140,6 +140,24 @@ def test_edit_bound():
         assert lines.within(a, b, k) == (levenshtein(a, b) <= k)
 
 
+def test_alike_in_bands(monkeypatch):
+    """Many pairs at once, in bands or one by one, against brute force: empty, equal, unlike ones, and other scripts."""
+    rng = random.Random(17)
+    pairs = [("", ""), ("", "a"), ("abc", "abc"), ("\u8bad\u7ec3\U0001f600" * 9, "\u8bad\u7ec3\U0001f601" * 9)]
+    for _ in range(700):
+        a = text(rng.randint(1, 12), rng)
+        b = list(a)
+        for _ in range(rng.randint(0, 14)):
+            at = rng.randrange(len(b) + 1)
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "x", "e", "ab"])
+        pairs.append((a, "".join(b)) if rng.random() < 0.5 else ("".join(b), a))
+    for percent in (90, 70):
+        want = [levenshtein(a, b) <= max(len(a), len(b)) * (100 - percent) // 100 for a, b in pairs]
+        for banded in (400, 30):
+            monkeypatch.setattr(lines, "BANDED", banded)
+            assert lines.alike(*zip(*pairs, strict=True), percent).tolist() == want
+
+
 def test_line_groups(spark):
     rng = random.Random(8)
     own = [text(60, rng) for _ in range(30)]
