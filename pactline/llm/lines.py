@@ -137,7 +137,9 @@ def _postings(fragments: int, first: int):
             n = batch.num_rows
             if not n:
                 continue
-            prints = np.frombuffer(b"".join(batch.column("print").to_pylist()), np.int64).reshape(n, -1)
+            col = batch.column("print")
+            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + 2]
+            prints = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[0] + n * PRINT_BITS // 8].view(np.int64).reshape(n, -1)
             key = blocks(prints)[:, first : first + AT_ONCE].ravel()
             frag = ((key - (first << BLOCK_BITS)) * fragments) // (AT_ONCE << BLOCK_BITS)
             order = np.argsort(frag, kind="stable")
@@ -230,11 +232,8 @@ def _shared(percent: int):
     @lean_group
     def run(table: pa.Table) -> pa.Table:
         key, node, size, *marks = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
-        order = np.lexsort((node, key))
-        key, node = key[order], node[order]
-        new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))[: len(key)]
-        key, node, order = key[new], node[new], order[new]
-        size = size[order]
+        order = np.argsort(key, kind="stable")
+        key, node, size = key[order], node[order], size[order]
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
         label = _groups(start, np.diff(np.append(start, len(key))), Like([m[order].view(U) for m in marks], size, percent))
         keep = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
@@ -402,20 +401,21 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), "doc_id long, row long, line_no long, node long, size long, print binary, form string"))
-    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.substring("print", 1, MARKS * 8)).alias("print")))
+    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("print").alias("print")))
     fresh = found.where("form is not null")
-    n_nodes = nodes.count()
+    printed = nodes.where("octet_length(print) > 0").select("node", "size", "print")
+    n_nodes = printed.count()
     fragments = max(1, min(12, n_nodes * AT_ONCE // 10_000), n_nodes * AT_ONCE // FRAGMENT_ROWS)
     parts = []
     for first in range(0, BLOCKS, AT_ONCE):
-        posted = fresh.select("node", "size", "print").mapInArrow(_postings(fragments, first), "fragment long, key array<int>, node array<long>, size array<int>, " + ", ".join(f"p{i} array<long>" for i in range(MARKS)))
+        posted = printed.mapInArrow(_postings(fragments, first), "fragment long, key array<int>, node array<long>, size array<int>, " + ", ".join(f"p{i} array<long>" for i in range(MARKS)))
         parts.append(common.scratch(posted.groupBy("fragment").applyInArrow(_shared(similarity_percent), "key long, node long, size long")))
         del posted
         common.release(spark)
     shared = common.scratch(functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["key", "node"]))  # the same group under several blocks
     common.drop(*parts)
     prints = [f"p{i}" for i in range(MARKS)]
-    of_node = nodes.select("node", "n", *(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long").alias(c) for i, c in enumerate(prints)))
+    of_node = nodes.where("octet_length(print) > 0").select("node", "n", *(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long").alias(c) for i, c in enumerate(prints)))
     members = shared.join(of_node, "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -429,9 +429,7 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
 
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in prints)
     comps = common.link_buckets(members, verify, f"{common.like_sizes(similarity_percent)} and {apart} <= {MOST_BITS}", ("size", *prints))
-    n, c = nodes.alias("n"), comps.alias("c")
-    nodes = nodes.drop("print")
-    n = nodes.alias("n")
+    n, c = nodes.select("node", "n", "first").alias("n"), comps.alias("c")
     placed = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.*", F.expr("coalesce(c.comp, n.node)").alias("group_id")))
     per = placed.groupBy("group_id").agg(F.sum("n").alias("n_lines"), F.min("first").alias("keep")).where("n_lines > 1")
     known = common.scratch(placed.select("node", "group_id").join(per, "group_id"))
