@@ -22,6 +22,7 @@ through `dedup` untouched.
 from __future__ import annotations
 
 import functools
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,9 +69,22 @@ class Lines:
         sums = np.concatenate([np.zeros(1, U), np.cumsum(w.hash * _powers(ORDER, len(w.hash)))])
         self.node = mix((sums[self.end] - sums[self.first]) * _powers(ORDER_INV, len(w.hash) + 1)[self.first] + (self.end - self.first).astype(U)).astype(np.int64)
 
-    def forms(self, which: np.ndarray) -> list[str]:
-        data, w = self.words.data.tobytes(), self.words
-        return [b" ".join(data[x:y] for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)).decode() for a, b in zip(self.first[which].tolist(), self.end[which].tolist(), strict=True)]
+    def forms(self, which: np.ndarray) -> pa.StringArray:
+        """Normal forms of the lines `which`, in order: their words, a space between two."""
+        w = self.words
+        n = self.end[which] - self.first[which]
+        word = np.repeat(self.first[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        last = np.zeros(len(word), bool)
+        last[np.cumsum(n) - 1] = True
+        data, edge = w.data.copy(), np.zeros(len(w.data) + 1, np.int8)
+        edge[w.start[word]] = 1
+        edge[w.end[word][last]] -= 1
+        space = w.end[word][~last]
+        data[space] = 32
+        after = space + 1
+        edge[after] -= 1
+        off = np.concatenate([[0], np.cumsum(self.sizes()[which])]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(which), pa.py_buffer(off), pa.py_buffer(data[np.cumsum(edge[:-1], dtype=np.int8) > 0]))
 
     def sizes(self) -> np.ndarray:
         """Bytes of the normal forms."""
@@ -100,6 +114,10 @@ def blocks(prints: np.ndarray) -> np.ndarray:
     return flat.astype(np.int64) | np.arange(BLOCKS) << BLOCK_BITS
 
 
+#: Columns of a fingerprint's 64-bit words.
+_PRINT = [f"p{i}" for i in range(PRINT_BITS // 64)]
+
+
 def _occurrences(min_words: int, short: bool):
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,20 +134,21 @@ def _occurrences(min_words: int, short: bool):
                 sent.update(lines.node[fresh].tolist())
                 has = np.zeros(len(lines.node), bool)
                 has[fresh] = True
-                off = np.concatenate([[0], np.cumsum(has)]) * (PRINT_BITS // 8)
-                keys = pa.Array.from_buffers(pa.binary(), len(has), [None, pa.py_buffer(off.astype(np.int32)), pa.py_buffer(lines.prints(fresh))])
-                forms = pa.array(lines.forms(fresh), pa.string()).take(pa.array(np.cumsum(has) - 1, mask=~has)) if len(fresh) else pa.nulls(len(has), pa.string())
+                prints = np.zeros((len(_PRINT), len(has)), np.int64)
+                prints[:, fresh] = lines.prints(fresh).T
+                forms = lines.forms(fresh).take(pa.array(np.cumsum(has) - 1, mask=~has)) if len(fresh) else pa.nulls(len(has), pa.string())
                 docs, rows = part.column("doc_id").take(pa.array(lines.doc)), part.column("row").take(pa.array(lines.doc))
-                yield pa.RecordBatch.from_arrays([docs, rows, pa.array(lines.line.astype(np.int64)), pa.array(lines.node), pa.array(lines.sizes().astype(np.int64)), keys, forms], ["doc_id", "row", "line_no", "node", "size", "print", "form"])
+                yield pa.RecordBatch.from_arrays([docs, rows, pa.array(lines.line.astype(np.int64)), pa.array(lines.node), pa.array(lines.sizes().astype(np.int64)), forms, *(pa.array(x, mask=~has) for x in prints)], ["doc_id", "row", "line_no", "node", "size", "form", *_PRINT])
 
     return run
 
 
-_POSTINGS = ["fragment", "key", "node", "size", *(f"p{i}" for i in range(MARKS))]
+#: A posting: block and its value, node, size and the first words of its fingerprint.
+POSTING = np.dtype([("key", "<u4"), ("size", "<u4"), ("node", "<i8"), ("marks", "<u8", MARKS)])
 
 
 def _postings(fragments: int, first: int):
-    """(node, size, print) -> postings of AT_ONCE blocks from `first` on, as lists by fragment of the key range."""
+    """(node, size, fingerprint) -> postings of AT_ONCE blocks from `first` on, as bytes by fragment of the key range."""
 
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,20 +156,32 @@ def _postings(fragments: int, first: int):
             n = batch.num_rows
             if not n:
                 continue
-            col = batch.column("print")
-            at = np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + 2]
-            prints = np.frombuffer(col.buffers()[2], np.uint8)[at[0] : at[0] + n * PRINT_BITS // 8].view(np.int64).reshape(n, -1)
-            key = blocks(prints)[:, first : first + AT_ONCE].ravel()
-            frag = ((key - (first << BLOCK_BITS)) * fragments) // (AT_ONCE << BLOCK_BITS)
+            prints = np.column_stack([np.asarray(batch.column(c)) for c in _PRINT])
+            key = blocks(prints)[:, first : first + AT_ONCE]
+            frag = (((key - (first << BLOCK_BITS)) * fragments) // (AT_ONCE << BLOCK_BITS)).ravel()
+            rows = np.empty((n, AT_ONCE), POSTING)
+            rows["key"] = key
+            rows["size"], rows["node"] = np.asarray(batch.column("size"))[:, None], np.asarray(batch.column("node"))[:, None]
+            rows["marks"] = prints[:, None, :MARKS].view(U)
             order = np.argsort(frag, kind="stable")
             kinds, starts = np.unique(frag[order], return_index=True)
-            off = pa.array(np.append(starts, len(key)), pa.int32())
-            cols = [key.astype(np.int32), *(np.repeat(x, AT_ONCE) for x in (np.asarray(batch.column("node")), np.asarray(batch.column("size")).astype(np.int32), *prints[:, :MARKS].T))]
-            yield pa.RecordBatch.from_arrays([pa.array(kinds), *(pa.ListArray.from_arrays(off, pa.array(c[order])) for c in cols)], _POSTINGS)
+            off = np.append(starts, len(order)).astype(np.int32) * POSTING.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(kinds), [None, pa.py_buffer(off), pa.py_buffer(rows.ravel()[order])])
+            yield pa.RecordBatch.from_arrays([pa.array(kinds), packed], ["fragment", "postings"])
 
     return run
 
 
+def _unpacked(column: pa.ChunkedArray) -> np.ndarray:
+    """The postings of a column of bytes."""
+    parts = []
+    for chunk in column.chunks:
+        if len(chunk):
+            off = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            parts.append(np.frombuffer(chunk.buffers()[2], np.uint8)[off[0] : off[-1]])
+    return np.concatenate(parts or [np.zeros(0, np.uint8)]).view(POSTING)
+
+
 class Like:
     """Which of some nodes, with the first MARKS words of their fingerprints, can be near copies."""
 
@@ -225,23 +256,37 @@ def _groups(start: np.ndarray, count: np.ndarray, like: Like) -> np.ndarray:
             return label
 
 
+def _off_centre(marks: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each node how many bits it is off the majority of its group's; groups begin at `first`."""
+    n = np.diff(np.append(first, len(marks)))
+    out = np.zeros(len(marks), np.int64)
+    for m in marks.T if len(marks) else ():
+        bits = np.unpackbits(np.ascontiguousarray(m).view(np.uint8).reshape(-1, 8), axis=1)
+        centre = np.packbits(np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[:, None], axis=1).view(U).ravel()
+        out += np.bitwise_count(m ^ np.repeat(centre, n))
+    return out
+
+
 def _shared(percent: int):
     """Of one fragment: the nodes that have a like one under their key, with a key for each group of like ones that
-    depends on its nodes only."""
+    depends on its nodes only, ranked by their distance from the group's majority, as a text that all others were made
+    from is nearest to that."""
 
     @lean_group
     def run(table: pa.Table) -> pa.Table:
-        key, node, size, *marks = (np.asarray(table.column(c).combine_chunks().flatten()) for c in _POSTINGS[1:])
-        order = np.argsort(key, kind="stable")
-        key, node, size = key[order], node[order], size[order]
+        rows = _unpacked(table.column("postings"))
+        rows = rows[np.argsort(rows["key"], kind="stable")]
+        key, size, node, marks = (np.ascontiguousarray(rows[c]) for c in POSTING.names)
+        del rows
         start = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-        label = _groups(start, np.diff(np.append(start, len(key))), Like([m[order].view(U) for m in marks], size, percent))
+        label = _groups(start, np.diff(np.append(start, len(key))), Like([np.ascontiguousarray(m) for m in marks.T], size.astype(np.int64), percent))
         keep = np.flatnonzero(np.bincount(label, minlength=len(label))[label] > 1)
         keep = keep[np.argsort(label[keep], kind="stable")]
         first = np.flatnonzero(np.append(True, label[keep][1:] != label[keep][:-1])[: len(keep)])
         names = mix(np.add.reduceat(mix(node[keep].view(U)), first)) if len(first) else np.zeros(0, U)
         names = np.repeat(names, np.diff(np.append(first, len(keep))))
-        return pa.table([pa.array(c.astype(np.int64)) for c in (names, node[keep], size[keep])], ["key", "node", "size"])
+        cols = names, node[keep], size[keep], _off_centre(marks[keep], first)
+        return pa.table([pa.array(c.astype(np.int64)) for c in cols], ["key", "node", "size", "rank"])
 
     return run
 
@@ -281,22 +326,25 @@ def script_cost(a: list[str], b: list[str], reach: int = 6) -> int | None:
     return cost + max(rest(a[i:]), rest(b[j:]))
 
 
+def _trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both without their common ends, the shorter one first; the edit distance stays."""
+    lo = len(os.path.commonprefix((a, b)))
+    a, b = a[lo:], b[lo:]
+    lo, hi = 0, min(len(a), len(b))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        lo, hi = (mid, hi) if a[len(a) - mid :] == b[len(b) - mid :] else (lo, mid - 1)
+    a, b = a[: len(a) - lo], b[: len(b) - lo]
+    return (a, b) if len(a) <= len(b) else (b, a)
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether the edit distance of a and b is at most `most`: yes if a cheap edit script is; else common ends are cut
     off and the rest is compared bit-parallel, as long as the bound can still be met."""
     cheap = script_cost(a.split(" "), b.split(" "))
     if cheap is not None and cheap <= most:
         return True
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[:mid] == b[:mid] else (lo, mid - 1)
-    a, b = a[lo:], b[lo:]
-    lo, hi = 0, min(len(a), len(b))
-    while lo < hi:
-        mid = (lo + hi + 1) // 2
-        lo, hi = (mid, hi) if a[len(a) - mid :] == b[len(b) - mid :] else (lo, mid - 1)
-    a, b = sorted((a[: len(a) - lo], b[: len(b) - lo]), key=len)
+    a, b = _trimmed(a, b)
     if len(b) <= most or len(b) - len(a) > most:
         return len(b) <= most
     eq: dict[str, int] = {}
@@ -323,43 +371,56 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 #: Longest forms that are compared in bands, many pairs at once; beyond, one by one.
-BANDED = 400
+BANDED = 2000
+#: Cells of a row of such a comparison, about what a processor's cache holds.
+CELLS = 1 << 14
+#: Pairs and bytes of forms that are judged together.
+TOGETHER = 16_000, 16 << 20
+
+
+def _codes(words: list[str], size: int) -> np.ndarray:
+    """(size, words) characters, one word a column, filled up with 0; as few bytes each as they need."""
+    out = np.frombuffer("".join(w.ljust(size, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), size).T
+    top = out.max(initial=0)
+    return np.ascontiguousarray(out, np.uint8 if top < 1 << 8 else np.uint16 if top < 1 << 16 else np.uint32)
 
 
 def _banded(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
-    """For each pair whether the edit distance is at most `most`.  All pairs go through the table of distances together,
-    row by row, and only through the diagonals that so few edits can reach; pairs beyond their bound leave on the way."""
-    n, reach = len(a), int(most.max())
+    """For each pair, the shorter one in `a`, whether the edit distance is at most `most`, which is no less than the
+    lengths' difference.  All pairs go through the table of distances together, row by row, and only through the
+    diagonals that so few edits can reach and come back from; pairs beyond their bound leave on the way."""
+    n = len(a)
     la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
-    codes = lambda words, size: np.frombuffer("".join(w.ljust(size, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), size).T
-    rows, cols = int(la.max()), int(lb.max())
-    left = np.ascontiguousarray(codes(a, rows))
-    right = np.full((max(rows, cols) + 2 * reach + 1, n), 1, np.uint32)  # no form holds this character
-    right[reach : reach + cols] = codes(b, cols)
-    step = np.arange(2 * reach + 1, dtype=np.int16)[:, None]  # row holds the distances less these, on each diagonal
-    row = (np.where(step >= reach, step - reach, 4 * BANDED) - step).astype(np.int16).repeat(n, 1)
+    below, above = int((most - lb + la).max()) // 2, int((most + lb - la).max()) // 2
+    wide, rows, cols = below + above + 1, int(la.max()), int(lb.max())
+    left, far = _codes(a, rows), _codes(b, cols)
+    kind = max(left.dtype, far.dtype)
+    left = left.astype(kind, copy=False)
+    right = np.full((max(rows + wide, below + cols), n), 1, kind)  # no form holds this character
+    right[below : below + cols] = far
+    step = np.arange(wide, dtype=np.int16)[:, None]  # row holds the distances less these, on each diagonal
+    row = (np.where(step >= below, step - below, 4 * BANDED) - step).astype(np.int16).repeat(n, 1)
     out, who = np.zeros(n, bool), np.arange(n)
     for i in range(rows + 1):
         if i:
-            row += (left[i - 1] != right[i - 1 : i + 2 * reach]).view(np.int8)
-            np.minimum(row[:-1], below, out=row[:-1])
+            row += (left[i - 1] != right[i - 1 : i - 1 + wide]).view(np.int8)
+            np.minimum(row[:-1], down, out=row[:-1])
             shift = 1
-            while shift <= 2 * reach:  # least of all diagonals before
+            while shift < wide:  # least of all diagonals before
                 np.minimum(row[shift:], row[:-shift].copy(), out=row[shift:])
                 shift *= 2
         done = np.flatnonzero(la == i)
         if len(done):
-            place = lb[done] - i + reach
-            near = np.clip(place, 0, 2 * reach)
-            out[who[done]] = (place == near) & (row[near, done] + near <= most[done])
+            place = lb[done] - i + below
+            out[who[done]] = row[place, done] + place <= most[done]
         if i % 8 == 7 or not i:
             on = np.flatnonzero((la > i) & ((row + step).min(0) <= most))
             if len(on) < 0.7 * len(la):
                 la, lb, most, who = la[on], lb[on], most[on], who[on]
-                left, right, row = left[:, on], right[:, on], row[:, on]
+                left, right, row = (x.take(on, 1) for x in (left, right, row))  # take keeps the layout
             if not len(on):
                 break
-        below = row[1:] + np.int16(2)
+        down = row[1:] + np.int16(2)
     return out
 
 
@@ -370,26 +431,51 @@ def _word_by_word(a: str, b: str, most: int) -> bool:
 
 
 def alike(a: list[str], b: list[str], similarity_percent: int) -> np.ndarray:
-    """For each pair of forms whether their edit distance is at most (1 - similarity) x the longer one's length."""
-    long = np.array([max(len(x), len(y)) for x, y in zip(a, b, strict=True)], np.int64)
-    most = long * (100 - similarity_percent) // 100
-    out = np.fromiter((_word_by_word(x, y, k) for x, y, k in zip(a, b, most.tolist(), strict=True)), bool, len(long))
-    order = np.flatnonzero(~out)
-    order = order[np.argsort(long[order], kind="stable")]
-    cut = int(np.searchsorted(long[order], BANDED, "right"))
-    for part in np.array_split(order[:cut], -(-cut // 512)) if cut else []:  # pairs of about the same length
-        out[part] = _banded([a[i] for i in part], [b[i] for i in part], most[part])
-    for i in order[cut:].tolist():
-        out[i] = within(a[i], b[i], int(most[i]))
+    """For each pair of forms whether their edit distance is at most (1 - similarity) x the longer one's length: yes if
+    exchanging words in place is enough; the rest is compared in bands, without common ends."""
+    out, banded = np.zeros(len(a), bool), []
+    for i, (x, y) in enumerate(zip(a, b, strict=True)):
+        most = max(len(x), len(y)) * (100 - similarity_percent) // 100
+        if _word_by_word(x, y, most):
+            out[i] = True
+            continue
+        x, y = _trimmed(x, y)
+        if len(y) - len(x) > most or len(y) <= most:
+            out[i] = len(y) <= most
+        elif len(y) > BANDED:
+            out[i] = within(x, y, most)
+        else:
+            banded.append((most, len(x), i, x, y))
+    banded.sort()
+    at = 0
+    while at < len(banded):  # pairs of about the same bound
+        part = banded[at : at + max(64, CELLS // (banded[at][0] + 1))]
+        most, _, which, x, y = zip(*part, strict=True)
+        out[list(which)] = _banded(x, y, np.array(most))
+        at += len(part)
     return out
 
 
 def _verified(similarity_percent: int):
+    """Rows (a, b, fa, fb) whose forms are alike, judged many at a time."""
+
     @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def judged() -> pa.RecordBatch:
+            rows = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            good = alike(rows.column("fa").to_pylist(), rows.column("fb").to_pylist(), similarity_percent)
+            return pa.concat_batches(rows.select(["a", "b"]).filter(pa.array(good)).to_batches()) if good.any() else None
+
         for batch in batches:
-            good = alike(batch.column("fa").to_pylist(), batch.column("fb").to_pylist(), similarity_percent)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= TOGETHER[0] or sum(x.nbytes for x in held) >= TOGETHER[1]:
+                if out := judged():
+                    yield out
+        if held and (out := judged()):
+            yield out
 
     return run
 
@@ -400,23 +486,24 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     doc_id and line_no)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), "doc_id long, row long, line_no long, node long, size long, print binary, form string"))
-    nodes = common.scratch(found.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct("doc_id", "line_no")).alias("first"), F.max("print").alias("print")))
+    words = ", ".join(f"{c} long" for c in _PRINT)
+    found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), f"doc_id long, row long, line_no long, node long, size long, form string, {words}"))
+    per_node = [F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), *(F.max(c).alias(c) for c in _PRINT)]  # copies have equal ones
+    nodes = common.scratch(found.groupBy("node").agg(*per_node))
     fresh = found.where("form is not null")
-    printed = nodes.where("octet_length(print) > 0").select("node", "size", "print")
+    printed = nodes.where("p0 is not null").drop("n")
     n_nodes = printed.count()
     fragments = max(1, min(12, n_nodes * AT_ONCE // 10_000), n_nodes * AT_ONCE // FRAGMENT_ROWS)
     parts = []
     for first in range(0, BLOCKS, AT_ONCE):
-        posted = printed.mapInArrow(_postings(fragments, first), "fragment long, key array<int>, node array<long>, size array<int>, " + ", ".join(f"p{i} array<long>" for i in range(MARKS)))
-        parts.append(common.scratch(posted.groupBy("fragment").applyInArrow(_shared(similarity_percent), "key long, node long, size long")))
+        posted = printed.mapInArrow(_postings(fragments, first), "fragment long, postings binary")
+        parts.append(common.scratch(posted.groupBy("fragment").applyInArrow(_shared(similarity_percent), "key long, node long, size long, rank long")))
         del posted
         common.release(spark)
     shared = common.scratch(functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["key", "node"]))  # the same group under several blocks
     common.drop(*parts)
-    prints = [f"p{i}" for i in range(MARKS)]
-    of_node = nodes.where("octet_length(print) > 0").select("node", "n", *(F.conv(F.hex(F.substring("print", 8 * i + 1, 8)), 16, -10).cast("long").alias(c) for i, c in enumerate(prints)))
-    members = shared.join(of_node, "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
+    prints = _PRINT[:MARKS]
+    members = shared.join(printed.select("node", *prints), "node").select("key", "node", "rank", "size", *prints)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -429,14 +516,15 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
 
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in prints)
     comps = common.link_buckets(members, verify, f"{common.like_sizes(similarity_percent)} and {apart} <= {MOST_BITS}", ("size", *prints))
-    n, c = nodes.select("node", "n", "first").alias("n"), comps.alias("c")
+    n, c = nodes.select("node", "n").alias("n"), comps.alias("c")
     placed = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.*", F.expr("coalesce(c.comp, n.node)").alias("group_id")))
-    per = placed.groupBy("group_id").agg(F.sum("n").alias("n_lines"), F.min("first").alias("keep")).where("n_lines > 1")
+    per = placed.groupBy("group_id").agg(F.sum("n").alias("n_lines")).where("n_lines > 1")
     known = common.scratch(placed.select("node", "group_id").join(per, "group_id"))
     common.drop(shared)
-    out = found.select("doc_id", "row", "line_no", "node").join(known, "node")
+    hits = common.scratch(found.select("doc_id", "row", "line_no", "node").join(known, "node"))
+    keep = hits.groupBy("group_id").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
     same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no"))
-    return out.select("doc_id", "row", "line_no", "node", "group_id", "n_lines", (~same).alias("removed"))
+    return hits.join(keep, "group_id").select("doc_id", "row", "line_no", "node", "group_id", "n_lines", (~same).alias("removed"))
 
 
 def dedup(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
