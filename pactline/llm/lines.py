@@ -41,7 +41,9 @@ AT_ONCE = 4
 FIRST_BITS, MOST_BITS, MARKS = 18, 46, 3
 FRAGMENT_ROWS = 800_000
 #: Buckets up to this size are compared by shifting all of them at once, wider ones one by one.
-NARROW = 96
+NARROW = 400
+#: Share of nodes still to be compared from which on comparing all of them in their order is the faster way.
+DENSE = 0.1
 MIN_WORDS = 5
 ORDER = U(0xD1342543DE82EF95)
 ORDER_INV = U(pow(0xD1342543DE82EF95, -1, 2**64))
@@ -201,6 +203,13 @@ class Like:
         hit[at] = self._rest(i[at], j[at])
         return hit
 
+    def ahead(self, reach: int, end: np.ndarray) -> np.ndarray:
+        """Nodes that can with the one `reach` places on, where that comes before their `end`; all of them at once."""
+        m = self.marks[0]
+        at = np.flatnonzero(np.bitwise_count(m[:-reach] ^ m[reach:]) <= FIRST_BITS)
+        at = at[at + reach < end[at]]
+        return at[self._rest(at, at + reach)]
+
     def table(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For each of i and each of j whether they can; not with themselves."""
         m = self.marks[0]
@@ -243,8 +252,14 @@ def _groups(start: np.ndarray, count: np.ndarray, like: Like) -> np.ndarray:
     while len(here):
         reach += 1
         here = here[here + reach < end[here]]
-        met = here[like.pairs(here, here + reach)]
-        pairs.append((met, met + reach))
+        met = like.ahead(reach, end) if len(here) > DENSE * n_all else here[like.pairs(here, here + reach)]
+        met = met[label[met] != label[met + reach]]  # the others are joined already by pairs found before
+        if len(met):
+            pairs.append((met, met + reach))
+            low = np.minimum(label[met], label[met + reach])
+            label[met] = low
+            label[met + reach] = np.minimum(label[met + reach], low)
+            label = label[label]
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (label[:0], label[:0])
     while True:
         low = np.minimum(label[a], label[b])
@@ -256,21 +271,9 @@ def _groups(start: np.ndarray, count: np.ndarray, like: Like) -> np.ndarray:
             return label
 
 
-def _off_centre(marks: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """For each node how many bits it is off the majority of its group's; groups begin at `first`."""
-    n = np.diff(np.append(first, len(marks)))
-    out = np.zeros(len(marks), np.int64)
-    for m in marks.T if len(marks) else ():
-        bits = np.unpackbits(np.ascontiguousarray(m).view(np.uint8).reshape(-1, 8), axis=1)
-        centre = np.packbits(np.add.reduceat(bits, first, axis=0, dtype=np.int32) * 2 > n[:, None], axis=1).view(U).ravel()
-        out += np.bitwise_count(m ^ np.repeat(centre, n))
-    return out
-
-
 def _shared(percent: int):
     """Of one fragment: the nodes that have a like one under their key, with a key for each group of like ones that
-    depends on its nodes only, ranked by their distance from the group's majority, as a text that all others were made
-    from is nearest to that."""
+    depends on its nodes only."""
 
     @lean_group
     def run(table: pa.Table) -> pa.Table:
@@ -285,8 +288,7 @@ def _shared(percent: int):
         first = np.flatnonzero(np.append(True, label[keep][1:] != label[keep][:-1])[: len(keep)])
         names = mix(np.add.reduceat(mix(node[keep].view(U)), first)) if len(first) else np.zeros(0, U)
         names = np.repeat(names, np.diff(np.append(first, len(keep))))
-        cols = names, node[keep], size[keep], _off_centre(marks[keep], first)
-        return pa.table([pa.array(c.astype(np.int64)) for c in cols], ["key", "node", "size", "rank"])
+        return pa.table([pa.array(c.astype(np.int64)) for c in (names, node[keep], size[keep])], ["key", "node", "size"])
 
     return run
 
@@ -488,22 +490,22 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     words = ", ".join(f"{c} long" for c in _PRINT)
     found = common.scratch(rows.mapInArrow(_occurrences(min_words, short), f"doc_id long, row long, line_no long, node long, size long, form string, {words}"))
-    per_node = [F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), *(F.max(c).alias(c) for c in _PRINT)]  # copies have equal ones
+    per_node = [F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.min(F.struct("doc_id", "line_no")).alias("first"), *(F.max(c).alias(c) for c in _PRINT)]  # copies have equal ones
     nodes = common.scratch(found.groupBy("node").agg(*per_node))
     fresh = found.where("form is not null")
-    printed = nodes.where("p0 is not null").drop("n")
+    printed = nodes.where("p0 is not null").drop("first")
     n_nodes = printed.count()
     fragments = max(1, min(12, n_nodes * AT_ONCE // 10_000), n_nodes * AT_ONCE // FRAGMENT_ROWS)
     parts = []
     for first in range(0, BLOCKS, AT_ONCE):
         posted = printed.mapInArrow(_postings(fragments, first), "fragment long, postings binary")
-        parts.append(common.scratch(posted.groupBy("fragment").applyInArrow(_shared(similarity_percent), "key long, node long, size long, rank long")))
+        parts.append(common.scratch(posted.groupBy("fragment").applyInArrow(_shared(similarity_percent), "key long, node long, size long")))
         del posted
         common.release(spark)
     shared = common.scratch(functools.reduce(DataFrame.unionByName, parts).dropDuplicates(["key", "node"]))  # the same group under several blocks
     common.drop(*parts)
     prints = _PRINT[:MARKS]
-    members = shared.join(printed.select("node", *prints), "node").select("key", "node", "rank", "size", *prints)
+    members = shared.join(printed.select("node", "n", *prints), "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
 
     def verify(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
@@ -516,15 +518,14 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
 
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in prints)
     comps = common.link_buckets(members, verify, f"{common.like_sizes(similarity_percent)} and {apart} <= {MOST_BITS}", ("size", *prints))
-    n, c = nodes.select("node", "n").alias("n"), comps.alias("c")
+    n, c = nodes.select("node", "n", "first").alias("n"), comps.alias("c")
     placed = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.*", F.expr("coalesce(c.comp, n.node)").alias("group_id")))
-    per = placed.groupBy("group_id").agg(F.sum("n").alias("n_lines")).where("n_lines > 1")
+    per = placed.groupBy("group_id").agg(F.sum("n").alias("n_lines"), F.min("first").alias("keep")).where("n_lines > 1")
     known = common.scratch(placed.select("node", "group_id").join(per, "group_id"))
     common.drop(shared)
-    hits = common.scratch(found.select("doc_id", "row", "line_no", "node").join(known, "node"))
-    keep = hits.groupBy("group_id").agg(F.min(F.struct("doc_id", "line_no")).alias("keep"))
+    out = found.select("doc_id", "row", "line_no", "node").join(known, "node")
     same = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no"))
-    return hits.join(keep, "group_id").select("doc_id", "row", "line_no", "node", "group_id", "n_lines", (~same).alias("removed"))
+    return out.select("doc_id", "row", "line_no", "node", "group_id", "n_lines", (~same).alias("removed"))
 
 
 def dedup(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
