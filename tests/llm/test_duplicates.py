@@ -5,6 +5,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pactline.llm import common, decontam, jaccard, lines, passages
@@ -192,6 +193,17 @@ def near_lines(rng, n, changed, count):
     return out
 
 
+def test_normal_forms():
+    """Words of each line, a space between two, against a regular expression; also for some of the lines only."""
+    texts = [None, "", "a", "A  b\nc", "--", "\n\nx, Y!\r\nz", "\u00e9 \u00e8.\n", "\u8bad\u7ec3 \U0001f600x\n-a-", text(400)]
+    want = [" ".join(re.findall(r"[0-9a-z\u0080-\U0010ffff]+", line.lower())) for t in texts for line in (t or "").split("\n")]
+    got = lines.Lines(pa.array(texts, pa.string()), 1)
+    every = np.arange(len(got.node))
+    assert got.forms(every).to_pylist() == [w for w in want if w]
+    assert got.forms(every[::2]).to_pylist() == [w for w in want if w][::2] and not len(got.forms(every[:0]))
+    assert [len(x.encode()) for x in got.forms(every).to_pylist()] == got.sizes().tolist()
+
+
 @pytest.mark.parametrize("others", [0, 40_000])
 def test_line_recall(spark, others):
     """Pairs at edit similarity 0.9 are linked at the stated recall, whatever the number of other lines."""
