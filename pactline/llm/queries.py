@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import decontam, jaccard, langid, licenses, lines, packing, passages, quality, sharding, urlfilter
+from . import decontam, infill, jaccard, langid, licenses, lines, packing, passages, quality, sharding, urlfilter
 
 
 def prepare(spark: SparkSession) -> None:
@@ -91,6 +91,31 @@ def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.spans(table(spark, sf_dir, "documents")).select("doc_id", "first_word", "end_word", "n_paragraphs", "group_id", "removed")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = infill.transform(table(spark, sf_dir, "documents"))
+    back = infill.restore(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u
+  FROM documents),
+h AS (
+  SELECT *, len(u) AS n, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (len(u) + 1) AS a, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (len(u) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 >= 50 THEN 'plain'
+              WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM t),
+c AS (
+  SELECT *, array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:], '') AS s
+  FROM h)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM c"""
+
+
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +125,6 @@ def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return run
 
 
-_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan]
+_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan, op12_fill_in_middle]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _prepared(q) for q in _ALL}
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op12_fill_in_middle": OP12_SQL}
