@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import decontam, infill, jaccard, langid, licenses, lines, packing, passages, quality, sharding, urlfilter
+from . import decontam, infill, jaccard, langid, licenses, lines, negatives, packing, passages, quality, sharding, urlfilter
 
 
 def prepare(spark: SparkSession) -> None:
@@ -116,6 +116,28 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_c
 FROM c"""
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+OP13_SQL = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = len(embedding)),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, b.r AS br, b.vec_id, a.label = b.label AS same, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.r <> b.r),
+p AS (
+  SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id NULLS LAST, br) <= 5),
+n AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.br ORDER BY s.score DESC, s.vec_id NULLS LAST, s.br) AS rank
+  FROM p JOIN s ON s.ar = p.ar AND NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10"""
+
+
 def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     @functools.wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,6 +147,6 @@ def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return run
 
 
-_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan, op12_fill_in_middle]
+_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan, op12_fill_in_middle, op13_hard_negatives]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _prepared(q) for q in _ALL}
-ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op12_fill_in_middle": OP12_SQL}
+ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op12_fill_in_middle": OP12_SQL, "op13_hard_negatives": OP13_SQL}
