@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
-from . import decontam, infill, jaccard, langid, licenses, lines, negatives, packing, passages, quality, sharding, urlfilter
+from . import decontam, identifiers, infill, jaccard, langid, licenses, lines, negatives, packing, passages, quality, sharding, urlfilter
 
 
 def prepare(spark: SparkSession) -> None:
@@ -91,6 +91,11 @@ def op3_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return passages.spans(table(spark, sf_dir, "documents")).select("doc_id", "first_word", "end_word", "n_paragraphs", "group_id", "removed")
 
 
+def op11_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, base, spans = identifiers.scan(table(spark, sf_dir, "documents")), F.col("base"), F.col("spans")
+    return out.select("doc_id", *identifiers.counted(base), F.sha2(identifiers.listed(base), 256).alias("base_sha256"), identifiers.listed(spans).alias("spans"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.transform(table(spark, sf_dir, "documents"))
     back = infill.restore(F.col("output"), F.col("form"))
@@ -147,6 +152,6 @@ def _prepared(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spar
     return run
 
 
-_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan, op12_fill_in_middle, op13_hard_negatives]
+_ALL = [op1_decontamination, op2_jaccard_join, op3_passage_dedup, op4_url_filter, op5_language_id, op6_sharding, op7_line_dedup, op8_packing, op9_quality_rules, op10_license_scan, op11_identifiers, op12_fill_in_middle, op13_hard_negatives]
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.__name__: _prepared(q) for q in _ALL}
 ORACLES: dict[str, str] = {"op4_url_filter": OP4_SQL, "op12_fill_in_middle": OP12_SQL, "op13_hard_negatives": OP13_SQL}
