@@ -49,10 +49,10 @@ def literal_dates(documents: DataFrame) -> DataFrame:
     return s.select("doc_id", "char_start", "char_end", "quote", T.parse_date(F.col("quote")).alias("date"), "line").where("date is not null")
 
 
-def indicators(documents: DataFrame, around: int = 90) -> DataFrame:
+def indicators(documents: DataFrame) -> DataFrame:
     """Injection indicators: doc_id, why, span and excerpt.  Texts that no pattern can match stay in the JVM."""
     maybe = documents.where(F.col("text").rlike(r"(?i)(instruct|disregard|system|assistant|user|you\s+are|act\s+as|report|extract|mention|summari|flag|analyz|only|approved|automated|mark|classify|score|treat|\[|<!--|\{\{)"))
-    find = lambda t: [(a, b, why, t[max(0, a - around) : b + around].replace("\n", " ").strip(" ")) for a, b, why in S.injections(t)]
+    find = lambda t: [(a, b, why, S.shown(t, a, b)) for a, b, why in S.injections(t)]
     s = _spans(maybe, find, ["char_start", "char_end", "why", "excerpt"], "char_start int, char_end int, why string, excerpt string")
     return s.select("doc_id", "seq", "why", "char_start", "char_end", "excerpt")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,20 +49,22 @@ def supersede(claims: DataFrame, ordered: DataFrame) -> DataFrame:
 
 
 def lineage(claims: DataFrame, documents: DataFrame) -> DataFrame:
-    """claim_id, lineage: what set the clause and what it replaced, to the end of the chain, never in a circle.  Each step
-    is a join of the chains still open, checkpointed so that the next one doesn't follow them from the start again."""
+    """claim_id, lineage: what set the clause and what it replaced, to the end of the chain, each clause once.
+
+    Chains are doubled: in each round a chain that is still open takes over the chain of the clause it has come to, so
+    a chain of n clauses takes log2(n) rounds.  A circle ends where a clause comes up again."""
     names = documents.select(F.col("doc_id").alias("_d"), "filename")
     c = claims.join(names, F.col("doc_id") == F.col("_d"), "left").select(F.col("claim_id").cast("string").alias("claim_id"), F.coalesce("filename", F.col("doc_id").cast("string")).alias("file"), F.col("supersedes").cast("string").alias("next"))
-    walk = c.select("claim_id", F.array(F.concat(F.lit("set by "), "file")).alias("parts"), F.array("claim_id").alias("seen"), "next")
-    done = walk.where("next is null")
-    open_ = walk.where("next is not null")
+    walk = cut(c.select("claim_id", F.array(F.struct(F.col("claim_id").alias("id"), "file")).alias("chain"), "next"))
+    done, open_ = [walk.where("next is null")], walk.where("next is not null")
     while not open_.isEmpty():
-        s = c.select(F.col("claim_id").alias("_id"), "file", F.col("next").alias("_next"))
-        j = open_.join(s, (open_["next"] == s["_id"]) & ~F.array_contains("seen", F.col("next")), "left")
-        j = j.select("claim_id", F.when(F.col("_id").isNull(), F.col("parts")).otherwise(F.array_append("parts", F.concat(F.lit("supersedes "), "file"))).alias("parts"), F.array_append("seen", F.col("next")).alias("seen"), F.col("_next").alias("next"))
-        j = cut(j)
-        done, open_ = done.unionByName(j.where("next is null")), j.where("next is not null")
-    return done.select("claim_id", F.array_join("parts", "; ").alias("lineage"))
+        known = reduce(DataFrame.unionByName, [*done, open_]).select(F.col("claim_id").alias("_id"), F.col("chain").alias("_chain"), F.col("next").alias("_next"))
+        joined = open_.join(known, open_["next"] == known["_id"], "left").withColumn("_all", F.when(F.col("_id").isNull(), F.col("chain")).otherwise(F.concat("chain", "_chain")))
+        once = joined.withColumn("chain", F.array_distinct("_all"))
+        open_ = cut(once.select("claim_id", "chain", F.when(F.size("chain") == F.size("_all"), F.col("_next")).alias("next")))
+        done, open_ = [*done, open_.where("next is null")], open_.where("next is not null")
+    text = F.transform("chain", lambda x, i: F.concat(F.when(i == 0, "set by ").otherwise("supersedes "), x["file"]))
+    return reduce(DataFrame.unionByName, done).select("claim_id", F.array_join(text, "; ").alias("lineage"))
 
 
 def annual_value(claims: DataFrame) -> DataFrame:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,23 +75,33 @@ def merge_rules(rules: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFra
     return rules.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
-def locate(quotes: DataFrame, documents: DataFrame) -> DataFrame:
-    """quotes (doc_id, quote, ...) with char_start, char_end, how: exact (built in), else whitespace or fuzzy (Python,
-    for the rest only), else dropped."""
-    j = quotes.join(documents.select("doc_id", F.col("text").alias("_text")), "doc_id", "left")
-    at = F.when(F.length("quote") > 0, F.expr("locate(quote, _text)") - 1)
-    j = j.withColumn("_at", F.coalesce(at, F.lit(-1)))
-    exact = j.where("_at >= 0").select(*quotes.columns, F.col("_at").cast("int").alias("char_start"), (F.col("_at") + F.length("quote")).cast("int").alias("char_end"), F.lit("exact").alias("how"))
-
-    def rest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            found = [S.near(t or "", q or "") for t, q in zip(f["_text"], f["quote"], strict=True)]
-            out = f.drop(columns=["_text", "_at"])
-            out["char_start"], out["char_end"], out["how"] = zip(*found, strict=True) if found else ([], [], [])
-            yield out.astype({"char_start": "Int32", "char_end": "Int32"})
+#: Quotes of one document that a task takes together.
+QUOTES_TOGETHER = 2000
+
 
+def locate(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+    """quotes (doc_id, quote, ...) with char_start, char_end, how: exact, else whitespace, else fuzzy, else dropped.
+
+    A document's quotes meet its text together, so a text is shuffled once and its seeds are sorted once, however many
+    quotes it has; those of a document with very many are dealt out, and the text goes to each part."""
+    parts = quotes.where("doc_id is not null").groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / QUOTES_TOGETHER).cast("int").alias("_parts"))
+    texts = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    texts = texts.join(parts, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    dealt = quotes.join(parts, "doc_id", "left").withColumn("_part", F.pmod(F.xxhash64("quote"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    held = dealt.where("doc_id is not null")
     schema = f"{', '.join(f'`{n}` {t}' for n, t in quotes.dtypes)}, char_start int, char_end int, how string"
-    return exact.unionByName(j.where("_at < 0").mapInPandas(rest, schema))
+
+    def of(mine: pa.Table, theirs: pa.Table) -> pa.Table:
+        text = S.Text((theirs.column("_text")[0].as_py() if len(theirs) else None) or "")
+        found = [S.located(text, q or "") for q in mine.column("quote").to_pylist()]
+        out = mine.drop_columns(["_part"])
+        for k, (name, kind) in enumerate((("char_start", pa.int32()), ("char_end", pa.int32()), ("how", pa.string()))):
+            out = out.append_column(name, pa.array([f[k] for f in found], kind))
+        return out
+
+    met = held.groupBy("doc_id", "_part").cogroup(texts.groupBy("_doc", "_part")).applyInArrow(of, schema)
+    nowhere = quotes.where("doc_id is null").select("*", F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"), F.lit("dropped").alias("how"))
+    return met.unionByName(nowhere)
 
 
 def stats(located: DataFrame, by: str = "doc_id") -> DataFrame:

@@ -96,20 +96,23 @@ def q_pages(spark, sf_dir):
     return d.select("doc_id", "text", at.alias("page_150"), F.size("pages").cast("long").alias("n"))
 
 
-QUOTED = """q AS (SELECT doc_id, lang, text, CASE doc_id % 3 WHEN 0 THEN substr(text, 11, 50) WHEN 1 THEN replace(substr(text, 1, 60), ' ', '   ') ELSE 'qzx wvu kkq' END AS quote FROM documents WHERE length(text) >= 100),
-how AS (SELECT doc_id, lang, CASE WHEN contains(text, quote) THEN 'exact' WHEN doc_id % 3 = 1 THEN 'whitespace' ELSE 'dropped' END AS how FROM q)"""
+QUOTED = r"""q AS (SELECT doc_id, lang, text, doc_id % 4 AS kind, CASE WHEN length(text) < 100 THEN text WHEN doc_id % 4 = 0 THEN substr(text, 11, 50) WHEN doc_id % 4 = 1 THEN replace(substr(text, 1, 60), ' ', '   ') WHEN doc_id % 4 = 2 THEN substr(text, 1, 40) || '§' || substr(text, 42, 40) ELSE 'qzx wvu kkq' END AS quote, substr(text, 1, CASE doc_id % 4 WHEN 1 THEN 60 ELSE 81 END) AS head FROM documents),
+how AS (SELECT *, CASE WHEN quote <> '' AND contains(text, quote) THEN 'exact' WHEN length(text) >= 100 AND kind = 1 THEN 'whitespace' WHEN length(text) >= 100 AND kind = 2 THEN 'fuzzy' ELSE 'dropped' END AS how FROM q)"""
 
 
 def _located(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("length(text) >= 100")
-    kind = F.col("doc_id") % 3
-    quote = F.when(kind == 0, F.substring("text", 11, 50)).when(kind == 1, F.replace(F.substring("text", 1, 60), F.lit(" "), F.lit("   "))).otherwise("qzx wvu kkq")
+    """Quotes of documents as they are, with other white space, with another letter, and made up."""
+    d = table(spark, sf_dir, "documents")
+    kind, head = F.col("doc_id") % 4, F.substring("text", 1, 60)
+    near = F.concat(F.substring("text", 1, 40), F.lit("§"), F.substring("text", 42, 40))
+    quote = F.when(F.length("text") < 100, F.col("text")).when(kind == 0, F.substring("text", 11, 50)).when(kind == 1, F.replace(head, F.lit(" "), F.lit("   "))).when(kind == 2, near).otherwise("qzx wvu kkq")
     return grounding.locate(d.select("doc_id", "lang", quote.alias("quote")), d.select("doc_id", "text"))
 
 
-@query(f"WITH {QUOTED} SELECT doc_id, how FROM how")
+@query(rf"""WITH {QUOTED} SELECT doc_id, how, CASE how WHEN 'exact' THEN strpos(text, quote) - 1 WHEN 'dropped' THEN NULL ELSE length(regexp_extract(head, '^\s*')) END AS char_start,
+CASE how WHEN 'exact' THEN strpos(text, quote) - 1 + length(quote) WHEN 'dropped' THEN NULL ELSE length(head) - length(regexp_extract(head, '\s*$')) END AS char_end FROM how""")
 def q_locate(spark, sf_dir):
-    return _located(spark, sf_dir).select("doc_id", "how")
+    return _longs(_located(spark, sf_dir).select("doc_id", "how", "char_start", "char_end"))
 
 
 @query(f"WITH {QUOTED} SELECT lang, count(*) FILTER (how = 'exact') AS exact, count(*) FILTER (how = 'whitespace') AS whitespace, count(*) FILTER (how = 'fuzzy') AS fuzzy, count(*) FILTER (how = 'dropped') AS dropped, round(count(*) FILTER (how <> 'dropped') / count(*), 6) AS rate FROM how GROUP BY 1")

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
+_own: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -29,16 +32,43 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named in spark.checkpoint.dir.  Where executors live in the driver and
+    none is named, a folder of this process is used."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
+    if sc.applicationId not in _own:
+        _own[sc.applicationId] = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, _own[sc.applicationId], ignore_errors=True)
+    return _own[sc.applicationId]
+
+
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the driver ends."""
+    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def gone() -> None:
+        with contextlib.suppress(Exception):  # the session may be gone already
+            _remove(spark, path)
+
+    atexit.register(gone)
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows without their plan: a checkpoint in the folder named in spark.checkpoint.dir.  Where executors live
-    in the driver and none is named, a folder of this process is used."""
+    """The same rows without their plan: a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        named = sc.getConf().get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        if not named:
-            named = tempfile.mkdtemp(prefix="checkpoints-")
-            atexit.register(shutil.rmtree, named, ignore_errors=True)
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

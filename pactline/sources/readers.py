@@ -21,7 +21,7 @@ def documents_of(raw: DataFrame) -> DataFrame:
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
-    return documents_of(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.decode("content", "utf-8").alias("raw")))
+    return documents_of(files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw")))
 
 
 def one_contract_per_file(documents: DataFrame) -> DataFrame:

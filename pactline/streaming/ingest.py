@@ -13,7 +13,7 @@ def ingest(spark: SparkSession, path: str, store: Store, checkpoint: str, clock:
     """Each new file becomes a document and a contract of its own, appended to the tenant's tables.  Replayed batches
     write the same keys, and reads keep the latest row of a key, so results are the same."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(path)
-    raw = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.decode("content", "utf-8").alias("raw"))
+    raw = files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
 
     def batch(df: DataFrame, _: int) -> None:
         docs = readers.documents_of(df)
