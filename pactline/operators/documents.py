@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,3 +103,44 @@ def needs_ocr(page_texts):
 def page_of(pages, offset):
     """The page whose marks hold an offset."""
     return F.get(F.filter(pages, lambda p: (offset >= p["char_start"]) & (offset < p["char_end"])), 0)["page"]
+
+
+def segments(marks: DataFrame, documents: DataFrame) -> DataFrame:
+    """marks (doc_id, seq, char_start, char_end, kind) -> (doc_id, part, char_start, char_end, kind): a text cut into marked
+    stretches and those between (kind null).  Marks are taken by start, then seq; one that begins inside a mark taken before
+    is left out, so nested and overlapping marks give disjoint stretches that cover the text.  Marks end at the text's
+    end; those without length or with a null in them are left out.
+
+    Which marks are taken depends on those taken before, so a sweep over sorted partitions carries the end of the last one
+    along; it holds no document's marks at once."""
+    inside = documents.where("doc_id is not null").select(F.col("doc_id").alias("_doc"), F.coalesce(F.length("text"), F.lit(0)).alias("size"))
+    fit = marks.where("char_start >= 0 and char_end > char_start and seq is not null").select("doc_id", F.col("seq").cast("long").alias("seq"), F.col("char_start").cast("int").alias("a"), F.col("char_end").cast("int").alias("b"), F.col("kind").cast("string").alias("kind"))
+    taken = inside.join(fit, F.col("_doc") == F.col("doc_id"), "left").select(F.col("_doc").alias("doc_id"), "size", "seq", "a", "b", "kind")
+    dealt = taken.repartition("doc_id").sortWithinPartitions("doc_id", "a", "seq")
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, size, at, part = None, 0, 0, 0
+        for batch in batches:
+            out: list[tuple] = []
+            for doc, length, a, b, kind in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "a", "b", "kind")), strict=True):
+                if doc != now:
+                    if at < size:
+                        out.append((now, part, at, size, None))
+                    now, size, at, part = doc, length, 0, 0
+                if a is not None and at <= a < size:
+                    if a > at:
+                        out.append((doc, part, at, a, None))
+                        part += 1
+                    at = min(b, size)
+                    out.append((doc, part, a, at, kind))
+                    part += 1
+            yield table(out, batch.schema.field("doc_id").type)
+            doc_type = batch.schema.field("doc_id").type
+        if at < size:
+            yield table([(now, part, at, size, None)], doc_type)
+
+    def table(rows: list[tuple], doc_type: pa.DataType) -> pa.RecordBatch:
+        kinds = (doc_type, pa.int32(), pa.int32(), pa.int32(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], ["doc_id", "part", "char_start", "char_end", "kind"])
+
+    return dealt.mapInArrow(sweep, f"doc_id {dict(documents.dtypes)['doc_id']}, part int, char_start int, char_end int, kind string")

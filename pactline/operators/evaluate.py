@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,3 +46,40 @@ def score(matched: DataFrame, by: str | None = "clause_type") -> DataFrame:
     g = matched.groupBy(by).agg(*sums) if by else matched.agg(*sums)
     p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return g.select(*([by] if by else []), "tp", "fp", "fn", p.alias("precision"), r.alias("recall"), f.alias("f1"))
+
+
+# Least F1 of a type that is close to solved, reliable, mixed.
+BANDS = (("solved", 0.95), ("reliable", 0.85), ("mixed", 0.6))
+
+
+def report(matched: DataFrame) -> DataFrame:
+    """matched (clause_type, tp, fp, fn, ...) -> a row for each type and one for all (clause_type null), from one pass:
+    counts, gold, precision, recall, f1, and a band; extra where the gold has nothing of the type."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tp", "fp", "fn")]
+    g = matched.groupingSets([["clause_type"], []], "clause_type").agg(*sums, F.grouping("clause_type").alias("total"))
+    p, r, f = prf(F.col("tp"), F.col("fp"), F.col("fn"))
+    g = g.select("clause_type", "tp", "fp", "fn", (F.col("tp") + F.col("fn")).alias("gold"), p.alias("precision"), r.alias("recall"), f.alias("f1"), (F.col("total") == 1).alias("total"))
+    band = F.when(F.col("gold") == 0, "extra")
+    for name, least in BANDS:
+        band = band.when(F.col("f1") >= least, name)
+    return g.withColumn("band", band.otherwise("weak"))
+
+
+def evaluate(predicted: DataFrame, gold: DataFrame, least: float = 0.3) -> DataFrame:
+    """The report of spans (doc_id, clause_type, seq, char_start, char_end) against a gold table of the same columns."""
+    return report(match(predicted, gold, least))
+
+
+def write_report(found: DataFrame, path: str) -> None:
+    """Weakest types first, the row for all last."""
+    found.coalesce(1).sortWithinPartitions("total", "f1", "clause_type").write.mode("overwrite").json(path)
+
+
+REPORT = "clause_type string, tp long, fp long, fn long, gold long, precision double, recall double, f1 double, total boolean, band string"
+
+
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """A report as written; without rows where there is none yet."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    there = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder)
+    return spark.read.schema(REPORT).json(path) if there else spark.createDataFrame([], REPORT)
