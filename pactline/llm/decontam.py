@@ -10,9 +10,9 @@ sought by equal windows so small that a fifth of the words replaced, or one, lea
 windows in a passage and several walks, recall is about 1 - (1 - p)^(windows * repeats) for the chance p that one window
 survives the edits.  Edits inside most words of a passage at once leave no word to meet by, and are not found.
 
-A candidate of LONG words or more goes on if the stretch of the document around it holds KEPT of the item's pairs of
-neighbouring words: with a fifth of the words replaced nearly half of them are left even in the shortest such item,
-while texts that only share the walk's few words have hardly any.  It is then verified: the least edit distance in characters between the item and any stretch of the document
+A candidate goes on if the stretch of the document around it holds so many of the item's runs of GRAM characters as an
+edit distance within the limit leaves at least: each edit changes GRAM of them at most, so no match is lost here.
+It is then verified: the least edit distance in characters between the item and any stretch of the document
 around it (Sellers' alignment, bit-parallel) must be at most (1 - similarity) of the item's length.
 
 Items are held in memory, `block` of them at a time (a bound); a larger set is worked off in blocks.
@@ -40,11 +40,20 @@ STRIDE = 2
 REPEATS = 6
 #: Least words of items that are walked, steps walked, coordinates sampled.
 LONG, STEPS, SAMPLES = 16, 14, 7
-#: Share of a long item's pairs of neighbouring words that a candidate's stretch of text has to hold.
-KEPT = 0.3
+#: Characters of the runs that are counted before an edit distance is computed.
+GRAM = 4
 MATCHES = "doc_id long, item_id long, first_word long, n_words long, distance long, similarity double"
 
 
+def grams(text: str) -> np.ndarray:
+    """A number for each run of GRAM characters."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+    out = np.zeros(max(0, len(c) - GRAM + 1), np.int64)
+    for k in range(GRAM if len(out) else 0):
+        out = out * 1_114_112 + c[k : k + len(out)]  # wraps round: other runs may get the number too, which lets more through
+    return out
+
+
 class Walks:
     """`repeats` CGK walks with their sampled coordinates."""
 
@@ -104,8 +113,8 @@ class Items:
         self.text = [" ".join(data[x:y].decode() for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True)) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         self.words = np.diff(w.first)
         self.most = [int((1 - similarity) * len(t) + 1e-9) for t in self.text]
-        self.pairs = [set(p) if m >= LONG else set() for p, m in zip(self._own(w), self.words.tolist(), strict=True)]
-        self.needed = [int(KEPT * len(p)) for p in self.pairs]
+        self.grams = [np.unique(grams(t), return_counts=True) for t in self.text]
+        self.needed = [len(t) - GRAM + 1 - GRAM * most for t, most in zip(self.text, self.most, strict=True)]
         item = np.repeat(np.arange(len(rows)), self.words)
         offset = np.arange(len(w.hash)) - w.first[item]
         size = self.words[item]
@@ -123,13 +132,14 @@ class Items:
                     found.append((keys[order], item[use][order], offset[use][order]))
                 self.groups.append((walks, stride, exact, found))
 
-
-    @staticmethod
-    def _own(w: Words) -> Iterator[list[int]]:
-        """Each item's pairs of neighbouring words."""
-        pairs = w.grams(2)
-        for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
-            yield pairs[a : max(a, b - 1)].tolist()
+    def near(self, k: int, text: str) -> bool:
+        """Whether a text can hold item k, by the item's runs of GRAM characters that it has."""
+        if self.needed[k] <= 0:
+            return True
+        kinds, times = self.grams[k]
+        have = np.sort(grams(text))
+        at = np.minimum(np.searchsorted(have, kinds), max(0, len(have) - 1))
+        return len(have) > 0 and int(times[have[at] == kinds].sum()) >= self.needed[k]
 
 
 def _search(items: Items):
@@ -157,7 +167,7 @@ def _search(items: Items):
                     for q in range(int(lo[h]), int(np.searchsorted(known, keys[h], "right"))):
                         cands.add((int(doc_of[s]), int(item[q]), (s - int(offset[q])) // STRIDE))
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        data, pairs = (w.data.tobytes(), w.grams(2)) if cands else (b"", None)
+        data = w.data.tobytes() if cands else b""
         for d, k, place in sorted(cands):
             m, most = int(items.words[k]), items.most[k]
             if best.get((d, k), (1, 0, 0))[0] == 0:
@@ -165,9 +175,9 @@ def _search(items: Items):
             slack = 6 + m // 5
             a = max(int(w.first[d]), place * STRIDE - slack)
             b = min(int(w.first[d + 1]), place * STRIDE + m + slack)
-            if items.needed[k] and len(items.pairs[k].intersection(pairs[a : b - 1].tolist())) < items.needed[k]:
-                continue
             text = " ".join(data[x:y].decode() for x, y in zip(w.start[a:b].tolist(), w.end[a:b].tolist(), strict=True))
+            if not items.near(k, text):
+                continue
             dist, end = check(k, text)
             if dist <= most and dist < best.get((d, k), (most + 1, 0, 0))[0]:
                 last = a + text.count(" ", 0, end)

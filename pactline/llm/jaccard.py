@@ -390,15 +390,16 @@ def _placed(docs: DataFrame, percent: int, k: int) -> DataFrame:
 def keep_one(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
     """One row of each component: that of the smallest doc_id (nulls last), of repeated rows one.  Documents without
     words stay."""
-    placed = common.scratch(_placed(docs, percent, k).where("comp is not null").select("doc_id", F.col("row").alias("row_key_"), "comp"))
-    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key_")).alias("f"))
-    kept = common.scratch(first.select("f.row_key_"))
-    gone = common.scratch(placed.join(kept.hint("merge"), "row_key_", "left_anti").select("row_key_").distinct())
-    again = common.scratch(placed.join(kept.hint("merge"), "row_key_", "left_semi").groupBy("row_key_").count().where("count > 1").select("row_key_"))
+    key = common.unused(docs, "row_key")
+    placed = common.scratch(_placed(docs, percent, k).where("comp is not null").select("doc_id", F.col("row").alias(key), "comp"))
+    first = placed.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", key)).alias("f"))
+    kept = common.scratch(first.select(f"f.{key}"))
+    gone = common.scratch(placed.join(kept.hint("merge"), key, "left_anti").select(key).distinct())
+    again = common.scratch(placed.join(kept.hint("merge"), key, "left_semi").groupBy(key).count().where("count > 1").select(key))
     common.drop(placed, kept)
-    keyed = docs.withColumn("row_key_", F.xxhash64("doc_id", "text"))
-    out = keyed.join(gone.hint("merge"), "row_key_", "left_anti")  # what goes grows with the corpus: never broadcast
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
+    out = keyed.join(gone.hint("merge"), key, "left_anti")  # what goes grows with the corpus: never broadcast
     if not again.isEmpty():  # rows that are equal in doc_id and text
-        more = keyed.join(again.hint("merge"), "row_key_", "left_semi").dropDuplicates(["row_key_"])
-        out = out.join(again.hint("merge"), "row_key_", "left_anti").select(*keyed.columns).unionByName(more)
+        more = keyed.join(again.hint("merge"), key, "left_semi").dropDuplicates([key])
+        out = out.join(again.hint("merge"), key, "left_anti").select(*keyed.columns).unionByName(more)
     return out.select(*docs.columns)

@@ -17,6 +17,7 @@ an empty table gives no rows; a null doc_id stays null; further columns are not
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ from .quality import let
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK, STRIDE = 128, 64
+STRIDE = 64
 MAX_BROADCAST_ROWS = 20_000
 
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -79,15 +80,23 @@ def word_order(docs: DataFrame, vocabulary: list[str], text: str = "text") -> di
 
 
 def template_index(templates: list[tuple[str, str]], frequency: dict[str, int], threshold: float) -> list[tuple]:
-    """Rows (word, template, label, position in the template, size, need, words in global order)."""
+    """Rows (word, template, label, position in the template, size, need, words in global order, stride)."""
     out = []
     for k, (label, text) in enumerate(templates):
         ws = sorted(template_words(text), key=lambda w: (frequency.get(w, 0), w))
         need = -(-round(threshold * 1000) * len(ws) // 1000)
-        out += [(w, k, label, p, len(ws), need, ws) for p, w in enumerate(ws[: len(ws) - need + 1])]
+        out += [(w, k, label, p, len(ws), need, ws, stride_of(text)) for p, w in enumerate(ws[: len(ws) - need + 1])]
     return out
 
 
+def stride_of(text: str) -> int:
+    """How far apart blocks begin, so that a passage as long as the template lies whole in one of twice that length."""
+    n, stride = len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text)), STRIDE
+    while stride < n:
+        stride *= 2
+    return stride
+
+
 def may_match() -> Column:
     """Length and positional filter of a word that stands at `at` in the block's words b: were it the first common word
     in the order, could `need` words be common?  A match passes at its first common word."""
@@ -132,13 +141,18 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, templates: list
     )
     held = common.scratch(flat)
 
-    blocks = held.where("words is not null").select("rid", "doc_id", "words", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(STRIDE))).alias("first_word"))
     frequency = dict(sorted(frequency.items(), key=lambda x: (x[1], x[0])))
     ordered = F.array(*map(F.lit, frequency)) if frequency else no_words
-    blocks = blocks.select("rid", "doc_id", "first_word", F.array_intersect(ordered, F.slice("words", F.col("first_word") + 1, BLOCK)).alias("b"))
-    idx = spark.createDataFrame(index, "word string, template int, label string, pos int, size int, need int, t array<string>")
+    idx = spark.createDataFrame(index, "word string, template int, label string, pos int, size int, need int, t array<string>, stride int")
     idx = F.broadcast(idx) if len(index) <= MAX_BROADCAST_ROWS else idx
-    hits = blocks.select("rid", "doc_id", "first_word", "b", F.posexplode("b").alias("at", "word")).join(idx, "word")
+
+    def met(stride: int) -> DataFrame:
+        starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - 1, F.lit(0)), F.lit(stride)))
+        blocks = held.where("words is not null").select("rid", "doc_id", "words", starts.alias("first_word"))
+        blocks = blocks.select("rid", "doc_id", "first_word", F.array_intersect(ordered, F.slice("words", F.col("first_word") + 1, 2 * stride)).alias("b"))
+        return blocks.select("rid", "doc_id", "first_word", "b", F.posexplode("b").alias("at", "word")).join(idx.where(F.col("stride") == stride), "word")
+
+    hits = reduce(DataFrame.unionByName, map(met, sorted({row[7] for row in index} or {STRIDE})))
     hits = hits.where(may_match()).dropDuplicates(["rid", "first_word", "template"])
     shared = F.size(F.array_intersect("b", "t"))
     matches = hits.where(shared >= F.col("need")).select("rid", "doc_id", F.col("first_word").cast("long"), "template", "label", (shared / F.col("size")).alias("containment"))

@@ -26,16 +26,16 @@ PARTS = 1024
 DIMENSIONS = ("source", "lang", "bytes")
 VALUE_BITS, TIE_BITS = 26, 36
 SUB_POINTS = 128
-#: Distinct strings of a dimension up to which their ranks are broadcast; a column of write().
-FEW_KINDS, ROW = 10_000, "shard_row_"
+#: Distinct strings of a dimension up to which their ranks are broadcast.
+FEW_KINDS = 10_000
 
 
-def metadata(docs: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, text_id (hash of the text), numeric dimensions and a stable row number."""
+def metadata(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, text_id (hash of the text), numeric dimensions and a row number, `row` if it is given."""
     bits = F.encode(F.coalesce(F.col("text"), F.lit("")), "utf-8")
     size = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text")).cast("long") + OVERHEAD
     crc = F.when(F.col("text").isNotNull(), F.crc32(bits))
-    row = F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()
+    row = F.monotonically_increasing_id() if row is None else row
     return docs.select(
         "doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64(bits, F.col("text").isNull()).alias("text_id"),
         F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), row.alias("row"),
@@ -132,8 +132,8 @@ def assign(docs: DataFrame, shards: int = 40) -> DataFrame:
     return _assigned(docs, shards).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
-def _assigned(docs: DataFrame, shards: int) -> DataFrame:
-    rows = common.scratch(metadata(docs))
+def _assigned(docs: DataFrame, shards: int, row: Column | None = None) -> DataFrame:
+    rows = common.scratch(metadata(docs, row))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("b")).head()["b"]
     target = max(1, total // shards)
     copies = rows.groupBy("text_id")
@@ -177,9 +177,11 @@ def _slots(rows: DataFrame, salts: int = 64) -> DataFrame:
 
 
 def write(docs: DataFrame, path: str, shards: int = 40) -> None:
-    """The shards as files: path/shard=N, every row of docs once, with its own columns."""
-    numbered = common.scratch(docs.withColumn(ROW, F.monotonically_increasing_id()))  # so that a row keeps its number
-    placed = common.scratch(_assigned(numbered, shards).select(F.col("row").alias(ROW), F.col("shard")))
-    out = numbered.join(placed.hint("merge"), ROW).drop(ROW)
-    out.repartition(shards, "shard").write.partitionBy("shard").parquet(path)
+    """The shards as files: path/shard=N, every row of docs once, with its own columns.  Where docs has a column of that name
+    the folders are called shard_ (or as many _ as it takes)."""
+    row, shard = common.unused(docs, "row"), common.unused(docs, "shard")
+    numbered = common.scratch(docs.withColumn(row, F.monotonically_increasing_id()))  # so that a row keeps its number
+    placed = common.scratch(_assigned(numbered, shards, F.col(row)).select(F.col("row").alias(row), F.col("shard").alias(shard)))
+    out = numbered.join(placed.hint("merge"), row).drop(row)
+    out.repartition(shards, shard).write.partitionBy(shard).parquet(path)
     common.drop(numbered, placed)

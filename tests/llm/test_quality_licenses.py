@@ -86,7 +86,7 @@ def brute(t):
                 base.add(label)
     found, score = set(base), 0.0
     for i in range(0, max(len(w), 1), licenses.STRIDE):
-        block = set(w[i : i + licenses.BLOCK])
+        block = set(w[i : i + 2 * licenses.STRIDE])
         for label, text in licenses.TEMPLATES:
             need = set(licenses.template_words(text))
             if 10 * len(block & need) >= 8 * len(need):
@@ -119,8 +119,16 @@ def test_license_filters_prune_and_lose_nothing(spark):
         words = set(rng.sample(vocab, rng.randint(3, 60))) | (set(rng.choice(index)[6]) if i % 2 else set())
         blocks.append((i, sorted(words - set(rng.sample(sorted(words), len(words) // 12)), key=order.get)))
     df = spark.createDataFrame(blocks, "i int, b array<string>").select("i", "b", F.posexplode("b").alias("at", "word"))
-    met = df.join(spark.createDataFrame(index, "word string, template int, label string, pos int, size int, need int, t array<string>"), "word")
+    met = df.join(spark.createDataFrame(index, "word string, template int, label string, pos int, size int, need int, t array<string>, stride int"), "word")
     pairs = {(r.i, r.template) for r in met.collect()}
     passed = {(r.i, r.template) for r in met.where(licenses.may_match()).collect()}
     true = {(i, k) for i, b in blocks for k, (_, t) in enumerate(licenses.TEMPLATES) if 10 * len(set(b) & set(licenses.template_words(t))) >= 8 * len(licenses.template_words(t))}
     assert len(true) > 40 and true <= passed < pairs and len(passed) < 0.95 * len(pairs)
+
+
+def test_long_templates_are_found_wherever_they_stand(spark):
+    words = [f"word{i}" for i in range(300)]
+    long, mid = " ".join(words), " ".join(f"mid{i}" for i in range(125))
+    rows = [(i, "filler " * i + (long if i % 2 else mid) + " tail" * (i % 7)) for i in range(0, 400, 17)]
+    out, blocks = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=[("long", long), ("mid", mid), ("short", "licensed under cc by four")])
+    assert {r.doc_id: r.labels for r in out.collect()} == {i: "long" if i % 2 else "mid" for i, _ in rows}

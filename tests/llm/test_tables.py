@@ -60,6 +60,16 @@ def test_shard_ranks_and_files(spark, tmp_path):
     assert back.drop("shard").select(*df.columns).exceptAll(df).count() == 0 and back.count() == len(rows) and back.select("shard").distinct().count() == 8
 
 
+def test_shard_columns_that_clash(spark, tmp_path):
+    """Columns named like those that are put in between are neither taken for them nor lost."""
+    df = spark.createDataFrame([(i, "same text", "en", "s", 7, 5) for i in range(400)], "doc_id long, text string, lang string, source string, shard_row_ int, shard int")
+    by = sharding.assign(df, 4).groupBy("shard").agg(F.sum("size").alias("b")).collect()
+    assert len(by) == 4 and max(r.b for r in by) < 1.3 * min(r.b for r in by)
+    sharding.write(df, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.select(*df.columns).exceptAll(df).count() == 0 and back.count() == 400 and back.select("shard_").distinct().count() == 4
+
+
 def test_language_sample_of_rows(spark):
     """A doc_id that many rows have draws no other language out of the sample; numerals are no letters."""
     rows = [(7, f"the quick brown fox {i} jumps", "en") for i in range(900)] + [(i, f"le renard brun saute {i}", "fr") for i in range(100, 160)]
