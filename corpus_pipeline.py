@@ -23,24 +23,15 @@ from pactline.llm.queries import prepare, table, tokenizer_path
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 
 
-_made: set[str] = set()  # scratch tables of the stages before
-
-
 def _stage(f):
-    """A stage as the pipeline calls it.  It first removes what the stages before left behind, but for tables that its
-    own docs still read: a stage's result may be handed on before it is written."""
+    """A stage as the pipeline calls it.  Its result reads scratch tables, which stay as long as the driver does unless the
+    caller removes them after it has written the result, as run() does."""
 
     @functools.wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         prepare(spark)
-        read = docs.inputFiles() if _made else []
-        done = {path for path in _made if not any(path.split(":")[-1] in file for file in read)}
-        common.drop_paths(spark, done)
         common.release(spark)
-        _made.difference_update(done)
-        before = common.held()
         out = f(spark, docs, sf_dir)
-        _made.update(common.held() - before)
         common.release(spark)
         return out
 
@@ -85,17 +76,19 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: SQL can't express SimHash blocks, edit-verified components or subset-sum packing; tests compare a small corpus with
-#: brute force, stage by stage.
+#: SQL can't express SimHash blocks, edit-verified components or subset-sum packing.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what a stage returns is written as Parquet and read again as the next one's docs."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
+    docs, read = table(spark, sf_dir, "documents"), set()
+    for name, stage in STAGES:
+        before = common.held()
         out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
+        if name == STAGES[-1][0]:
             return out
         docs = common.scratch(out)
-    return docs
+        written = {docs._scratch_path}
+        common.drop_paths(spark, (common.held() - before - written) | read)  # what the stage made, and its own docs
+        read = written
