@@ -126,3 +126,15 @@ def ordered(rows: DataFrame, what: str) -> DataFrame:
         "calendar": ["date", "kind", "contract_id"], "compare": [F.desc_nulls_last("value"), "contract_id"], "newest": [F.desc("created_at")],
     }
     return rows.orderBy(*by[what])
+
+
+def quote_places(quotes: DataFrame, documents: DataFrame) -> DataFrame:
+    """quotes (quote_id, doc_id, quote, char_start, char_end) -> quote_id, doc_id, quote, char_start, char_end, verified: the
+    offsets given, where the text there is the quote; else the first place of the quote in the text; else null."""
+    d = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
+    j = quotes.join(d, F.col("doc_id") == F.col("_doc"), "left")
+    size = F.col("char_end") - F.col("char_start")
+    holds = F.coalesce((F.col("char_start") >= 0) & (size > 0) & (F.col("_text").substr(F.col("char_start") + 1, size) == F.col("quote")), F.lit(False))
+    found = F.when(F.length("quote") > 0, F.nullif(F.expr("locate(quote, _text)"), F.lit(0)) - 1)
+    start = F.when(holds, F.col("char_start")).otherwise(found)
+    return j.select("quote_id", "doc_id", "quote", start.alias("char_start"), (start + F.length("quote")).alias("char_end"), holds.alias("verified"))
