@@ -75,33 +75,43 @@ def merge_rules(rules: DataFrame, key: tuple[str, ...] = ("doc_id",)) -> DataFra
     return rules.withColumn("_r", first).where("_r = 1").drop("_r")
 
 
-#: Quotes of one document that a task takes together.
-QUOTES_TOGETHER = 2000
+#: Quotes of one document, and characters of text, that a task takes together.
+QUOTES_TOGETHER, TEXT_TOGETHER = 2000, 4 << 20
 
 
 def locate(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     """quotes (doc_id, quote, ...) with char_start, char_end, how: exact, else whitespace, else fuzzy, else dropped.
 
-    A document's quotes meet its text together, so a text is shuffled once and its seeds are sorted once, however many
-    quotes it has; those of a document with very many are dealt out, and the text goes to each part."""
+    A document's quotes meet its text in one place, so a text is shuffled once and its seeds are sorted once, however many
+    quotes it has; those of a document with very many are dealt out, and the text goes to each part.  Documents are taken
+    together up to a few million characters, as a group each would cost more than the search."""
+    size = documents.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).head()[0]
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(max(1, -(-size // TEXT_TOGETHER))))
     parts = quotes.where("doc_id is not null").groupBy("doc_id").agg(F.ceil(F.count(F.lit(1)) / QUOTES_TOGETHER).cast("int").alias("_parts"))
     texts = documents.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
-    texts = texts.join(parts, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    texts = texts.join(parts, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", bucket("_doc").alias("_bucket"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
     dealt = quotes.join(parts, "doc_id", "left").withColumn("_part", F.pmod(F.xxhash64("quote"), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
-    held = dealt.where("doc_id is not null")
+    held = dealt.where("doc_id is not null").withColumn("_bucket", bucket("doc_id"))
     schema = f"{', '.join(f'`{n}` {t}' for n, t in quotes.dtypes)}, char_start int, char_end int, how string"
 
     def of(mine: pa.Table, theirs: pa.Table) -> pa.Table:
-        text = S.Text((theirs.column("_text")[0].as_py() if len(theirs) else None) or "")
-        found = [S.located(text, q or "") for q in mine.column("quote").to_pylist()]
-        out = mine.drop_columns(["_part"])
+        asked, said = mine.column("doc_id").to_pylist(), mine.column("quote").to_pylist()
+        place = {doc: k for k, doc in enumerate(theirs.column("_doc").to_pylist())}
+        found: list = [None] * len(said)
+        now, text = None, None
+        for k in sorted(range(len(said)), key=lambda k: place.get(asked[k], -1)):  # a document's quotes one after another
+            if text is None or asked[k] != now:
+                now, at = asked[k], place.get(asked[k])
+                text = S.Text((theirs.column("_text")[at].as_py() if at is not None else None) or "")
+            found[k] = S.located(text, said[k] or "")
+        out = mine.drop_columns(["_part", "_bucket"])
         for k, (name, kind) in enumerate((("char_start", pa.int32()), ("char_end", pa.int32()), ("how", pa.string()))):
             out = out.append_column(name, pa.array([f[k] for f in found], kind))
         return out
 
-    met = held.groupBy("doc_id", "_part").cogroup(texts.groupBy("_doc", "_part")).applyInArrow(of, schema)
+    met = held.groupBy("_bucket", "_part").cogroup(texts.groupBy("_bucket", "_part")).applyInArrow(of, schema)
     nowhere = quotes.where("doc_id is null").select("*", F.lit(None).cast("int").alias("char_start"), F.lit(None).cast("int").alias("char_end"), F.lit("dropped").alias("how"))
-    return met.unionByName(nowhere)
+    return met.select(*quotes.columns, "char_start", "char_end", "how").unionByName(nowhere)
 
 
 def stats(located: DataFrame, by: str = "doc_id") -> DataFrame:
