@@ -1,8 +1,8 @@
 """Fuzzy line dedup: SimHash of normalised lines, join on pigeonhole blocks, edit similarity, one line kept a group.
 
 A line's words (lower case, letters and digits only) are its normal form; equal normal forms are one node, so copies
-never meet each other.  A node's SimHash has PRINT_BITS bits: words, weighted by length, counted in 256 hashed places,
-times a fixed random matrix of +1 and -1, by sign.  It is cut into BLOCKS blocks of BLOCK_BITS bits, whatever the number
+never meet each other.  A node's SimHash has PRINT_BITS bits: its runs of three letters, counted with a hashed sign in 256
+hashed places, times a fixed random matrix of +1 and -1, by sign; a wrong letter so costs three of them and not a word.  It is cut into BLOCKS blocks of BLOCK_BITS bits, whatever the number
 of nodes, so that recall doesn't depend on the size of the corpus: two fingerprints that differ in a share p of their
 bits agree in a whole block (pigeonhole) with chance 1 - (1 - (1 - p)^BLOCK_BITS)^BLOCKS.  Nodes that share a block are
 candidates, unless the first 64 bits of their fingerprints differ in more than FIRST_BITS, or the first 192 in more than
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .words import NOT_ALNUM, U, Words, _powers, lean, lean_group, mix, slices
+from .words import NOT_ALNUM, U, Words, _powers, buffers, lean, lean_group, mix, slices
 
 BLOCKS, BLOCK_BITS, PLACES = 32, 16, 256
 PRINT_BITS = BLOCKS * BLOCK_BITS
@@ -99,13 +99,15 @@ class Lines:
         signs = np.random.default_rng(5).integers(0, 2, (PLACES, PRINT_BITS)).astype(np.float32) * 2 - 1
         out = np.empty((len(which), PRINT_BITS // 64), np.int64)
         for a in range(0, len(which), 1024):
-            part = which[a : a + 1024]
-            n = self.end[part] - self.first[part]
-            rows = np.repeat(np.arange(len(part)), n)
-            at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[part], n)
-            place = (self.words.hash[at] >> U(56)).astype(np.int64)
-            weight = np.clip(self.words.end[at] - self.words.start[at] - 2, 0.1, 8)  # short words are mostly those that all lines have
-            counts = np.bincount(rows * PLACES + place, weight, minlength=len(part) * PLACES).reshape(len(part), PLACES).astype(np.float32)
+            text, off = buffers(self.forms(which[a : a + 1024]))
+            n = len(off) - 1
+            line = np.repeat(np.arange(n), np.diff(off) + 2)  # each form between two spaces
+            data = np.full(len(line), 32, U)
+            data[np.arange(len(text)) + 2 * np.repeat(np.arange(n), np.diff(off)) + 1] = text
+            gram = mix(data[:-2] << U(16) | data[1:-1] << U(8) | data[2:])
+            place = line[:-2] * PLACES + (gram >> U(56)).astype(np.int64)
+            sign = np.where(line[:-2] == line[2:], np.where(gram >> U(20) & U(1), 1.0, -1.0), 0.0)  # none of two lines
+            counts = np.bincount(place, sign, minlength=n * PLACES).reshape(n, PLACES).astype(np.float32)
             out[a : a + 1024] = np.packbits(counts @ signs > 0, axis=1).view(np.int64)
         return out
 

@@ -215,6 +215,48 @@ def test_line_recall(spark, others):
     assert sum(found) >= 0.9 * len(pairs)
 
 
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def changed_lines(rng, n, kind, k, count):
+    """Pairs of lines of n words, k of whose letters or words are others, at edit similarity 0.9."""
+    out = []
+    while len(out) < count:
+        a = text(n, rng)
+        b = list(a) if kind == "letters" else a.split()
+        for i in rng.sample([i for i, x in enumerate(b) if x != " "], k):
+            b[i] = rng.choice("bcdfghjkm") if kind == "letters" else rng.choice(VOCAB)
+        b = "".join(b) if kind == "letters" else " ".join(b)
+        if a != b and 10 * edit_distance(a, b) <= max(len(a), len(b)):
+            out.append((a, b))
+    return out
+
+
+#: Least recall by words in the line, what is changed and how much of it.  Two letters of a line under 45 letters cost
+#: more bits than blocks of 16 forgive.
+CELLS = {("letters", 1): {5: 0.9, 6: 0.9, 8: 0.9, 10: 0.9, 12: 0.9, 20: 0.9, 40: 0.9}, ("letters", 2): {5: 0.5, 6: 0.6, 8: 0.8, 10: 0.9, 12: 0.9, 20: 0.9, 40: 0.9}, ("letters", 3): {8: 0.5, 10: 0.7, 12: 0.85, 20: 0.9, 40: 0.9}, ("words", 1): {8: 0.9, 10: 0.85, 12: 0.9, 20: 0.9, 40: 0.9}, ("words", 2): {20: 0.9, 40: 0.9}}
+
+
+@pytest.mark.parametrize("others", [0, 30_000])
+def test_line_recall_by_cell(spark, others):
+    """Links found of all there are, by length and kind of change, whatever the number of other lines."""
+    rng = random.Random(21)
+    cells = [(n, kind, k, least) for (kind, k), by in CELLS.items() for n, least in by.items()]
+    pairs = [p for n, kind, k, _ in cells for p in changed_lines(rng, n, kind, k, 60)]
+    rows = [(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p)] + [(10_000 + i, text(9, rng)) for i in range(others)]
+    got = {r.doc_id: r.group_id for r in lines.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for c, (n, kind, k, least) in enumerate(cells):
+        found = [2 * i in got and got[2 * i] == got.get(2 * i + 1) for i in range(60 * c, 60 * c + 60)]
+        assert sum(found) >= least * 60, (n, kind, k, sum(found) / 60)
+
+
 @pytest.mark.parametrize("narrow", [96, 3])
 def test_like_groups(monkeypatch, narrow):
     """Groups of like fingerprints inside buckets, narrow and wide, against brute force."""
