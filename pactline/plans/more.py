@@ -109,10 +109,10 @@ def _located(spark, sf_dir):
     return grounding.locate(d.select("doc_id", "lang", quote.alias("quote")), d.select("doc_id", "text"))
 
 
-@query(rf"""WITH {QUOTED} SELECT doc_id, how, CASE how WHEN 'exact' THEN strpos(text, quote) - 1 WHEN 'dropped' THEN NULL ELSE length(regexp_extract(head, '^\s*')) END AS char_start,
-CASE how WHEN 'exact' THEN strpos(text, quote) - 1 + length(quote) WHEN 'dropped' THEN NULL ELSE length(head) - length(regexp_extract(head, '\s*$')) END AS char_end FROM how""")
+@query(rf"""WITH {QUOTED} SELECT doc_id, how, (CASE how WHEN 'exact' THEN strpos(text, quote) - 1 WHEN 'dropped' THEN NULL ELSE length(regexp_extract(head, '^\s*')) END)::DOUBLE AS char_start,
+(CASE how WHEN 'exact' THEN strpos(text, quote) - 1 + length(quote) WHEN 'dropped' THEN NULL ELSE length(head) - length(regexp_extract(head, '\s*$')) END)::DOUBLE AS char_end FROM how""")
 def q_locate(spark, sf_dir):
-    return _longs(_located(spark, sf_dir).select("doc_id", "how", "char_start", "char_end"))
+    return _located(spark, sf_dir).select("doc_id", "how", F.col("char_start").cast("double").alias("char_start"), F.col("char_end").cast("double").alias("char_end"))
 
 
 @query(f"WITH {QUOTED} SELECT lang, count(*) FILTER (how = 'exact') AS exact, count(*) FILTER (how = 'whitespace') AS whitespace, count(*) FILTER (how = 'fuzzy') AS fuzzy, count(*) FILTER (how = 'dropped') AS dropped, round(count(*) FILTER (how <> 'dropped') / count(*), 6) AS rate FROM how GROUP BY 1")

@@ -173,7 +173,7 @@ def q_ground_rules(spark, sf_dir):
 
 
 @query("""WITH d AS (SELECT doc_id, text, substr(text, 5, 30) AS quote FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, strpos(text, quote) - 1 AS char_start, nullif((doc_id % 3)::INT, 0) AS days, ['us', 'mutual', 'na', 'counterparty'][(doc_id % 4)::INT + 1] AS party_favored, CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence FROM d WHERE quote <> ''""")
+SELECT doc_id, strpos(text, quote) - 1 AS char_start, nullif((doc_id % 3)::INT, 0)::DOUBLE AS days, ['us', 'mutual', 'na', 'counterparty'][(doc_id % 4)::INT + 1] AS party_favored, CASE WHEN doc_id % 2 = 0 THEN 0.9 ELSE 0.5 END AS confidence FROM d WHERE quote <> ''""")
 def q_ground_clauses(spark, sf_dir):
     """Clauses as a model words them, each given twice over the same place: located, pruned, party resolved, one kept."""
     d = table(spark, sf_dir, "documents")
@@ -182,7 +182,7 @@ def q_ground_clauses(spark, sf_dir):
         _picked(RAW_PARTIES, F.col("doc_id")).alias("party_favored"), F.when(F.col("doc_id") % 2 == 0, 0.9).alias("confidence"),
     )
     found = grounding.ground_clauses(raw, d.select("doc_id", "text"), "Acme Corp", F.lit("buyer"))
-    return found.select("doc_id", F.col("char_start").cast("long").alias("char_start"), "days", "party_favored", "confidence")
+    return found.select("doc_id", F.col("char_start").cast("long").alias("char_start"), F.col("days").cast("double").alias("days"), "party_favored", "confidence")
 
 
 RARE = ["liability_cap", "venue", "sla"]
@@ -206,11 +206,11 @@ def q_rare_patterns(spark, sf_dir):
 
 
 @query("""WITH q AS (SELECT doc_id, text, CASE WHEN doc_id % 3 = 2 THEN 'no such quote anywhere' ELSE substr(text, 21, 40) END AS quote, CASE WHEN doc_id % 3 = 0 THEN 20 ELSE 3 END AS a FROM documents WHERE length(text) > 20)
-SELECT doc_id AS quote_id, CASE WHEN doc_id % 3 = 0 THEN 20 ELSE nullif(strpos(text, quote), 0) - 1 END AS char_start, substr(text, a + 1, length(quote)) = quote AS verified FROM q""")
+SELECT doc_id AS quote_id, (CASE WHEN doc_id % 3 = 0 THEN 20 ELSE nullif(strpos(text, quote), 0) - 1 END)::DOUBLE AS char_start, substr(text, a + 1, length(quote)) = quote AS verified FROM q""")
 def q_quote_places(spark, sf_dir):
     """Quotes with right offsets, with wrong ones, and without a place."""
     d = table(spark, sf_dir, "documents")
     quote = F.when(F.col("doc_id") % 3 == 2, "no such quote anywhere").otherwise(F.substring("text", 21, 40))
     start = F.when(F.col("doc_id") % 3 == 0, 20).otherwise(3)
     q = d.where("length(text) > 20").select(F.col("doc_id").alias("quote_id"), "doc_id", quote.alias("quote"), start.alias("char_start"), (start + F.length(quote)).alias("char_end"))
-    return views.quote_places(q, d).select("quote_id", F.col("char_start").cast("long").alias("char_start"), "verified")
+    return views.quote_places(q, d).select("quote_id", F.col("char_start").cast("double").alias("char_start"), "verified")
