@@ -1,9 +1,9 @@
 """Fuzzy line dedup: SimHash of normalised lines, join on pigeonhole blocks, edit similarity, one line kept a group.
 
 A line's words (lower case, letters and digits only) are its normal form; equal normal forms are one node, so copies
-never meet each other.  A node's SimHash has PRINT_BITS bits: its runs of three letters, each once however often it stands
+never meet each other.  A node's SimHash has PRINT_BITS bits: its runs of four letters, each once however often it stands
 there, counted with a hashed sign in PLACES hashed places, times a fixed random matrix of +1 and -1, by sign.  A wrong
-letter so costs three of them and not a word, and long lines don't come to look alike by what every line has.  It is cut into BLOCKS blocks of BLOCK_BITS bits, whatever the number
+letter so costs four of them and not a word, and long lines don't come to look alike by what every line has.  It is cut into BLOCKS blocks of BLOCK_BITS bits, whatever the number
 of nodes, so that recall doesn't depend on the size of the corpus: two fingerprints that differ in a share p of their
 bits agree in a whole block (pigeonhole) with chance 1 - (1 - (1 - p)^BLOCK_BITS)^BLOCKS.  Nodes that share a block are
 candidates, unless the first 64 bits of their fingerprints differ in more than FIRST_BITS, or the first 192 in more than
@@ -105,10 +105,10 @@ class Lines:
             line = np.repeat(np.arange(n), np.diff(off) + 2)  # each form between two spaces
             data = np.full(len(line), 32, U)
             data[np.arange(len(text)) + 2 * np.repeat(np.arange(n), np.diff(off)) + 1] = text
-            gram = mix(data[:-2] << U(16) | data[1:-1] << U(8) | data[2:]) >> U(64 - GRAM_BITS)
+            gram = mix(data[:-3] << U(24) | data[1:-2] << U(16) | data[2:-1] << U(8) | data[3:]) >> U(64 - GRAM_BITS)
             has = np.zeros(n << GRAM_BITS, bool)  # which runs each line has, however often
-            own = line[:-2] == line[2:]  # none of two lines
-            has[(line[:-2][own] << GRAM_BITS) + gram[own].astype(np.int64)] = True
+            own = line[:-3] == line[3:]  # none of two lines
+            has[(line[:-3][own] << GRAM_BITS) + gram[own].astype(np.int64)] = True
             at = np.flatnonzero(has)
             run = at & ((1 << GRAM_BITS) - 1)
             counts = np.bincount((at >> GRAM_BITS) * PLACES + run % PLACES, np.where(run & PLACES, 1.0, -1.0), minlength=n * PLACES).reshape(n, PLACES).astype(np.float32)
