@@ -167,6 +167,15 @@ def gap_amount(value: Column, unit: Column) -> Column:
     return F.when(unit == "%", F.concat(plain(value), F.lit("%"))).when(unit == "days", F.concat(plain(value), F.lit(" days"))).when(unit == "hours", F.concat(plain(value * 24), F.lit(" hours"))).when(unit == "currency", F.format_number(value, 0)).otherwise(plain(value))
 
 
+def money(value: Column) -> Column:
+    """A sum in dollars without cents; a dash where there is none."""
+    return F.when(F.coalesce(value, F.lit(0)) == 0, "\u2014").otherwise(F.concat(F.lit("$"), F.format_number(value, 0)))
+
+
+def plural(n: Column, one: str, many: str) -> Column:
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, one).otherwise(many))
+
+
 def dimension(name: Column) -> Column:
     """Key of a compare dimension by its name, an alias, or the first alias inside the text."""
     key = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "[ -]", "_")

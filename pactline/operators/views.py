@@ -138,3 +138,26 @@ def quote_places(quotes: DataFrame, documents: DataFrame) -> DataFrame:
     found = F.when(F.length("quote") > 0, F.nullif(F.expr("locate(quote, _text)"), F.lit(0)) - 1)
     start = F.when(holds, F.col("char_start")).otherwise(found)
     return j.select("quote_id", "doc_id", "quote", start.alias("char_start"), (start + F.length("quote")).alias("char_end"), holds.alias("verified"))
+
+
+def sentences(obligations: DataFrame, contracts: DataFrame) -> DataFrame:
+    """contract_id, rule_id, due_date, sentence: what an obligation asks for, in words.  A notice about the end of the term
+    speaks of the renewal, with the year's value where there is one; a consequence that is told at length speaks for itself."""
+    k = contracts.select(F.col("contract_id").alias("_k"), F.coalesce(F.nullif("counterparty", F.lit("")), F.lit("the counterparty")).alias("party"), F.nullif("annual_value", F.lit(0.0)).alias("value"))
+    j = obligations.join(k, F.col("contract_id") == F.col("_k"))
+    day = F.date_format("due_date", "d MMMM")
+    renews = (F.col("kind") == "notice") & (F.col("anchor") == "term_end")
+    said = F.when(F.length("consequence") > 25, F.col("consequence")) if "consequence" in obligations.columns else F.lit(None).cast("string")
+    at = lambda words: F.when(F.col("value").isNotNull(), F.concat(F.lit(words), X.money(F.col("value")), F.lit("."))).otherwise(".")
+    text = (
+        F.when(renews & (F.col("days_remaining") < 0), F.concat(F.lit("Too late to stop the renewal since "), day, at("; the new term costs ")))
+        .when(renews, F.concat(F.lit("Tell "), "party", F.lit(" in writing by "), day, F.lit(", else the term renews"), at(" at ")))
+        .when(said.isNotNull(), said)
+        .when(F.col("kind") == "report", F.concat(F.lit("A written report to "), "party", F.lit(" is due, as every time.")))
+        .when(F.col("kind") == "payment", F.concat(F.lit("A payment to "), "party", F.lit(" is due.")))
+        .when(F.col("kind") == "expiry", F.concat(F.lit("What was agreed with "), "party", F.lit(" ends.")))
+        .when(F.col("kind") == "cure", F.lit("Last day to put a breach right."))
+        .when(F.col("kind") == "notice", F.concat(F.lit("Last day for written notice to "), "party", F.lit(".")))
+        .otherwise(F.concat("kind", F.lit(" due.")))
+    )
+    return j.select("contract_id", "rule_id", "due_date", text.alias("sentence"))

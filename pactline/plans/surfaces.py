@@ -214,3 +214,16 @@ def q_quote_places(spark, sf_dir):
     start = F.when(F.col("doc_id") % 3 == 0, 20).otherwise(3)
     q = d.where("length(text) > 20").select(F.col("doc_id").alias("quote_id"), "doc_id", quote.alias("quote"), start.alias("char_start"), (start + F.length(quote)).alias("char_end"))
     return views.quote_places(q, d).select("quote_id", F.col("char_start").cast("double").alias("char_start"), "verified")
+
+
+@query(f"""WITH {DUE}, k AS (SELECT contract_id, counterparty, annual_value FROM contracts), m AS (SELECT o.*, counterparty, '$' || format('{{:,.0f}}', annual_value) AS money, strftime(due_date, '%-d %B') AS day FROM obligations o JOIN k USING (contract_id))
+SELECT contract_id, contract_id || ':' || seq AS rule_id, due_date, CASE WHEN kind = 'notice' AND days_remaining < 0 THEN 'Too late to stop the renewal since ' || day || '; the new term costs ' || money || '.' WHEN kind = 'notice' THEN 'Tell ' || counterparty || ' in writing by ' || day || ', else the term renews at ' || money || '.'
+WHEN kind = 'report' THEN 'A written report to ' || counterparty || ' is due, as every time.' WHEN kind = 'payment' THEN 'A payment to ' || counterparty || ' is due.' ELSE kind || ' due.' END AS sentence FROM m""")
+def q_sentences(spark, sf_dir):
+    return views.sentences(_obligations(spark, sf_dir)[0], contracts(spark, sf_dir))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '\u2014' ELSE '$' || format('{:,.0f}', c_acctbal) END AS money, (c_custkey % 4) || CASE WHEN c_custkey % 4 = 1 THEN ' gap' ELSE ' gaps' END AS gaps FROM customer")
+def q_money(spark, sf_dir):
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select("c_custkey", X.money(F.when(key % 3 != 0, F.col("c_acctbal"))).alias("money"), X.plural(key % 4, "gap", "gaps").alias("gaps"))

@@ -29,6 +29,23 @@ def one_contract_per_file(documents: DataFrame) -> DataFrame:
     return documents.select(F.concat(F.lit("k_"), F.substring("sha256", 1, 8)).alias("contract_id"), "doc_id", F.col("filename").alias("title"), X.counterparty(F.col("filename")).alias("counterparty"), "contract_type")
 
 
+def families(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Uploads of several files, a folder each (path/upload/file): (documents with contract_id and seq, contracts).  The files
+    of a folder are one contract, in the order of their names; its id comes from their texts, so that the same upload
+    under another name is the same contract; its counterparty is that of the first file's name."""
+    files = spark.read.format("binaryFile").load(path)
+    raw = files.select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("upload"), F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("raw"))
+    named = raw.withColumn("filename", F.concat_ws("/", "upload", "filename"))
+    docs = documents_of(named.select("filename", "raw")).withColumns({"upload": F.substring_index("filename", "/", 1), "filename": F.substring_index("filename", "/", -1)})
+    per = docs.groupBy("upload").agg(F.array_sort(F.collect_list(F.struct("filename", "doc_id", "sha256"))).alias("d"))  # an upload's files
+    ids = F.sha2(F.array_join(F.array_sort(F.transform("d", lambda x: x["sha256"])), ":"), 256)
+    per = per.select("upload", F.concat(F.lit("k_"), F.substring(ids, 1, 8)).alias("contract_id"), "d")
+    order = per.select("upload", "contract_id", F.posexplode("d").alias("seq", "x")).select(F.col("upload").alias("_u"), "contract_id", "seq", F.col("x.filename").alias("_f"))
+    family = docs.join(order, (F.col("upload") == F.col("_u")) & (F.col("filename") == F.col("_f"))).drop("_u", "_f", "upload")
+    contracts = per.dropDuplicates(["contract_id"]).select("contract_id", F.col("upload").alias("title"), X.counterparty(F.col("d")[0]["filename"]).alias("counterparty"), F.transform("d", lambda x: x["doc_id"]).alias("doc_ids"))
+    return family.dropDuplicates(["contract_id", "doc_id"]), contracts
+
+
 def extractions(spark: SparkSession, path: str) -> DataFrame:
     """Extraction JSON files, one object each, with their file name; every field may be null."""
     return spark.read.schema(EXTRACTION).json(path, multiLine=True).withColumn("filename", F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.json$", 1))

@@ -95,6 +95,18 @@ def test_sources(spark, tmp_path):
     assert [x.id for x in good.collect()] == ["a"] and [x.id for x in bad.collect()] == ["b"]
 
 
+def test_families_of_files(spark, tmp_path):
+    for folder, names in (("acme", {"acme_msa.txt": "Master", "b_amendment.txt": "Amendment No. 1"}), ("again", {"acme_msa.txt": "Master", "b_amendment.txt": "Amendment No. 1"}), ("solo", {"globex.txt": "Nda"})):
+        (tmp_path / folder).mkdir()
+        for name, text in names.items():
+            (tmp_path / folder / name).write_text(text)
+    docs, contracts = readers.families(spark, str(tmp_path / "*" / "*.txt"))
+    got = {r.counterparty: len(r.doc_ids) for r in contracts.collect()}
+    assert got == {"Acme Msa": 2, "Globex": 1}
+    assert sorted((r.filename, r.seq) for r in docs.collect()) == [("acme_msa.txt", 0), ("b_amendment.txt", 1), ("globex.txt", 0)]
+    assert docs.select("contract_id").distinct().count() == 2
+
+
 def test_store(spark, tmp_path):
     a, b = (store.Store(spark, str(tmp_path), t) for t in ("t1", "t2"))
     rows = lambda n, at: spark.createDataFrame([("k", n, at)], "id string, n int, created_at int")
