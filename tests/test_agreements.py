@@ -259,3 +259,19 @@ def test_term_rolls_as_often_as_it_takes(spark):
 
     term = T.roll_term(F.lit(datetime.date(1900, 1, 31)), 1, 1, datetime.date(2001, 9, 1))
     assert spark.range(1).select(term.alias("t")).head().t.renewals > 1200
+
+
+def test_lineage_of_long_chains_and_circles(spark):
+    """A chain is told to its end; a circle once round, from wherever it is entered; an unknown clause ends it."""
+    olds = {f"c{i}": f"c{i - 1}" if i else None for i in range(40)} | {"x": "y", "y": "z", "z": "x", "tail": "x", "self": "self", "lost": "nowhere"}
+    c = spark.createDataFrame([(k, k, v) for k, v in olds.items()], "claim_id string, doc_id string, supersedes string")
+    got = {r.claim_id: r.lineage for r in family.lineage(c, spark.createDataFrame([(k, k) for k in olds], "doc_id string, filename string")).collect()}
+
+    def told(k):
+        seen = []
+        while k in olds and k not in seen:
+            seen.append(k)
+            k = olds[k]
+        return "; ".join(["set by " + seen[0], *("supersedes " + s for s in seen[1:])])
+
+    assert got == {k: told(k) for k in olds}
