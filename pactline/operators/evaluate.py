@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,26 +14,49 @@ def iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Colum
     return F.coalesce(F.try_divide(both, (a_end - a_start) + (b_end - b_start) - both), F.lit(0.0))
 
 
+def _hits(said: list[tuple[int, int]], free: list[tuple[int, int]], least: float) -> int:
+    """How many spans find a free gold span, each taking the one it overlaps best."""
+    tp = 0
+    for a, b in said:
+        best, at = 0.0, None
+        for i, (c, d) in enumerate(free):
+            both = max(0, min(b, d) - max(a, c))
+            score = both / ((b - a) + (d - c) - both) if both else 0.0
+            if score >= least and score > best:
+                best, at = score, i
+        if at is not None:
+            free.pop(at)
+            tp += 1
+    return tp
+
+
 def match(predicted: DataFrame, gold: DataFrame, least: float = 0.3) -> DataFrame:
-    """Per doc_id and clause_type: each prediction in order takes the free gold span it overlaps best.  tp, fp, fn."""
-
-    def run(key: tuple, p: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        free, tp = list(g.sort_values("seq")[["char_start", "char_end"]].itertuples(index=False, name=None)), 0
-        for a, b in p.sort_values("seq")[["char_start", "char_end"]].itertuples(index=False, name=None):
-            best, at = 0.0, None
-            for i, (c, d) in enumerate(free):
-                both = max(0, min(b, d) - max(a, c))
-                score = both / ((b - a) + (d - c) - both) if both else 0.0
-                if score >= least and score > best:
-                    best, at = score, i
-            if at is not None:
-                free.pop(at)
-                tp += 1
-        return pd.DataFrame([(*key, tp, len(p) - tp, len(free))], columns=["doc_id", "clause_type", "tp", "fp", "fn"])
-
-    cols = ["doc_id", "clause_type", "seq", "char_start", "char_end"]
+    """Per doc_id and clause_type: each prediction in order takes the free gold span it overlaps best.  tp, fp, fn.
+
+    The spans of a document and type are collected into one row, and Python meets rows by batches: a call for each group
+    would cost more than the matching."""
+    keys, side = ["doc_id", "clause_type"], {"p": predicted, "g": gold}
+    one = lambda name, df: df.select(*keys, F.lit(name).alias("side"), F.col("seq").cast("double").alias("seq"), F.col("char_start").cast("long").alias("s"), F.col("char_end").cast("long").alias("e"))
+    spans = one("p", predicted).unionByName(one("g", gold))
+    held = spans.groupBy(*keys).agg(*(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("seq", "s", "e")))).alias(k) for k in side))
+    held = held.select(*keys, *(F.transform(F.col(f"{k}.{f}"), lambda x: F.coalesce(x, F.lit(0))).alias(k + f) for k in side for f in ("s", "e")))
+
+    sides = list(side)  # the frames stay with the driver
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat = {c: batch.column(c).flatten().to_pylist() for c in ("ps", "pe", "gs", "ge")}
+            p, g = (list(zip(flat[k + "s"], flat[k + "e"], strict=True)) for k in sides)
+            n_p, n_g = (batch.column(k + "s").value_lengths().to_pylist() for k in sides)
+            tp, i, j = [], 0, 0
+            for n, m in zip(n_p, n_g, strict=True):
+                tp.append(_hits(p[i : i + n], g[j : j + m], least))
+                i, j = i + n, j + m
+            counts = (tp, [n - t for n, t in zip(n_p, tp, strict=True)], [m - t for m, t in zip(n_g, tp, strict=True)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keys), *(pa.array(c, pa.int64()) for c in counts)], [*keys, "tp", "fp", "fn"])
+
     kind = dict(predicted.dtypes)["doc_id"]
-    return predicted.select(cols).groupBy("doc_id", "clause_type").cogroup(gold.select(cols).groupBy("doc_id", "clause_type")).applyInPandas(run, f"doc_id {kind}, clause_type string, tp long, fp long, fn long")
+    return held.mapInArrow(run, f"doc_id {kind}, clause_type string, tp long, fp long, fn long")
 
 
 def prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
