@@ -354,8 +354,9 @@ def q_upsert(spark, sf_dir):
 @query(f"WITH {CAL} SELECT count(*) AS events, count(*) FILTER (kind = 'notice') AS notices FROM calendar WHERE actionable AND (date - {DAY})::INT <= 730")
 def q_ics(spark, sf_dir):
     """Events in the iCalendar file, and those of a notice."""
-    body = obligations.ics(_calendar(spark, sf_dir), TODAY)
-    return body.select(F.size(F.split("ics", "BEGIN:VEVENT")).cast("long").alias("events"), F.size(F.split("ics", "SUMMARY:notice")).cast("long").alias("notices")).select((F.col("events") - 1).alias("events"), (F.col("notices") - 1).alias("notices"))
+    pieces = obligations.ics(_calendar(spark, sf_dir), TODAY)
+    times = lambda words: F.coalesce(F.sum(F.size(F.split("ics", words)) - 1), F.lit(0))
+    return pieces.agg(times("BEGIN:VEVENT").alias("events"), times("SUMMARY:notice").alias("notices"))
 
 
 @query("""WITH c AS (SELECT doc_id, g AS page, CASE WHEN g % 3 = 0 THEN 'tiny_font' WHEN g % 3 = 1 THEN 'white_text' ELSE 'off_page' END AS kind FROM (SELECT doc_id, unnest(range(1, 7)) AS g FROM documents WHERE length(text) >= 40))
