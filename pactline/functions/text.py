@@ -167,9 +167,14 @@ def gap_amount(value: Column, unit: Column) -> Column:
     return F.when(unit == "%", F.concat(plain(value), F.lit("%"))).when(unit == "days", F.concat(plain(value), F.lit(" days"))).when(unit == "hours", F.concat(plain(value * 24), F.lit(" hours"))).when(unit == "currency", F.format_number(value, 0)).otherwise(plain(value))
 
 
+def dollars(value: Column) -> Column:
+    """A sum in dollars without cents."""
+    return F.concat(F.lit("$"), F.format_number(value, 0))
+
+
 def money(value: Column) -> Column:
     """A sum in dollars without cents; a dash where there is none."""
-    return F.when(F.coalesce(value, F.lit(0)) == 0, "\u2014").otherwise(F.concat(F.lit("$"), F.format_number(value, 0)))
+    return F.when(F.coalesce(value, F.lit(0)) == 0, "\u2014").otherwise(dollars(value))
 
 
 def plural(n: Column, one: str, many: str) -> Column:
