@@ -174,7 +174,7 @@ def rare_prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     return scratch(sub.select(F.col("x.s").alias("key"), "node", "comp", "size", "pos")), f"{like_sizes(percent)} and {room}"
 
 
-def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = 12) -> DataFrame:
+def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = 12, across=None) -> DataFrame:
     """members (key, node, rank, payload columns; a key has a node once): candidates are nodes x and y that share a key and meet `near`, a
     condition on their payloads.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
     links, without listing all pairs of a large bucket:
@@ -183,7 +183,8 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
        rank (a star);
     2. buckets whose nodes are then still in several components test every pair of nodes in different ones.
        refine(rows of these buckets: key, node, comp, payload) may give narrower buckets and a condition for them, as
-       long as it parts no two nodes that could link.
+       long as it parts no two nodes that could link.  across(rows of these buckets with all keys of the node) may test
+       these pairs itself and give the true links, so that a pair need not be a row.
 
     Pairs inside one component need no test, so the components are those of all links."""
     m = members if hasattr(members, "_scratch_path") else scratch(members.select("key", "node", "rank", *payload))
@@ -214,8 +215,11 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
             keys = rest.groupBy("node").agg(F.collect_set("key").alias("keys"))  # a node's own keys
             rest = scratch(rest.join(keys, "node"))
             near = f"{near} and x.key = array_min(array_intersect(x.keys, y.keys))"
-        more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.comp <> y.comp and {near}")).select(*pair)
-        good2 = scratch(verify(scratch(more.distinct())))
+        if across and not refine:
+            good2 = scratch(across(rest))
+        else:
+            more = rest.alias("x").join(rest.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and x.comp <> y.comp and {near}")).select(*pair)
+            good2 = scratch(verify(scratch(more.distinct())))
         if not good2.isEmpty():
             old = comps
             comps = scratch(components(good.unionByName(good2)))

@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,6 +49,8 @@ DENSE = 0.1
 MIN_WORDS = 5
 ORDER = U(0xD1342543DE82EF95)
 ORDER_INV = U(pow(0xD1342543DE82EF95, -1, 2**64))
+#: Nodes of a part of a bucket that is compared across its components.
+PART = 256
 #: Nodes that a task remembers, to send a fingerprint or a text once.
 REMEMBERED = 400_000
 
@@ -98,18 +101,17 @@ class Lines:
     def prints(self, which: np.ndarray) -> np.ndarray:
         """(lines, PRINT_BITS / 64) fingerprints."""
         signs = np.random.default_rng(5).integers(0, 2, (PLACES, PRINT_BITS)).astype(np.float32) * 2 - 1
-        out = np.empty((len(which), PRINT_BITS // 64), np.int64)
+        out, forms = np.empty((len(which), PRINT_BITS // 64), np.int64), self.forms(which)
         for a in range(0, len(which), 1024):
-            text, off = buffers(self.forms(which[a : a + 1024]))
+            text, off = buffers(forms[a : a + 1024])
             n = len(off) - 1
             line = np.repeat(np.arange(n), np.diff(off) + 2)  # each form between two spaces
             data = np.full(len(line), 32, U)
             data[np.arange(len(text)) + 2 * np.repeat(np.arange(n), np.diff(off)) + 1] = text
             gram = mix(data[:-3] << U(24) | data[1:-2] << U(16) | data[2:-1] << U(8) | data[3:]) >> U(64 - GRAM_BITS)
-            has = np.zeros(n << GRAM_BITS, bool)  # which runs each line has, however often
             own = line[:-3] == line[3:]  # none of two lines
-            has[(line[:-3][own] << GRAM_BITS) + gram[own].astype(np.int64)] = True
-            at = np.flatnonzero(has)
+            at = np.sort(((line[:-3] << GRAM_BITS) | gram.astype(np.int64))[own].astype(np.int32))
+            at = at[np.append(True, at[1:] != at[:-1])[: len(at)]]  # each run of a line once, however often
             run = at & ((1 << GRAM_BITS) - 1)
             counts = np.bincount((at >> GRAM_BITS) * PLACES + run % PLACES, np.where(run & PLACES, 1.0, -1.0), minlength=n * PLACES).reshape(n, PLACES).astype(np.float32)
             out[a : a + 1024] = np.packbits(counts @ signs > 0, axis=1).view(np.int64)
@@ -196,7 +198,7 @@ class Like:
     def __init__(self, marks: list[np.ndarray], size: np.ndarray, percent: int) -> None:
         self.marks, self.size, self.percent = marks, size, percent
 
-    def _rest(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    def rest(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         apart = sum(np.bitwise_count(m[i] ^ m[j]).astype(np.int64) for m in self.marks)
         a, b = self.size[i].astype(np.int64), self.size[j].astype(np.int64)
         return (apart <= MOST_BITS) & (np.minimum(a, b) * 100 >= np.maximum(a, b) * self.percent)
@@ -206,7 +208,7 @@ class Like:
         m = self.marks[0]
         hit = np.bitwise_count(m[i] ^ m[j]) <= FIRST_BITS
         at = np.flatnonzero(hit)
-        hit[at] = self._rest(i[at], j[at])
+        hit[at] = self.rest(i[at], j[at])
         return hit
 
     def ahead(self, reach: int, end: np.ndarray) -> np.ndarray:
@@ -214,14 +216,14 @@ class Like:
         m = self.marks[0]
         at = np.flatnonzero(np.bitwise_count(m[:-reach] ^ m[reach:]) <= FIRST_BITS)
         at = at[at + reach < end[at]]
-        return at[self._rest(at, at + reach)]
+        return at[self.rest(at, at + reach)]
 
     def table(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """For each of i and each of j whether they can; not with themselves."""
         m = self.marks[0]
         hit = np.bitwise_count(m[i][:, None] ^ m[j]) <= FIRST_BITS
         a, b = np.nonzero(hit)
-        hit[a, b] = (i[a] != j[b]) & self._rest(i[a], j[b])
+        hit[a, b] = (i[a] != j[b]) & self.rest(i[a], j[b])
         return hit
 
 
@@ -488,6 +490,53 @@ def _verified(similarity_percent: int):
     return run
 
 
+def _shares(lists: pa.ListArray) -> np.ndarray:
+    """For each two of some lists whether they have a value in common."""
+    of, values = np.asarray(pc.list_parent_indices(lists)), np.asarray(lists.flatten())
+    kinds, which, n = np.unique(values, return_inverse=True, return_counts=True)
+    twice = np.flatnonzero(n > 1)
+    out = np.zeros((len(lists), len(lists)), bool)
+    for a in range(0, len(twice), 2048):
+        some = twice[a : a + 2048]
+        place = np.full(len(kinds), -1)
+        place[some] = np.arange(len(some))
+        hit = np.flatnonzero(place[which] >= 0)
+        has = np.zeros((len(lists), len(some)), np.float32)
+        has[of[hit], place[which[hit]]] = 1
+        out |= has @ has.T > 0
+    return out
+
+
+def _across(similarity_percent: int):
+    """Of two parts of a bucket, or one with itself: the links between nodes of different components.  The pairs are those
+    of link_buckets' condition, each under the least key of both, but only links become rows."""
+
+    @lean_group
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        low, high, part = (np.asarray(table.column(c)) for c in ("low", "high", "part"))
+        node, comp = (np.asarray(table.column(c)) for c in ("node", "comp"))
+        like = Like([np.asarray(table.column(c)).view(U) for c in _PRINT[:MARKS]], np.asarray(table.column("size")), similarity_percent)
+        forms = table.column("form").to_pylist()
+        left, right = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        met = (comp[left][:, None] != comp[right]) & ~_shares(table.column("lower").combine_chunks())[np.ix_(left, right)]
+        if low[:1] == high[:1]:
+            met &= node[left][:, None] < node[right]
+        i, j = np.nonzero(met)
+        i, j = left[i], right[j]
+        can = like.rest(i, j)
+        i, j = i[can], j[can]
+        good = [np.zeros(0, bool)]
+        for a in range(0, len(i), TOGETHER[0]):
+            some = slice(a, a + TOGETHER[0])
+            good.append(alike([forms[x] for x in i[some].tolist()], [forms[x] for x in j[some].tolist()], similarity_percent))
+        hit = np.concatenate(good)
+        a, b = node[i[hit]], node[j[hit]]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return run
+
+
 def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_WORDS, short: bool = False) -> DataFrame:
     """docs (doc_id, text) -> a row per line that has a near copy: doc_id, row (hash of doc_id and text), line_no (from
     0), node (hash of the normal form), group_id (smallest node), n_lines of the group, removed (all but the first by
@@ -513,17 +562,28 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
     prints = _PRINT[:MARKS]
     members = shared.join(printed.select("node", "n", *prints), "node").select("key", "node", (-F.col("n")).alias("rank"), "size", *prints)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+    def texts(ends: DataFrame) -> DataFrame:
         bits = spark.sparkContext.broadcast(common.low_bitmap(ends, "node"))
-        forms = common.scratch(fresh.select("node", "form").mapInArrow(_within(bits), "node long, form string").join(ends.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+        return common.scratch(fresh.select("node", "form").mapInArrow(_within(bits), "node long, form string").join(ends.distinct(), "node", "left_semi").dropDuplicates(["node"]))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        forms = texts(pairs.select(F.explode(F.array("a", "b")).alias("node")))
         both = pairs.join(forms.select(F.col("node").alias("a"), F.col("form").alias("fa")), "a").join(forms.select(F.col("node").alias("b"), F.col("form").alias("fb")), "b")
         out = common.scratch(both.select("a", "b", "fa", "fb").mapInArrow(_verified(similarity_percent), "a long, b long"))
         common.drop(forms)
         return out
 
+    def across(rest: DataFrame) -> DataFrame:
+        """Each bucket is dealt into parts, and each two parts meet in a place of their own."""
+        parts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+        dealt = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+        dealt = dealt.select("key", "node", "comp", "size", *prints, "part", "parts", F.filter("keys", lambda k: k < F.col("key")).alias("lower"))
+        met = dealt.join(texts(rest.select("node")), "node").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).drop("parts")
+        met = met.select("*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+        return met.groupBy("key", "low", "high").applyInArrow(_across(similarity_percent), "a long, b long").distinct()
+
     apart = " + ".join(f"bit_count(x.{c} ^ y.{c})" for c in prints)
-    comps = common.link_buckets(members, verify, f"{common.like_sizes(similarity_percent)} and {apart} <= {MOST_BITS}", ("size", *prints))
+    comps = common.link_buckets(members, verify, f"{common.like_sizes(similarity_percent)} and {apart} <= {MOST_BITS}", ("size", *prints), across=across)
     n, c = nodes.select("node", "n", "first").alias("n"), comps.alias("c")
     placed = common.scratch(n.join(c, F.expr("n.node = c.node"), "left").select("n.*", F.expr("coalesce(c.comp, n.node)").alias("group_id")))
     per = placed.groupBy("group_id").agg(F.sum("n").alias("n_lines"), F.min("first").alias("keep")).where("n_lines > 1")

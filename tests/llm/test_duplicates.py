@@ -159,6 +159,36 @@ def test_alike_in_bands(monkeypatch):
             assert lines.alike(*zip(*pairs, strict=True), percent).tolist() == want
 
 
+def test_wide_buckets_make_no_rows_of_pairs(spark, monkeypatch):
+    """Lines about one text, many of them too far from each other: the pairs across components are compared in parts of
+    a bucket and only links are rows, with the same groups as from a list of these pairs."""
+    rng = random.Random(4)
+    base = text(60, rng)
+    rows = [(i, edited(base, 4 + i % 7, rng)) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    link, listed, parts = common.link_buckets, [], []
+
+    def counted(members, verify, *more, across, way):
+        def count(pairs):
+            listed.append((way, pairs))
+            return verify(pairs)
+
+        def held(rest):
+            parts.append(rest.groupBy("key").count().agg({"count": "max"}).head()[0])
+            return across(rest)
+
+        return link(members, count, *more, across=held if way else None)
+
+    got = []
+    monkeypatch.setattr(lines, "PART", 12)
+    for way in (True, False):
+        monkeypatch.setattr(common, "link_buckets", lambda *a, across, way=way: counted(*a, across=across, way=way))
+        got.append({(r.doc_id, r.group_id, r.n_lines, r.removed) for r in lines.groups(docs).collect()})
+    assert got[0] == got[1] and len({x[1] for x in got[0]}) < len(got[0])
+    assert parts and parts[0] > 2 * lines.PART
+    assert [way for way, _ in listed] == [True, False, False]  # with parts, only the stars are listed
+
+
 def test_line_groups(spark):
     rng = random.Random(8)
     own = [text(60, rng) for _ in range(30)]
