@@ -144,7 +144,7 @@ def sentences(obligations: DataFrame, contracts: DataFrame) -> DataFrame:
     """contract_id, rule_id, due_date, sentence: what an obligation asks for, in words.  A notice about the end of the term
     speaks of the renewal, with the year's value where there is one; a consequence that is told at length speaks for itself."""
     k = contracts.select(F.col("contract_id").alias("_k"), F.coalesce(F.nullif("counterparty", F.lit("")), F.lit("the counterparty")).alias("party"), F.nullif("annual_value", F.lit(0.0)).alias("value"))
-    j = obligations.join(k, F.col("contract_id") == F.col("_k"))
+    j = obligations.join(k.hint("merge"), F.col("contract_id") == F.col("_k"))  # contracts grow: never a broadcast
     day = F.date_format("due_date", "d MMMM")
     renews = (F.col("kind") == "notice") & (F.col("anchor") == "term_end")
     said = F.when(F.length("consequence") > 25, F.col("consequence")) if "consequence" in obligations.columns else F.lit(None).cast("string")
