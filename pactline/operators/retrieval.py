@@ -147,7 +147,7 @@ def hybrid(records: DataFrame, passages: DataFrame, vectors: DataFrame | None, q
 def records(contracts: DataFrame, claims: DataFrame, obligations: DataFrame, findings: DataFrame, gaps: DataFrame) -> DataFrame:
     """Everything that can be asked about, in one shape: facts, clauses, obligations, findings and absences, gaps."""
     none = F.lit(None).cast("string")
-    name = contracts.select("contract_id", F.coalesce("counterparty", "title").alias("contract"), F.col("our_role").alias("side"))
+    name = contracts.select("contract_id", F.coalesce("counterparty", "title").alias("contract"), F.col("our_role").alias("side")).hint("merge")  # contracts grow: never a broadcast
     cols = ["id", "contract_id", "contract", "kind", "title", "body", "quote", "anchor", "clause_type", "side"]
     shape = lambda df, **c: df.select(*(c[n].alias(n) if n in c else F.col(n) for n in cols))
     value = F.when(F.col("annual_value") != 0, F.concat(F.lit("Annual value "), F.format_number("annual_value", 0), F.lit(" "), F.col("currency"), F.lit(".")))
