@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import dims
+from ..shipping import spread
 
 
 def effective(claims: DataFrame) -> DataFrame:
@@ -129,6 +130,9 @@ def silence(claims: DataFrame, contracts: DataFrame) -> DataFrame:
 
 def coverage(claims: DataFrame, contracts: DataFrame) -> DataFrame:
     """Share of the playbook's clauses that are there; 1 where nothing is expected."""
-    expected = contracts.select("contract_id", "contract_type").join(F.broadcast(playbook(contracts.sparkSession)), "contract_type", "left")
-    present = effective(claims).select("contract_id", "clause_type", F.lit(1).alias("here")).distinct()
-    return expected.join(present, ["contract_id", "clause_type"], "left").groupBy("contract_id").agg(F.coalesce(F.avg(F.when(F.col("clause_type").isNotNull(), F.coalesce("here", F.lit(0)))), F.lit(1.0)).alias("coverage"))
+    wanted = playbook(contracts.sparkSession).groupBy("contract_type").agg(F.collect_set("clause_type").alias("wanted"))  # a row a type
+    # dealt out first, as a scan's task would hold all contracts of its lines else, and joined by the contract alone
+    there = spread(effective(claims).select("contract_id", "clause_type"), "contract_id").groupBy("contract_id").agg(F.collect_set("clause_type").alias("there"))  # a contract's types
+    held = contracts.select("contract_id", "contract_type").join(F.broadcast(wanted), "contract_type", "left").join(there.hint("merge"), "contract_id", "left")
+    here = F.when(F.col("there").isNull(), F.lit(0)).otherwise(F.size(F.array_intersect("wanted", "there")))
+    return held.groupBy("contract_id").agg(F.coalesce(F.try_divide(F.sum(F.when(F.col("wanted").isNotNull(), here)), F.sum(F.when(F.col("wanted").isNotNull(), F.size("wanted")))), F.lit(1.0)).alias("coverage"))
