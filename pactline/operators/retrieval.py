@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import dims
+from ..shipping import cut
 from .rules import effective
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -137,7 +138,7 @@ def hybrid(records: DataFrame, passages: DataFrame, vectors: DataFrame | None, q
     pas = bm25(passages.withColumn("_t", F.concat_ws(" ", "text", "section", "contract")), query_terms(question), "_t", scope=inside("contract_id"))
     known = records.select("id", "contract_id", "kind").unionByName(passages.select("id", "contract_id", F.lit("passage").alias("kind")))
     lexical = boosted.select("id", "score").unionByName(pas.select("id", (F.col("score") * 0.75).alias("score")))
-    lists = [ranked(lexical)]
+    lists = [ranked(cut(lexical))]  # ids and scores; a rank reads them several times, and the texts behind them would be split as often
     if vectors is not None and query is not None:
         lists.append(ranked(nearest(vectors, query, 2 * k, scope=inside("contract_id")).join(known, "id", "left_semi")))
     hits = fuse(*lists).join(known, "id")
