@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..plans import dims
-from ..shipping import cut
+from ..shipping import cut, spread
 from .retrieval import K1, B, idf
 
 SEGMENT, NAMED_TERMS, QUESTIONS_TOGETHER, FEW_WEIGHTS = 512, 500, 2000, 200_000
@@ -45,7 +45,7 @@ class PostingsIndex:
         sums.select("n", F.coalesce(F.try_divide("tokens", "n"), F.lit(0.0)).alias("avg_len")).coalesce(1).write.parquet(f"{index.path}/stats")
         n, avg = index.stats()
         segment = F.pmod(F.xxhash64(F.col(id_col), F.lit("segment")), F.lit(max(1, -(-n // SEGMENT)))).cast("int")
-        dealt = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), segment.alias("segment")).repartition("segment")
+        dealt = spread(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), segment.alias("segment")), "segment")
         held = dealt.select("segment", "id", X.tokens(F.coalesce("text", F.lit("")), stopwords).alias("t")).select("segment", "id", F.size("t").alias("len"), F.explode("t").alias("term"))
         counted = held.groupBy("segment", "term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("len").alias("len"))
         adds = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.greatest("len", F.lit(1)) / F.lit(avg or 1.0)))
