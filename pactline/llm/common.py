@@ -174,7 +174,11 @@ def rare_prefixes(sets: DataFrame, percent: int) -> tuple[DataFrame, str]:
     return scratch(sub.select(F.col("x.s").alias("key"), "node", "comp", "size", "pos")), f"{like_sizes(percent)} and {room}"
 
 
-def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = 12, across=None) -> DataFrame:
+#: Nodes of a bucket whose pairs are all tested.
+SMALL = 12
+
+
+def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[str, ...] = ("size",), refine=None, small: int = SMALL, narrow: DataFrame | None = None, across=None) -> DataFrame:
     """members (key, node, rank, payload columns; a key has a node once): candidates are nodes x and y that share a key and meet `near`, a
     condition on their payloads.  verify(pairs a < b) keeps the true links.  Returns (node, comp) of the graph of all true
     links, without listing all pairs of a large bucket:
@@ -184,18 +188,22 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
     2. buckets whose nodes are then still in several components test every pair of nodes in different ones.
        refine(rows of these buckets: key, node, comp, payload) may give narrower buckets and a condition for them, as
        long as it parts no two nodes that could link.  across(rows of these buckets with all keys of the node) may test
-       these pairs itself and give the true links, so that a pair need not be a row.
+       these pairs itself and give the true links, so that a pair need not be a row.  Where the caller has the pairs a < b of
+    the buckets of at most `small` nodes already, it gives them as `narrow`, and the others as members.
 
     Pairs inside one component need no test, so the components are those of all links."""
     m = members if hasattr(members, "_scratch_path") else scratch(members.select("key", "node", "rank", *payload))
     spark = m.sparkSession
     heads = scratch(m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rank", "node", *payload)).alias("h")).where("n > 1"))
     pair = [F.expr("least(x.node, y.node)").alias("a"), F.expr("greatest(x.node, y.node)").alias("b")]
-    few = scratch(m.join(heads.where(F.col("n") <= small).select("key"), "key"))
-    pairs = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and {near}")).select(*pair)
+    few = None
+    if narrow is None:
+        few = scratch(m.join(heads.where(F.col("n") <= small).select("key"), "key"))
+        narrow = few.alias("x").join(few.alias("y"), F.expr(f"x.key = y.key and x.node < y.node and {near}")).select(*pair)
     star = m.alias("x").join(heads.where(F.col("n") > small).select("key", "h.*").alias("y"), F.expr("x.key = y.key")).where(F.expr(f"x.node <> y.node and {near}")).select(*pair)
-    tested = scratch(pairs.unionByName(star).distinct())
-    drop(few)
+    tested = scratch(narrow.unionByName(star).distinct())
+    if few is not None:
+        drop(few)
     release(spark)
     good = scratch(verify(tested))
     drop(tested)

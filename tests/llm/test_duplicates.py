@@ -307,6 +307,42 @@ def test_like_groups(monkeypatch, narrow):
         assert ((label[s : s + n][:, None] == label[s : s + n]) == want).all()
 
 
+def test_sizes_part_a_bucket():
+    """In a bucket, nodes meet only those of a size that can be like theirs, not all others."""
+    rng, met = np.random.default_rng(3), []
+
+    class Counted(lines.Like):
+        def pairs(self, i, j):
+            met.append(len(i))
+            return super().pairs(i, j)
+
+        def ahead(self, reach, end):
+            met.append(len(self.size) - reach)
+            return super().ahead(reach, end)
+
+        def table(self, i, j):
+            met.append(len(i) * len(j))
+            return super().table(i, j)
+
+    size = np.repeat((10 * 1.2 ** np.arange(60)).astype(np.int64), 10)
+    mark = rng.integers(0, 2**63, 600).astype(np.uint64)
+    mark[5::10] = mark[4::10]
+    label = lines._groups(np.array([0]), np.array([600]), Counted([mark], size, 90))
+    assert (label[5::10] == label[4::10]).all() and len(set(label.tolist())) == 540
+    assert sum(met) <= 12 * 600
+
+
+def test_merged_lines():
+    """One row a line: its number, the first place (unknown documents first) and the fingerprint that any of them has."""
+    rows = np.zeros(5, lines.DISTINCT)
+    rows["node"], rows["n"], rows["known"] = [7, 3, 7, 3, 7], [1, 2, 1, 1, 4], [1, 1, 1, 0, 1]
+    rows["doc_id"], rows["line_no"], rows["printed"] = [5, 1, 4, 0, 4], [0, 3, 9, 8, 2], [0, 0, 0, 0, 1]
+    rows["print"][4] = 11
+    got = lines._merged(rows)
+    assert got[["node", "n", "known", "doc_id", "line_no", "printed"]].tolist() == [(3, 3, 0, 0, 8, 0), (7, 6, 1, 4, 2, 1)]
+    assert (got["print"][1] == 11).all() and not len(lines._merged(rows[:0]))
+
+
 def test_short_lines(spark):
     """Lines under min_words: their exact copies go too where that is asked for, also those of scripts without spaces."""
     long = "\u8bad\u7ec3\u6570\u636e\u91cc\u91cd\u590d\u7684\u4e00\u884c" * 4
