@@ -187,9 +187,11 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
        rank (a star);
     2. buckets whose nodes are then still in several components test every pair of nodes in different ones.
        refine(rows of these buckets: key, node, comp, payload) may give narrower buckets and a condition for them, as
-       long as it parts no two nodes that could link.  across(rows of these buckets with all keys of the node) may test
-       these pairs itself and give the true links, so that a pair need not be a row.  Where the caller has the pairs a < b of
-    the buckets of at most `small` nodes already, it gives them as `narrow`, and the others as members.
+       long as it parts no two nodes that could link.  across(rows of these buckets with all keys of the node, and n, the
+       nodes of the bucket) may test these pairs itself and give the true links, so that a pair need not be a row.
+
+    Where the caller has the pairs a < b of the buckets of at most `small` nodes already, it gives them as `narrow`, and the
+    others as members.
 
     Pairs inside one component need no test, so the components are those of all links."""
     m = members if hasattr(members, "_scratch_path") else scratch(members.select("key", "node", "rank", *payload))
@@ -209,10 +211,10 @@ def link_buckets(members: DataFrame, verify, near: str = "true", payload: tuple[
     drop(tested)
     comps = scratch(components(good))
     release(spark)
-    many = m.join(heads.where(F.col("n") > small).select("key"), "key")
+    many = m if few is None else m.join(heads.where(F.col("n") > small).select("key"), "key")
     lab = scratch(_labelled(many, comps))
-    open_ = lab.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = scratch(lab.join(open_, "key"))
+    open_ = lab.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rest = scratch(lab.join(open_.select("key", "n") if across else open_.select("key"), "key"))
     if not rest.isEmpty():
         if refine:
             old = rest

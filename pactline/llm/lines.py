@@ -698,8 +698,7 @@ def groups(docs: DataFrame, similarity_percent: int = 90, min_words: int = MIN_W
 
     def across(rest: DataFrame) -> DataFrame:
         """Each bucket is dealt into parts, and each two parts meet in a place of their own."""
-        parts = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-        dealt = rest.join(parts, "key").withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+        dealt = rest.withColumn("parts", F.ceil(F.col("n") / PART).cast("int")).withColumn("part", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
         dealt = dealt.select("key", "node", "comp", "size", *_PRINT, "part", "parts", F.filter("keys", lambda k: k < F.col("key")).alias("lower"))
         met = dealt.join(known_forms[0], "node").select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).drop("parts")
         met = met.select("*", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
